@@ -32,7 +32,7 @@ def count_where(values: Column, predicate) -> Column:
 
 def nth_smallest(values: Column, index: Column) -> Column:
     """Zero-based."""
-    return F.get(F.array_sort(values), index)
+    return F.get(F.sort_array(values), index)
 
 
 def upper_median(values: Column) -> Column:
@@ -41,7 +41,7 @@ def upper_median(values: Column) -> Column:
 
 def twice_median(values: Column) -> Column:
     """Twice the interpolated median, kept whole: the sum of the two middle values."""
-    ordered = F.array_sort(values)
+    ordered = F.sort_array(values)
     n = F.size(values)
     low = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
     high = F.get(ordered, F.floor(n / 2).cast("int"))

@@ -32,7 +32,7 @@ def by_top(boxes: Column) -> Column:
     keyed = F.transform(
         boxes, lambda b: F.struct(b["y0"].alias("y0"), b["x0"].alias("x0"), b["y1"].alias("y1"), b["x1"].alias("x1"))
     )
-    return F.transform(F.array_sort(keyed), lambda b: box(b["x0"], b["y0"], b["x1"], b["y1"]))
+    return F.transform(F.sort_array(keyed), lambda b: box(b["x0"], b["y0"], b["x1"], b["y1"]))
 
 
 def one_or_many(variant: Column) -> Column:

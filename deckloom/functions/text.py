@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from deckloom import constants as C
 
@@ -31,7 +32,7 @@ def normalise(text: Column) -> Column:
     return F.lower(F.trim(plain))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unicode_fold(text: pd.Series) -> pd.Series:
     """Compatibility composition and full case folding, which Spark has no built-in for."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
@@ -50,7 +51,7 @@ def symbol_tokens(text: Column) -> Column:
     """Ordered canonical symbols. Halves of a split symbol are a sorted set; a split stays split."""
 
     def canonical(token: Column) -> Column:
-        halves = F.array_sort(F.array_distinct(F.transform(F.split(token, "/"), lambda h: F.upper(F.trim(h)))))
+        halves = F.sort_array(F.array_distinct(F.transform(F.split(token, "/"), lambda h: F.upper(F.trim(h)))))
         split = F.concat(F.array_join(halves, "/"), F.when(F.size(halves) == 1, F.lit("/")).otherwise(F.lit("")))
         return F.when(F.contains(token, F.lit("/")), split).otherwise(F.upper(F.trim(token)))
 
@@ -134,7 +135,7 @@ def file_stem(name: Column, position: Column, slug=job_slug) -> Column:
 
 
 def byte_sum(text: Column) -> Column:
-    """Sum of the UTF-8 bytes. ASCII texts, the usual case, are summed without the hex detour."""
+    """Sum of the UTF-8 bytes of a short text, such as a name."""
     codes = F.transform(
         F.sequence(F.lit(1), F.octet_length(text)),
         lambda i: F.conv(F.substr(F.hex(F.encode(text, "UTF-8")), i * 2 - 1, F.lit(2)), 16, 10).cast("bigint"),
