@@ -20,9 +20,12 @@ def lines(text: Column) -> Column:
     return F.split(text, LINE_BREAK)
 
 
+SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Trim all white space, not only blanks."""
-    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalise(text: Column) -> Column:

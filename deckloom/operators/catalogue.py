@@ -135,11 +135,13 @@ def alias_index(cards: DataFrame, carry: list[str] = ()) -> DataFrame:
 def resolve(lines: DataFrame, cards: DataFrame, name: str = "name", carry: list[str] = ()) -> DataFrame:
     """Left join of asked names to their card. `card_id` is null where nothing answers.
 
-    A few names (staples) are asked for far more often than the rest, so they are measured and salted.
+    A few names (staples) are asked for far more often than the rest. Where the index is too large to
+    broadcast, those names are measured and salted, so that no task gets one name's lines alone.
     """
     keyed = lines.withColumn("alias", F.lower(F.col(name)))
-    hot = scale.hot_keys(keyed.select("alias"), ["alias"])
-    return scale.lookup(keyed, alias_index(cards, carry), ["alias"], hot=hot).drop("alias")
+    index = alias_index(cards, carry)
+    hot = None if scale.may_broadcast(index) else scale.hot_keys(keyed.select("alias"), ["alias"])
+    return scale.lookup(keyed, index, ["alias"], hot=hot).drop("alias")
 
 
 def plan_lines(lines: DataFrame, cards: DataFrame, carry_faces: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ from deckloom.functions import text as T
 from deckloom.operators import scale
 
 # quantity, then the shortest name that lets an optional "(SET) …" tail match
+QUANTITY = r"^(\d+)\s*[xX]?\s+."
 ENTRY = r"^(?:(\d+)\s*[xX]?\s+)?(.+?)(?:\s+\([^)]+\).*)?$"
 
 
@@ -30,7 +31,7 @@ def explode_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 def parse_entries(df: DataFrame, line: str = "line") -> DataFrame:
     """Adds `quantity` (1 when not given) and `name`; drops the line."""
-    quantity = F.regexp_extract(line, ENTRY, 1)
+    quantity = F.regexp_extract(line, QUANTITY, 1)
     return df.select(
         *[c for c in df.columns if c != line],
         F.when(quantity == "", F.lit(1).cast("bigint")).otherwise(quantity.try_cast("bigint")).alias("quantity"),
