@@ -39,7 +39,8 @@ def one_or_many(variant: Column) -> Column:
     """A stored `rules` value: one bare box of four numbers, a list of boxes, or nothing."""
     many = F.try_variant_get(variant, "$", "array<array<double>>")
     one = F.try_variant_get(variant, "$", "array<double>")
-    listed = F.when(many.isNotNull(), many).when(F.size(one) == 4, F.array(one))
+    bare = (F.size(one) == 4) & F.get(one, F.lit(0)).isNotNull()
+    listed = F.when(bare, F.array(one)).otherwise(many)
     rows = F.coalesce(listed, F.array().cast("array<array<double>>"))
     whole = F.filter(rows, lambda r: F.size(r) == 4)
     return F.transform(whole, lambda r: box(*(F.get(r, F.lit(i)) for i in range(4))))

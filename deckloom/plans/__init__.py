@@ -1,6 +1,6 @@
 """Operators composed into whole queries over the star-schema test tables."""
 
-from deckloom.plans import cards, lists, proofs  # noqa: F401  (each import registers its queries)
+from deckloom.plans import cards, corpus, layout, lists, proofs, runs  # noqa: F401  (each import registers its queries)
 from deckloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
