@@ -6,6 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once per row and use it as often as wanted, also inside other lambdas.
+
+    Without this a scalar that a lambda refers to is worked out again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, v: acc + v)
 
@@ -41,17 +49,18 @@ def upper_median(values: Column) -> Column:
 
 def twice_median(values: Column) -> Column:
     """Twice the interpolated median, kept whole: the sum of the two middle values."""
-    ordered = F.sort_array(values)
-    n = F.size(values)
-    low = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(ordered, F.floor(n / 2).cast("int"))
-    return low + high
+
+    def middle(ordered: Column) -> Column:
+        n = F.size(ordered)
+        return F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))
+
+    return let(F.sort_array(values), middle)
 
 
 def median_deviation(values: Column) -> Column:
     """Median absolute deviation from the interpolated median; exact in quarters."""
-    middle = twice_median(values)
-    return twice_median(F.transform(values, lambda v: F.abs(v * 2 - middle))) / 4
+    twice = let(twice_median(values), lambda m: twice_median(F.transform(values, lambda v: F.abs(v * 2 - m))))
+    return twice / 4
 
 
 def at(values: Column, positions: Column) -> Column:

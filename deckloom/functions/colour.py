@@ -28,24 +28,29 @@ def saturation(r: Column, g: Column, b: Column) -> Column:
 
 
 def hue_degrees(r: Column, g: Column, b: Column) -> Column:
-    red, green, blue = r / 255, g / 255, b / 255
-    top = F.greatest(red, green, blue)
-    span = top - F.least(red, green, blue)
-    rc, gc, bc = (top - red) / span, (top - green) / span, (top - blue) / span
-    sixth = F.when(red == top, bc - gc).when(green == top, 2.0 + rc - bc).otherwise(4.0 + gc - rc) / 6
-    return F.when(span > 0, (sixth - F.floor(sixth)) * 360).otherwise(F.lit(0.0))
+    most = F.greatest(r, g, b)
+    top = most / 255
+    span = top - F.least(r, g, b) / 255
+    rc, gc, bc = (top - r / 255) / span, (top - g / 255) / span, (top - b / 255) / span
+    sixth = F.when(r == most, bc - gc).when(g == most, 2.0 + rc - bc).otherwise(4.0 + gc - rc) / 6
+    return F.when(span > 0, F.pmod(sixth, F.lit(1.0)) * 360).otherwise(F.lit(0.0))
 
 
 def is_saturated(r: Column, g: Column, b: Column) -> Column:
     return (saturation(r, g, b) > C.SATURATION_MIN) & (F.greatest(r, g, b) / 255 > C.VALUE_MIN)
 
 
-def hue_bucket(degrees: Column) -> Column:
-    out = None
+def _bucket_of(degree: int) -> str:
     for name, low, high, _mana in C.HUE_BUCKETS:
-        inside = (degrees >= low) | (degrees < high) if low > high else (degrees >= low) & (degrees < high)
-        out = F.when(inside, name) if out is None else out.when(inside, name)
-    return out.otherwise("red")
+        if low <= degree < high or (low > high and (degree >= low or degree < high)):
+            return name
+    return "red"
+
+
+def hue_bucket(degrees: Column) -> Column:
+    """Bucket of a hue. The limits are whole degrees, so one look-up by the whole degree is enough."""
+    by_degree = F.array(*[F.lit(_bucket_of(d)) for d in range(360)])
+    return F.coalesce(F.get(by_degree, F.floor(degrees).cast("int")), F.lit("red"))
 
 
 def bucket_mana(bucket: Column) -> Column:

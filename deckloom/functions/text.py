@@ -139,9 +139,6 @@ def file_stem(name: Column, position: Column, slug=job_slug) -> Column:
 
 def byte_sum(text: Column) -> Column:
     """Sum of the UTF-8 bytes of a short text, such as a name."""
-    codes = F.transform(
-        F.sequence(F.lit(1), F.octet_length(text)),
-        lambda i: F.conv(F.substr(F.hex(F.encode(text, "UTF-8")), i * 2 - 1, F.lit(2)), 16, 10).cast("bigint"),
-    )
-    total = F.aggregate(codes, F.lit(0).cast("bigint"), lambda acc, b: acc + b)
-    return F.when(F.octet_length(text) == 0, F.lit(0).cast("bigint")).otherwise(total)
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
+    total = F.aggregate(pairs, F.lit(0).cast("bigint"), lambda acc, b: acc + F.conv(b, 16, 10).cast("bigint"))
+    return total

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deckloom import constants as C
+from deckloom.functions import arrays as A
 from deckloom.operators import scale
 
 FACE_TEXT = ["name", "mana_cost", "type_line", "oracle_text", "flavor_text", "power", "toughness", "loyalty"]
@@ -116,10 +117,11 @@ def faces(cards: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 def aliases(name: Column) -> Column:
     """Every name a card answers to: each prefix of the name that ends at a separator, lower case."""
-    parts = F.split(name, C.NAME_SEPARATOR)
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda n: F.lower(F.array_join(F.slice(parts, 1, n), C.NAME_SEPARATOR))
-    )
+
+    def prefixes(parts: Column) -> Column:
+        return F.transform(parts, lambda _, i: F.array_join(F.slice(parts, 1, i + 1), C.NAME_SEPARATOR))
+
+    return A.let(F.split(F.lower(name), C.NAME_SEPARATOR), prefixes)
 
 
 def alias_index(cards: DataFrame, carry: list[str] = ()) -> DataFrame:

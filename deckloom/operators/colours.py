@@ -16,18 +16,21 @@ BUCKETS = [name for name, *_ in C.HUE_BUCKETS]
 def profile(images: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Per image: pixels, saturated pixels and saturated pixels by hue bucket.
 
-    Pixels are exploded and counted in the same stage; what is shuffled is one partial row per image.
+    Pixels are exploded and counted by bucket in the same stage, so at most nine rows per image and
+    task are shuffled, never pixels.
     """
     pixels = images.select("image_id", *keep, F.inline(F.arrays_zip("r", "g", "b")))
-    hued = pixels.select(
-        "image_id", *keep,
-        F.when(K.is_saturated(F.col("r"), F.col("g"), F.col("b")), K.hue_bucket(K.hue_degrees(F.col("r"), F.col("g"), F.col("b"))))
-        .alias("bucket"),
-    )
-    return hued.groupBy("image_id", *keep).agg(
-        F.count(F.lit(1)).alias("pixels"),
-        F.count("bucket").alias("saturated"),
-        *[F.count_if(F.col("bucket") == name).alias(name) for name in BUCKETS],
+    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    bucket = F.when(K.is_saturated(r, g, b), K.hue_bucket(K.hue_degrees(r, g, b)))
+    counted = pixels.groupBy("image_id", *keep, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+    def sum_of(kept: Column) -> Column:
+        return F.coalesce(F.sum(F.when(kept, F.col("n"))), F.lit(0)).cast("bigint")
+
+    return counted.groupBy("image_id", *keep).agg(
+        F.sum("n").alias("pixels"),
+        sum_of(F.col("bucket").isNotNull()).alias("saturated"),
+        *[sum_of(F.col("bucket") == name).alias(name) for name in BUCKETS],
     )
 
 

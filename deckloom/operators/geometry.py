@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deckloom import constants as C
+from deckloom.functions import arrays as A
 from deckloom.functions import boxes as B
-from deckloom.operators import briefs
+from deckloom.operators import briefs, scale
 from deckloom.operators.proof import present, problem
 
 NO_BOXES = f"array<{B.BOX}>"
@@ -21,23 +22,22 @@ def detected(raw: DataFrame, keep: list[str]) -> DataFrame:
     at least half of which lies on the name.
     """
     none = F.array().cast(NO_BOXES)
-    first = raw.select(
-        *keep,
-        B.parse(F.col("title")).alias("title"),
-        B.parse(F.col("type")).alias("type"),
-        B.parse(F.col("pt")).alias("_pt"),
-        B.parse(F.col("pt_detail")).alias("_detail"),
-        B.parse(F.col("name")).alias("name"),
-        *[F.coalesce(B.parse_all(F.col(k)), none).alias(k) for k in ("rules", "spare", "marks")],
+    names = {"title": "title", "type": "type", "pt": "_pt", "pt_detail": "_detail", "name": "name"}
+    kept = raw.select(*keep, *[F.col(k).alias(f"_raw_{k}") for k in [*names, "rules", "spare", "marks"]])
+    first = scale.once(
+        kept,
+        **{new: B.parse(F.col(f"_raw_{k}")) for k, new in names.items()},
+        **{k: F.coalesce(B.parse_all(F.col(f"_raw_{k}")), none) for k in ("rules", "spare", "marks")},
     )
     named_over = F.col("name").isNotNull()
     marks = F.filter(
-        "marks",
+        "_marks",
         lambda m: ~B.is_the_tab(m, F.col("_pt"))
         & (~named_over | (B.share_inside(m, F.col("name")) < C.NAME_MARK_OVERLAP)),
     )
     tab = F.when(F.col("_detail").isNotNull(), B.from_crop(F.col("_detail"))).otherwise(F.col("_pt"))
-    return first.select(*keep, "title", "type", tab.alias("pt"), "rules", "spare", marks.alias("marks"), "name")
+    sifted = scale.once(first.withColumnRenamed("marks", "_marks"), pt=tab, marks=marks)
+    return sifted.select(*keep, "title", "type", "pt", "rules", "spare", "marks", "name")
 
 
 def surfaces() -> Column:
@@ -54,7 +54,12 @@ def is_offending(mark: Column, printed: Column) -> Column:
 
 def offending_marks(panels: DataFrame, keep: list[str]) -> DataFrame:
     """One row per mark with its verdict: `exists` over the row's own surfaces, no pairs are emitted."""
-    judged = F.transform("marks", lambda m: F.struct(m.alias("box"), is_offending(m, surfaces()).alias("offending")))
+    judged = A.let(
+        surfaces(),
+        lambda printed: F.transform(
+            "marks", lambda m: F.struct(m.alias("box"), is_offending(m, printed).alias("offending"))
+        ),
+    )
     return panels.select(*keep, F.posexplode(judged).alias("ord", "_m")).select(
         *keep, F.col("ord").cast("bigint"), "_m.box.*", "_m.offending"
     )
@@ -65,7 +70,7 @@ def audit(power: Column, paragraphs: Column, overflowed: Column) -> Column:
     title, type_, tab = F.col("title"), F.col("type"), F.col("pt")
     strips = F.col("rules")
     top_rule = F.array_min(F.transform(strips, lambda s: s["y0"]))
-    offenders = F.size(F.filter("marks", lambda m: is_offending(m, surfaces())))
+    offenders = A.let(surfaces(), lambda printed: F.size(F.filter("marks", lambda m: is_offending(m, printed))))
     blank = (
         F.size("spare")
         + F.when(power.isNull() & tab.isNotNull(), 1).otherwise(0)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deckloom import constants as C
+from deckloom.functions import arrays as A
 from deckloom.functions import text as T
 
 PATCHES = "array<struct<where:string,text:string>>"
@@ -103,7 +104,12 @@ def proofread(
     """
     if cost_lettered and cost_printed is None:
         raise ValueError("grading the cost needs its own reading: pass cost_printed")
-    cleaned = clean_patches(patches)
+    return A.let(
+        clean_patches(patches), lambda cleaned: _graded(cleaned, has_title, only, cost_lettered, cost_printed)
+    )
+
+
+def _graded(cleaned: Column, has_title: Column, only, cost_lettered: bool, cost_printed: Column | None) -> Column:
     checks = [F.when(~has_title, problem("missing_title", F.lit("no plate across the top of the card")))]
     graded = []
     for surface, wanted in expected_fields(cost_lettered):
@@ -156,17 +162,28 @@ def _cost_check(wanted: Column, printed: Column, sighted: Column, times: Column)
 
 def _loose_check(cleaned: Column, graded: list[str]) -> Column:
     """Writing on any other surface but the artwork, by surface as first met; four are shown, all are counted."""
-    order = F.transform(cleaned, lambda p: p["where"])
-    placed = F.transform(
-        cleaned,
-        lambda p, i: F.struct(
-            F.array_position(order, p["where"]).alias("surface_no"), i.alias("ord"), p["where"].alias("where"), p["text"].alias("text")
-        ),
-    )
-    loose = F.sort_array(F.filter(placed, lambda p: ~p["where"].isin(*graded, "artwork")))
-    shown = F.transform(F.slice(loose, 1, C.LOOSE_SHOWN), lambda p: T.shorten(p["text"], 40))
-    detail = F.concat(F.size(loose).cast("string"), F.lit(" loose: "), F.array_join(shown, "; "))
-    return F.when(F.size(loose) > 0, problem("text_extra", detail))
+
+
+    def by_surface(loose: Column) -> Column:
+        """Loose patches sorted by the first place of their surface among them, then by their own."""
+        surfaces = F.array_distinct(F.transform(loose, lambda p: p["where"]))
+        placed = A.let(
+            surfaces,
+            lambda names: F.transform(
+                loose,
+                lambda p, i: F.struct(
+                    F.array_position(names, p["where"]).alias("surface_no"), i.alias("ord"), p["text"].alias("text")
+                ),
+            ),
+        )
+        return F.sort_array(placed)
+
+    def told(loose: Column) -> Column:
+        shown = F.transform(F.slice(by_surface(loose), 1, C.LOOSE_SHOWN), lambda p: T.shorten(p["text"], 40))
+        detail = F.concat(F.size(loose).cast("string"), F.lit(" loose: "), F.array_join(shown, "; "))
+        return F.when(F.size(loose) > 0, problem("text_extra", detail))
+
+    return A.let(F.filter(cleaned, lambda p: ~p["where"].isin(*graded, "artwork")), told)
 
 
 def rules_tokens(texts: DataFrame, keys: list[str], rules: str, flavour: str | None = None) -> DataFrame:

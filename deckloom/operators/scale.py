@@ -14,6 +14,16 @@ HOT_PARTS = 1000
 SALTS = 64
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once per row, however often later expressions use them.
+
+    The optimizer merges projections and would repeat an array expression at every use, inside other
+    lambdas even per element. A one-element generator is a step it does not merge.
+    """
+    packed = F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))
+    return df.select("*", F.inline(packed))
+
+
 def number_in_group(
     df: DataFrame, keys: list[str], order: list[Column], bucket: Column, out: str = "ordinal"
 ) -> DataFrame:
@@ -43,52 +53,39 @@ def number_in_group(
 
 
 def value_at_rank(
-    df: DataFrame, keys: list[str], value: str, rank: Column, out: str, cells: int = 4096, rounds: int = 2
+    df: DataFrame, keys: list[str], value: str, rank: Column, out: str, cells: int = 65536
 ) -> DataFrame:
     """Exact value at a one-based rank per key. `rank` may use the group's row count, column `_total`.
 
-    Repeats collapse to (value, count) first. Then the range of each key is cut into `cells`, the
-    cell holding the rank is found from cell counts, and only that cell's values go on; after
-    `rounds` of this a last window picks the value among the few that are left. No task sees a
-    whole group, whatever share of the rows it has.
+    Repeats collapse to (value, count) first. The range of each key is then cut into `cells`, the
+    cell that holds the rank is found from cell counts, and only that cell's values are ordered. No
+    task sees a whole group, whatever share of the rows it has; a badly uneven spread of values only
+    makes the one cell larger, the answer stays exact.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     wanted = (
         counted.groupBy(*keys)
         .agg(F.sum("_n").alias("_total"), F.min(value).alias("_low"), F.max(value).alias("_high"))
-        .withColumn("_rank", rank.cast("bigint"))
-        .drop("_total")
+        .select(*keys, rank.cast("bigint").alias("_rank"), "_low", "_high")
+    )
+    share = (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    cell = F.when(F.col("_high") > F.col("_low"), F.least(F.lit(cells - 1), F.floor(share * cells)))
+    placed = counted.join(wanted, keys).select(
+        *keys, value, "_n", "_rank", F.coalesce(cell, F.lit(0)).cast("bigint").alias("_cell")
+    )
+    found = (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank"))
+    hit = (
+        placed.groupBy(*keys, "_cell")
+        .agg(F.sum("_n").alias("_n"), F.min("_rank").alias("_rank"))
+        .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cell")))
+        .where(found)
+        .select(*keys, "_cell", (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_rank"))
     )
-    left = counted
-    for _ in range(rounds):
-        placed = left.join(wanted, keys)
-        share = (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low"))
-        cell = F.when(F.col("_high") > F.col("_low"), F.least(F.lit(cells - 1), F.floor(share * cells)))
-        placed = placed.withColumn("_cell", F.coalesce(cell, F.lit(0)).cast("bigint"))
-        per_cell = placed.groupBy(*keys, "_cell").agg(
-            F.sum("_n").alias("_n"),
-            F.first("_rank").alias("_rank"),
-            F.min(value).alias("_low"),
-            F.max(value).alias("_high"),
-        )
-        upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cell"))
-        wanted = (
-            per_cell.withColumn("_upto", upto)
-            .where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
-            .select(
-                *keys,
-                (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_rank"),
-                "_low",
-                "_high",
-            )
-        )
-        inside = F.col(value).between(F.col("_low"), F.col("_high"))
-        left = left.join(wanted, keys).where(inside).select(*keys, value, "_n")
-    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value))
     return (
-        left.join(wanted, keys)
-        .withColumn("_upto", upto)
-        .where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
+        placed.drop("_rank")
+        .join(hit, [*keys, "_cell"])
+        .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys, "_cell").orderBy(value)))
+        .where(found)
         .select(*keys, F.col(value).alias(out))
     )
 

@@ -42,13 +42,16 @@ def measure(
     """
     inset = 3 * band if inset is None else inset
     width, height, g = F.col("width"), F.col("height"), F.col("_g")
-    graded = images.select(*keep, "width", "height", I.gradient(F.col("px"), width).alias("_g"))
-    limited = graded.withColumn("_limit", A.mean(g) + sigma * A.deviation(g))
-    hard = F.transform(
-        A.index_range(F.lit(0), height - 1),
-        lambda y: A.count_where(F.slice(g, y * width + 1, width), lambda v: v > F.col("_limit")) / width,
-    )
-    shares = limited.withColumn("_shares", hard)
+    sized = images.select(*keep, "width", "height", "px")
+    graded = scale.once(sized, _g=I.gradient(F.col("px"), width)).drop("px")
+
+    def hard(limit: Column) -> Column:
+        return F.transform(
+            A.index_range(F.lit(0), height - 1),
+            lambda y: A.count_where(F.slice(g, y * width + 1, width), lambda v: v > limit) / width,
+        )
+
+    shares = scale.once(graded, _shares=A.let(A.mean(g) + sigma * A.deviation(g), hard))
     bw, bh = F.floor(width * band).cast("int"), F.floor(height * band).cast("int")
     ix, iy = F.floor(width * inset).cast("int"), F.floor(height * inset).cast("int")
 

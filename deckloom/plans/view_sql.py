@@ -317,6 +317,7 @@ def with_views(body: str, *names: str) -> str:
         visit(name)
     listed = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in ordered)
     extra = body.strip()
-    if extra.upper().startswith("WITH "):
-        return f"WITH {listed},\n{extra[5:]}" if listed else extra
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if extra.upper().startswith(opening):
+            return f"{opening}{listed},\n{extra[len(opening):]}" if listed else extra
     return f"WITH {listed}\n{extra}" if listed else extra

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deckloom.operators import scale
 from deckloom.sources import catalogue as sources
 
 
@@ -142,15 +143,20 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def scaled(spark: SparkSession, sf: str, top: int) -> DataFrame:
-    """embeddings → image_id, label, raw: whole numbers 0..top inside the row."""
-    level = F.transform(
+def level(top: int) -> Column:
+    """Embedding values as whole numbers 0..top, inside the row."""
+    return F.transform(
         "embedding",
         lambda e: F.least(
             F.lit(top), F.greatest(F.lit(0), F.floor((e.cast("double") + 0.5252) / 1.0504 * top + 0.5).cast("int"))
         ),
     )
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), "label", level.alias("raw"))
+
+
+def scaled(spark: SparkSession, sf: str, top: int) -> DataFrame:
+    """embeddings → image_id, label, raw."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), "label", "embedding")
+    return scale.once(rows, raw=level(top)).drop("embedding")
 
 
 def grids(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,70 +186,68 @@ def triples(spark: SparkSession, sf: str) -> DataFrame:
 CANVAS_SIDE = 40
 
 
-def canvases(spark: SparkSession, sf: str) -> DataFrame:
-    """40×40 colour images: each grid cell is a 5×5 block, inside a margin that depends on the image.
-
-    depth = id % 6 pixels; margin colour by id % 5: black, cream, flat dark grey, paper white in the
-    corners only, or none.
-    """
+def _painted(rows: DataFrame, keep: list[str]) -> DataFrame:
     side = CANVAS_SIDE
     at = F.sequence(F.lit(0), F.lit(side * side - 1))
 
-    def channel(scale: int, shift: int, margins: dict[int, int]) -> Column:
+    def channel(times: int, shift: int, margins: dict[int, int]) -> Column:
         def value(i: Column) -> Column:
             x, y = i % side, F.floor(i / side).cast("int")
             cell = F.get("raw", F.floor(y / 5).cast("int") * 8 + F.floor(x / 5).cast("int"))
-            inner = (cell * scale + shift) % 256
+            inner = (cell * times + shift) % 256
             edge = F.least(x, y, side - 1 - x, side - 1 - y)
             corner = F.least(x, side - 1 - x) + F.least(y, side - 1 - y)
-            kind = F.col("image_id") % 5
-            out = F.when((kind == 3) & (corner < 8 + F.col("depth")), F.lit(255))
+            kind, depth = F.col("image_id") % 5, F.col("image_id") % 6
+            out = F.when((kind == 3) & (corner < 8 + depth), F.lit(255))
             for which, margin in margins.items():
-                out = out.when((kind == which) & (edge < F.col("depth")), F.lit(margin))
+                out = out.when((kind == which) & (edge < depth), F.lit(margin))
             return out.otherwise(inner).cast("int")
 
         return F.transform(at, value)
 
-    return (
-        scaled(spark, sf, 255)
-        .withColumn("depth", (F.col("image_id") % 6).cast("int"))
-        .select(
-            "image_id", "label", F.lit(side).alias("width"), F.lit(side).alias("height"),
-            channel(1, 0, {0: 4, 1: 240, 2: 50}).alias("r"),
-            channel(3, 17, {0: 6, 1: 235, 2: 53}).alias("g"),
-            channel(7, 101, {0: 9, 1: 225, 2: 60}).alias("b"),
-        )
+    sized = rows.select(
+        "image_id", "label", F.lit(side).alias("width"), F.lit(side).alias("height"), "raw", *keep
     )
+    return scale.once(
+        sized,
+        r=channel(1, 0, {0: 4, 1: 240, 2: 50}),
+        g=channel(3, 17, {0: 6, 1: 235, 2: 53}),
+        b=channel(7, 101, {0: 9, 1: 225, 2: 60}),
+    ).drop("raw")
 
 
-SURFACES = ["title", "type", "pt", *["rules"] * 4, *["spare"] * 2, *["marks"] * 7]
-
-
-def raw_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    """One detection per embedding: face_id and 16 raw [ymin, xmin, ymax, xmax] 0-1000, as stored.
+def canvases(spark: SparkSession, sf: str) -> DataFrame:
+    """40×40 colour images: each grid cell is a 5×5 block, inside a margin that depends on the image.
 
-    title, type, pt, rules[4], spare[2], marks[7], plus what is known of the face.
+    id % 6 pixels deep; colour by id % 5: black, cream, flat dark grey, paper white in the corners
+    only, or none.
     """
+    return _painted(scaled(spark, sf, 255), [])
 
+
+def _box_columns(source: str) -> list[Column]:
     def raw(j: int) -> Column:
-        a, b, c, d = (F.get("raw", F.lit(4 * j + i)) for i in range(4))
-        half = lambda v, n: F.floor(v / n).cast("int")
+        a, b, c, d = (F.get(source, F.lit(4 * j + i)) for i in range(4))
+
+        def part(v: Column, n: int) -> Column:
+            return F.floor(v / n).cast("int")
+
         if j == 0:
-            top, tall, left, right = half(a * a, 1400), half(c, 8), half(b, 3), 1000 - half(d, 3)
+            top, tall, left, right = part(a * a, 1400), part(c, 8), part(b, 3), 1000 - part(d, 3)
         elif j == 1:
-            top, tall, left, right = 300 + half(a, 2), half(c, 8), half(b, 2), 1000 - half(d, 2)
+            top, tall, left, right = 300 + part(a, 2), part(c, 8), part(b, 2), 1000 - part(d, 2)
         elif j == 2:
-            top, tall, left, right = 600 + half(a, 2), half(c, 5), 600 + half(b, 3), 800 + half(d, 4)
+            top, tall, left, right = 600 + part(a, 2), part(c, 5), 600 + part(b, 3), 800 + part(d, 4)
         elif j < 7:
-            top, tall, left, right = 400 + 60 * j + half(a, 4), half(c, 6), half(b, 4), 1000 - half(d, 4)
+            top, tall, left, right = 400 + 60 * j + part(a, 4), part(c, 6), part(b, 4), 1000 - part(d, 4)
         else:
-            top, tall, left, right = a, half(c, 20) - 20, b, b + half(d, 2) - 150
+            top, tall, left, right = a, part(c, 20) - 20, b, b + part(d, 2) - 150
         flipped = (a + d) % 7 == 0
         low, high = F.when(flipped, top + tall).otherwise(top), F.when(flipped, top).otherwise(top + tall)
         return F.array(low, left, high, right)
 
     k = F.col("image_id")
-    return scaled(spark, sf, 1000).select(
+    return [
         k.alias("face_id"),
         raw(0).alias("title"), raw(1).alias("type"), raw(2).alias("pt"),
         F.array(*[raw(j) for j in range(3, 7)]).alias("rules"),
@@ -256,7 +260,22 @@ def raw_boxes(spark: SparkSession, sf: str) -> DataFrame:
         (k % 4).cast("int").alias("paragraphs"),
         (k % 8 == 3).alias("overflowed"),
         (k % 11).cast("int").alias("tokens"),
-    )
+    ]
+
+
+def raw_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """One detection per embedding: face_id and raw [ymin, xmin, ymax, xmax] boxes 0-1000, as stored.
+
+    title, type, pt, pt_detail, name, rules[4], spare[2], marks[7], plus what is known of the face.
+    """
+    return scaled(spark, sf, 1000).select(*_box_columns("raw"))
+
+
+def canvas_strips(spark: SparkSession, sf: str) -> DataFrame:
+    """Canvases with the raw rules boxes of the same face in the same row, so pixels need no join."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), "label", "embedding")
+    leveled = scale.once(rows, raw=level(255), raw_k=level(1000)).drop("embedding")
+    return _painted(leveled.select("image_id", "label", "raw", *_box_columns("raw_k")), ["rules"])
 
 
 def expected(spark: SparkSession, sf: str) -> DataFrame:
