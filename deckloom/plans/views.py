@@ -124,7 +124,12 @@ RESULT_ORDER = ["finished", "line", "part", "supp"]
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
     """lineitem → one finished face per row, in completion order RESULT_ORDER within its job."""
-    return table(spark, sf, "lineitem").selectExpr(
+    return results_of(table(spark, sf, "lineitem"))
+
+
+def results_of(lineitem: DataFrame) -> DataFrame:
+    """The same over a batch or a stream of lineitem rows."""
+    return lineitem.selectExpr(
         "l_orderkey AS job_id", "l_shipdate AS finished", "cast(l_linenumber AS bigint) AS line",
         "l_partkey AS part", "l_suppkey AS supp",
         "concat('Card ', l_partkey % 50) AS name",
