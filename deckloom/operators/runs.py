@@ -97,10 +97,10 @@ def compliance(results: DataFrame) -> DataFrame:
         F.count_if(F.col("strip_height") >= F.col("asked")).alias("met"),
         F.max("title_y").alias("worst_title_y"),
     )
-    one = results.select(F.lit(1).alias("_all"), "title_y")
-    low = scale.value_at_rank(one, ["_all"], "title_y", F.floor((F.col("_total") + 1) / 2), "_low_y")
-    high = scale.value_at_rank(one, ["_all"], "title_y", F.floor(F.col("_total") / 2) + 1, "_high_y")
-    middle = low.join(high, "_all").select(((F.col("_low_y") + F.col("_high_y")) / 2).alias("median_title_y"))
+    halves = F.explode(F.array(F.lit("low"), F.lit("high"))).alias("half")
+    rank = F.when(F.col("half") == "low", F.floor((F.col("_total") + 1) / 2)).otherwise(F.floor(F.col("_total") / 2) + 1)
+    ends = scale.value_at_rank(results.select("title_y", halves), ["half"], "title_y", rank, "y")
+    middle = ends.agg(((F.min("y") + F.max("y")) / 2).alias("median_title_y"))
     return rates.join(middle, F.lit(True), "left")
 
 

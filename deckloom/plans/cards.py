@@ -176,7 +176,7 @@ FROM documents""",
 )
 def coarse_screen(spark, sf):
     text = F.col("text")
-    return V.table(spark, sf, "documents").select(
+    return V.documents(spark, sf).select(
         "doc_id", briefs.names_a_screen(text).alias("screened"),
         F.length(briefs.with_coarse_note(text)).cast("bigint").alias("chars"),
     )

@@ -23,7 +23,7 @@ def entry_lines(spark: SparkSession, sf: str) -> DataFrame:
 )
 def list_texts(spark, sf):
     text = F.col("text")
-    return V.table(spark, sf, "documents").select(
+    return V.documents(spark, sf).select(
         F.col("doc_id").alias("list_id"), F.length(text).cast("bigint").alias("chars"),
         F.size(T.lines(text)).cast("bigint").alias("lines"),
     )
@@ -40,7 +40,7 @@ WHERE trim(raw) <> '' AND NOT starts_with(trim(raw), '#') AND NOT starts_with(tr
 """,
 )
 def explode_lines(spark, sf):
-    texts = V.table(spark, sf, "documents").withColumnRenamed("doc_id", "list_id")
+    texts = V.documents(spark, sf).withColumnRenamed("doc_id", "list_id")
     return lists.explode_lines(texts, "text", ["list_id"])
 
 
@@ -80,7 +80,7 @@ GROUP BY list_id HAVING count(*) > 20
 )
 def request_checks(spark, sf):
     """The entry cap is lowered to 20 here so that the test texts reach it."""
-    documents = V.table(spark, sf, "documents")
+    documents = V.documents(spark, sf)
     mode = F.when(F.col("lang") == "en", "CREATIVE_FULL").when(F.col("lang") == "de", "ART_ONLY").when(
         F.col("lang") == "es", "SKETCH"
     )

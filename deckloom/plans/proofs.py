@@ -33,7 +33,7 @@ def key_sql(text: str) -> str:
 @query("f1_normalised_texts", f"SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM (SELECT doc_id, {norm_sql('text')} AS t FROM documents)")
 def normalised_texts(spark, sf):
     text = T.normalise(F.col("text"))
-    return V.table(spark, sf, "documents").select(
+    return V.documents(spark, sf).select(
         "doc_id", F.length(text).cast("bigint").alias("chars"), F.md5(text).alias("digest")
     )
 
@@ -48,7 +48,7 @@ def typographic_quotes(spark, sf):
     "SELECT doc_id, CASE WHEN length(text) > 90 THEN left(text, 89) || '…' ELSE text END AS shown FROM documents",
 )
 def shortened(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", T.shorten(F.col("text")).alias("shown"))
+    return V.documents(spark, sf).select("doc_id", T.shorten(F.col("text")).alias("shown"))
 
 
 @query(
@@ -61,7 +61,7 @@ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, unnest(range(1, l
 """,
 )
 def paragraph_facts(spark, sf):
-    paragraphs = V.table(spark, sf, "documents").select(
+    paragraphs = V.documents(spark, sf).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph_no", "p")
     )
     depth = F.regexp_count("p", F.lit(r"\(")) - F.regexp_count("p", F.lit(r"\)"))
@@ -99,7 +99,7 @@ GROUP BY doc_id, paragraph_no
 """,
 )
 def rules_token_counts(spark, sf):
-    texts = V.table(spark, sf, "documents").withColumn("flavour", F.when(F.col("doc_id") % 10 == 0, F.col("source")))
+    texts = V.documents(spark, sf).withColumn("flavour", F.when(F.col("doc_id") % 10 == 0, F.col("source")))
     tokens = proof.rules_tokens(texts, ["doc_id"], "text", "flavour")
     return tokens.groupBy("doc_id", "paragraph_no").agg(
         F.count(F.lit(1)).alias("pieces"),

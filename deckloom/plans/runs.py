@@ -157,7 +157,7 @@ FROM (SELECT DISTINCT source AS archetype FROM documents UNION ALL SELECT r_name
 """,
 )
 def first_exemplars(spark, sf):
-    documents = V.table(spark, sf, "documents").select(
+    documents = V.documents(spark, sf).select(
         F.col("source").alias("archetype"), F.expr("concat(source, '/', lpad(doc_id, 12, '0'), '.png')").alias("path")
     )
     archetypes = documents.select("archetype").distinct().unionAll(V.table(spark, sf, "region").select("r_name"))
