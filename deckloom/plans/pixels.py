@@ -15,7 +15,7 @@ DEPTH = {
 
 def depths_sql(match: str, limit: int, source: str = "v_canvas", prefix: str = "black") -> str:
     parts = " JOIN ".join(
-        f"""(SELECT image_id, COALESCE(min(o) FILTER (s < CAST(0.9 AS DOUBLE)), {limit}) AS {prefix}_{side} FROM (
+        f"""(SELECT image_id, CAST(COALESCE(min(o) FILTER (s < CAST(0.9 AS DOUBLE)), {limit}) AS INTEGER) AS {prefix}_{side} FROM (
       SELECT image_id, {line} AS o, count(*) FILTER ({match}) / count(*) AS s FROM {source} WHERE {line} < {limit} GROUP BY image_id, {line}) GROUP BY image_id)
       {side}_{prefix}""" + ("" if side == "top" else " USING (image_id)")
         for side, (line, _) in DEPTH.items()
@@ -213,7 +213,8 @@ ISLAND_SQL = f"""
 WITH RECURSIVE ink AS (SELECT image_id, y, x, y * 8 + x AS id FROM ({MASK_SQL})),
 reach AS (SELECT image_id, y, x, id AS seed FROM ink
   UNION SELECT i.image_id, i.y, i.x, r.seed FROM reach r JOIN ink i ON i.image_id = r.image_id AND abs(i.y - r.y) + abs(i.x - r.x) = 1)
-SELECT image_id, count(*) AS mass, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM (
+SELECT image_id, CAST(count(*) AS INTEGER) AS mass, CAST(min(x) AS INTEGER) AS x0, CAST(min(y) AS INTEGER) AS y0,
+  CAST(max(x) + 1 AS INTEGER) AS x1, CAST(max(y) + 1 AS INTEGER) AS y1 FROM (
   SELECT image_id, y, x, min(seed) AS label FROM reach GROUP BY image_id, y, x) GROUP BY image_id, label"""
 
 
@@ -225,7 +226,7 @@ def ink_components(spark, sf):
 
 @query(
     "g10_end_badge",
-    f"""{ISLAND_SQL.replace("SELECT image_id, count(*) AS mass", ", islands AS (SELECT image_id, count(*) AS mass")})
+    f"""{ISLAND_SQL.replace("SELECT image_id, CAST(count(*)", ", islands AS (SELECT image_id, CAST(count(*)")})
 SELECT vec_id AS image_id, CASE WHEN EXISTS (SELECT 1 FROM islands i WHERE i.image_id = vec_id AND (x0 + x1) / 2 / 8 >= CAST(0.8 AS DOUBLE)
   AND (y1 - y0) / 8 >= CAST(0.55 AS DOUBLE) AND (x1 - x0) / (y1 - y0) BETWEEN CAST(0.4 AS DOUBLE) AND CAST(2.2 AS DOUBLE)
   AND mass / ((x1 - x0) * (y1 - y0)) >= CAST(0.12 AS DOUBLE) AND mass / 64 >= CAST(0.01 AS DOUBLE)) THEN 'painted_marks' ELSE '' END AS codes

@@ -153,7 +153,7 @@ def longest_runs(spark, sf):
 SELECT a.archetype, f.path, f.place, CASE WHEN f.path IS NULL THEN 'no exemplars' END AS error
 FROM (SELECT DISTINCT source AS archetype FROM documents UNION ALL SELECT r_name FROM region) a LEFT JOIN (
   SELECT * FROM (SELECT source AS archetype, source || '/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.png' AS path,
-    row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents) WHERE place <= 3) f ON a.archetype = f.archetype
+    CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS place FROM documents) WHERE place <= 3) f ON a.archetype = f.archetype
 """,
 )
 def first_exemplars(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -19,6 +20,9 @@ TABLES = (
 ).split()
 
 
+EXACT = bool(os.environ.get("ORACLE_EXACT"))  # compare doubles to the last bit
+
+
 def database(sf: str):
     db = duckdb.connect()
     db.execute("SET TimeZone='UTC'")
@@ -29,7 +33,7 @@ def database(sf: str):
 
 def plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else float(f"{value:.12g}")
+        return "nan" if math.isnan(value) else value if EXACT else float(f"{value:.12g}")
     if isinstance(value, decimal.Decimal):
         return float(f"{float(value):.12g}")
     if isinstance(value, bool):
