@@ -206,33 +206,35 @@ CANVAS_SIDE = 40
 
 
 def _painted(rows: DataFrame, keep: list[str]) -> DataFrame:
-    side = CANVAS_SIDE
-    at = F.sequence(F.lit(0), F.lit(side * side - 1))
-
-    def channel(times: int, shift: int, margins: dict[int, int]) -> Column:
-        def value(i: Column) -> Column:
-            x, y = i % side, F.floor(i / side).cast("int")
-            cell = F.get("raw", F.floor(y / 5).cast("int") * 8 + F.floor(x / 5).cast("int"))
-            inner = (cell * times + shift) % 256
-            edge = F.least(x, y, side - 1 - x, side - 1 - y)
-            corner = F.least(x, side - 1 - x) + F.least(y, side - 1 - y)
-            kind, depth = F.col("image_id") % 5, F.col("image_id") % 6
-            out = F.when((kind == 3) & (corner < 8 + depth), F.lit(255))
-            for which, margin in margins.items():
-                out = out.when((kind == which) & (edge < depth), F.lit(margin))
-            return out.otherwise(inner).cast("int")
-
-        return F.transform(at, value)
-
-    sized = rows.select(
-        "image_id", "label", F.lit(side).alias("width"), F.lit(side).alias("height"), "raw", *keep
-    )
+    """Paint each image's canvas. What a pixel is comes first, once; its channels follow from that."""
+    side, last = CANVAS_SIDE, CANVAS_SIDE - 1
+    along = F.sequence(F.lit(0), F.lit(last))
+    block = F.array(*[F.lit(i // 5) for i in range(side)])
+    kind, depth = F.col("image_id") % 5, F.col("image_id") % 6
+    white, margin = -1, -2
+
+    def pixel(x: Column, y: Column) -> Column:
+        nearest_x, nearest_y = F.least(x, last - x), F.least(y, last - y)
+        return (
+            F.when((kind == 3) & (nearest_x + nearest_y < 8 + depth), F.lit(white))
+            .when((kind < 3) & (F.least(nearest_x, nearest_y) < depth), F.lit(margin))
+            .otherwise(F.get("raw", F.get(block, y) * 8 + F.get(block, x)))
+        )
+
+    codes = F.flatten(F.transform(along, lambda y: F.transform(along, lambda x: pixel(x, y))))
+
+    def channel(times: int, shift: int, colours: tuple[int, int, int]) -> Column:
+        edge = F.when(kind == 0, F.lit(colours[0])).when(kind == 1, F.lit(colours[1])).otherwise(F.lit(colours[2]))
+        return F.transform(
+            "_codes",
+            lambda v: F.when(v >= 0, ((v * times + shift) % 256).cast("int")).when(v == white, F.lit(255)).otherwise(edge),
+        )
+
+    sized = rows.select("image_id", "label", F.lit(side).alias("width"), F.lit(side).alias("height"), "raw", *keep)
+    coded = scale.once(sized, _codes=codes).drop("raw")
     return scale.once(
-        sized,
-        r=channel(1, 0, {0: 4, 1: 240, 2: 50}),
-        g=channel(3, 17, {0: 6, 1: 235, 2: 53}),
-        b=channel(7, 101, {0: 9, 1: 225, 2: 60}),
-    ).drop("raw")
+        coded, r=channel(1, 0, (4, 240, 50)), g=channel(3, 17, (6, 235, 53)), b=channel(7, 101, (9, 225, 60))
+    ).drop("_codes")
 
 
 def canvases(spark: SparkSession, sf: str) -> DataFrame:
