@@ -104,22 +104,20 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_quantity").cast("bigint").alias("qty"),
     )
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("part"), "p_name", "p_type")
-    return (
+    rows = (
         spread(item).join(part, "part")
         .withColumn("base", _base("p_name", "part"))
         .withColumn("n", F.col("part") + F.col("supp") * 3 + F.col("line"))
-        .select(
-            "list_id", *LIST_ORDER,
-            F.expr(
-                """CASE WHEN n % 13 = 0 THEN CASE WHEN n % 2 = 0 THEN concat('# ', base) ELSE ' Sideboard:' END
-                        WHEN n % 11 = 0 THEN concat(qty, ' Unknown ', part)
-                        WHEN n % 7 = 0 THEN concat(qty, ' ', base, ' (SET) 12')
-                        WHEN n % 5 = 0 THEN concat(qty, 'x ', base, ' // ', p_type)
-                        WHEN n % 3 = 0 THEN upper(base) WHEN n % 17 = 0 THEN '  '
-                        ELSE concat(qty, ' ', base) END"""
-            ).alias("raw"),
-        )
     )
+    raw = F.expr(
+        """CASE WHEN n % 13 = 0 THEN CASE WHEN n % 2 = 0 THEN concat('# ', base) ELSE ' Sideboard:' END
+                WHEN n % 11 = 0 THEN concat(qty, ' Unknown ', part)
+                WHEN n % 7 = 0 THEN concat(qty, ' ', base, ' (SET) 12')
+                WHEN n % 5 = 0 THEN concat(qty, 'x ', base, ' // ', p_type)
+                WHEN n % 3 = 0 THEN upper(base) WHEN n % 17 = 0 THEN '  '
+                ELSE concat(qty, ' ', base) END"""
+    )
+    return scale.once(rows, raw=raw).select("list_id", *LIST_ORDER, "raw")
 
 
 def jobs(spark: SparkSession, sf: str) -> DataFrame:
