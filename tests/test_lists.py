@@ -120,3 +120,14 @@ def test_lists_and_cards_from_files(spark, tmp_path):
     assert sources.read_lists(spark, str(tmp_path / "l")).count() == 1
     assert sources.read_cards(spark, str(tmp_path / "cards.json")).count() == len(CARDS)
     assert list(sources.read_specs(spark, str(tmp_path / "spec.json")).first().problems) == ["no_why"]
+
+
+def test_requests(spark):
+    rows = [("X", " ", None, None), (None, "1 Bolt", "n" * 501, None), ("ART_ONLY", "b" * 20001, None, " my style "), ("", "1 Bolt", "n" * 500, "s" * 600)]
+    df = spark.createDataFrame(rows, "mode string, text string, notes string, custom string")
+    reasons = lists.request_violations(F.col("mode"), F.col("text"), {"notes": F.col("notes")})
+    style = lists.fold_custom_style(F.lit("ink"), F.col("custom"))
+    got = [(list(r.p), r.s) for r in df.select(reasons.alias("p"), style.alias("s")).collect()]
+    assert got == [(["mode", "list_required"], "ink"), (["notes_too_long"], "ink"), (["list_too_long"], "my style"), ([], "s" * 500)]
+    lines = spark.createDataFrame([(1,)] * 61 + [(2,)] * 60, "list_id int")
+    assert [r.list_id for r in lists.over_cap(lines, "list_id").collect()] == [1]
