@@ -21,7 +21,9 @@ from deckloom.llm.common import slices
 #: Bounds of the sample a dictionary is made of: texts of a language, characters of each, bytes of the dictionary,
 #: and languages (the most frequent ones).
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES, LANGUAGES = 200, 2_000, 96 << 10, 200
-BLOCK_BYTES, LEVEL, NARROW = 1_500, 1, 0.01
+BLOCK_BYTES, LEVEL, NARROW = 8_000, 6, 0.01
+#: Shorter texts are repeated to this length: else a block costs as much stored as compressed, whatever the dictionary.
+LEAST_BYTES = 300
 UNKNOWN = "und"
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -52,12 +54,20 @@ def dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang") ->
 
 
 def blocks(data: bytes, size: int = BLOCK_BYTES) -> list[bytes]:
-    """Blocks of nearly equal length, so that no short last block weighs like a whole one."""
+    """Blocks of nearly equal length, so that no short last block weighs like a whole one. ``data`` is not empty."""
+    if len(data) < LEAST_BYTES:
+        data = (data + b" ") * -(-LEAST_BYTES // (len(data) + 1))
     n = max(1, -(-len(data) // size))
     edges = [len(data) * i // n for i in range(n + 1)]
     return [data[a:b] for a, b in zip(edges, edges[1:])]
 
 
+def compressor(dictionary: bytes) -> zstd.ZstdCompressor:
+    """Matches from three bytes on, and nothing in the frame but the text."""
+    how = zstd.ZstdCompressionParameters.from_level(LEVEL, source_size=BLOCK_BYTES, dict_size=len(dictionary), min_match=3, write_checksum=0, write_content_size=0, write_dict_id=0)
+    return zstd.ZstdCompressor(compression_params=how, dict_data=zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_RAWCONTENT))
+
+
 def classify(docs: DataFrame, learned: dict[str, bytes], text: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """``keep`` columns, ``lang_pred``, ``score`` (0 to 1), ``rejected``.
 
@@ -71,9 +81,7 @@ def classify(docs: DataFrame, learned: dict[str, bytes], text: str = "text", kee
     schema = rows.select(*rows.columns[: len(kept)], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = [zstd.ZstdCompressor(level=LEVEL, dict_data=zstd.ZstdCompressionDict(d, dict_type=zstd.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False) for d in learned.values()]
-        for c, d in zip(made, learned.values()):
-            c.compress(d[:16])
+        made = [compressor(d) for d in learned.values()]
         for part in slices(batches, "__text"):
             best, score = [], []
             for value in part.column("__text").to_pylist():

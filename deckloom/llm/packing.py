@@ -10,6 +10,8 @@ and no padding however many workers there are.
 
 from __future__ import annotations
 
+import itertools
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -26,11 +28,13 @@ CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 #: Characters on which the tokenizer's word pattern and Python's agree: ASCII without the separators 1C-1F,
 #: and the letters of Latin-1 and Latin Extended-A. Other texts go through the tokenizer whole.
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ſ]*")
+#: White space before a space: there the space would not begin a word.
+_RUN = re.compile(r"\s ")
 #: Fixed value: the word pattern of byte-level BPE, for those characters.
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
@@ -42,32 +46,62 @@ SCHEMA = T.StructType([
 
 
 class Ids:
-    """Little-endian 32-bit ids of a text, as the tokenizer gives them. Words repeat, so their ids are remembered."""
+    """Little-endian 32-bit ids of texts, as the tokenizer gives them.
+
+    Texts are taken apart at spaces, where the tokenizer's words always begin, and what stands between
+    repeats, so its ids are remembered. Texts for which that does not hold go through the tokenizer whole.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores are Spark's
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [str(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        words = _WORDS.findall(text)
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            pass
+    def _learn(self, pieces: set[str]) -> None:
+        """Ids of new pieces. Their words are encoded in one text, in which a word of a space and more stays one."""
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = dict(itertools.islice(self.pieces.items(), REMEMBERED // 4))  # the first ones are the frequent ones
         if len(self.words) > REMEMBERED:
-            self.words.clear()
-        new = [w for w in set(words) if w not in self.words]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, words))
+            self.words = dict(itertools.islice(self.words.items(), REMEMBERED // 4))
+        parts = {p: _WORDS.findall(p) for p in pieces}
+        new = {w for ws in parts.values() for w in ws if w not in self.words}
+        joined = [w for w in new if len(w) > 1 and w[0] == " " and not w[1].isspace()]
+        for at in range(0, len(joined), 20_000):
+            some = joined[at : at + 20_000]
+            e = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            ids, owner = np.array(e.ids, "<u4"), np.array(e.word_ids)
+            edges = np.searchsorted(owner, np.arange(len(some) + 1))
+            for w, a, b in zip(some, edges.tolist(), edges[1:].tolist()):
+                self.words[w] = ids[a:b].tobytes()
+        for w in new:
+            if w not in self.words:
+                self.words[w] = self.whole(w)
+        for p, ws in parts.items():
+            self.pieces[p] = b"".join(map(self.words.__getitem__, ws))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        taken: list[list[str] | None] = []
+        for text in texts:
+            if _PLAIN.fullmatch(text) and not _RUN.search(text) and not any(s in text for s in self.special):
+                first, *rest = text.split(" ")
+                taken.append([first, *[" " + p for p in rest]])
+            else:
+                taken.append(None)
+        missing = {p for ps in taken if ps for p in ps if p not in self.pieces}
+        if missing:
+            self._learn(missing)
+            missing = {p for ps in taken if ps for p in ps if p not in self.pieces}
+            if missing:  # forgotten just now
+                self._learn(missing)
+        known = self.pieces.__getitem__
+        return [self.whole(text) if ps is None else b"".join(map(known, ps)) for text, ps in zip(texts, taken)]
 
 
 _READY: dict[str, Ids] = {}
@@ -129,8 +163,9 @@ def _packer(path: str, capacity: int, id_column: str, text_column: str, keep_ids
 
         for part in slices(batches, text_column):
             rows: list[tuple] = []
-            for doc, text in zip(part.column(id_column).to_pylist(), part.column(text_column).to_pylist()):
-                mine = ids(text or "") + end
+            texts = [t or "" for t in part.column(text_column).to_pylist()]
+            for doc, mine in zip(part.column(id_column).to_pylist(), ids(texts)):
+                mine += end
                 n, at = len(mine) // 4, 0
                 for size in cuts(n, capacity):
                     piece = mine[4 * at : 4 * (at + size)]

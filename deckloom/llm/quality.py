@@ -7,6 +7,7 @@ turn that into a probability, whose temperature is fitted on training rows that
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,42 +28,41 @@ REMEMBERED = 200_000
 #: Rows of the vector table that travel together.
 BLOCK = 2_048
 
-_UNITS = re.compile(r"[^\W\d_]+|\d+|\n+|(?:[^\w\s]|_)+")
-#: The first buckets are marks: the same word again, a word in capitals, a short line, a number, a line end.
-SAME, CAPITALS, NUMBER, LINE, MARKS = 0, 1, 2, 3, 8
+_UNITS = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
+#: The first buckets are marks; numbers share one.
+NUMBER, MARKS, CAPITALS = 0, 8, 1 << 20
 
 
 class Units:
-    """Bucket of each unit of a text. Units repeat, so a bounded number of them is remembered."""
+    """Bucket of each unit of a text. What stands between blanks repeats, so a bounded number of it is remembered."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known: dict[str, bytes] = {}
 
     @staticmethod
     def bucket(unit: str) -> int:
-        """The bucket, with 1 << 20 added for a word in capitals."""
-        if unit[0] == "\n":
-            return LINE
+        """The bucket, with ``CAPITALS`` added for a word in capitals."""
         if unit[0].isdecimal():
             return NUMBER
         if unit[0].isalpha():
-            return MARKS + zlib.crc32(unit.lower().encode()) % (BUCKETS - MARKS) + ((1 << 20) if len(unit) > 1 and unit.isupper() else 0)
+            return MARKS + zlib.crc32(unit.lower().encode()) % (BUCKETS - MARKS) + (CAPITALS if len(unit) > 1 and unit.isupper() else 0)
         return MARKS + zlib.crc32(unit[:4].encode()) % (BUCKETS - MARKS)
 
     def __call__(self, text: str) -> tuple[np.ndarray, int, int]:
         """Buckets in order, how many units repeat the one before, how many are in capitals."""
-        units, known = _UNITS.findall(text), self.known
+        pieces, known = text.split(), self.known
         try:
-            raw = np.array(list(map(known.__getitem__, units)), np.int64)
+            raw = b"".join(map(known.__getitem__, pieces))
         except KeyError:
             if len(known) > REMEMBERED:
-                known.clear()
-            for u in set(units):
-                if u not in known:
-                    known[u] = self.bucket(u)
-            raw = np.array(list(map(known.__getitem__, units)), np.int64)
-        plain = raw & ((1 << 20) - 1)
-        return plain, int((plain[1:] == plain[:-1]).sum()), int((raw >> 20).sum())
+                self.known = known = dict(itertools.islice(known.items(), REMEMBERED // 4))
+            for p in set(pieces):
+                if p not in known:
+                    known[p] = np.array([self.bucket(u) for u in _UNITS.findall(p)], np.int32).tobytes()
+            raw = b"".join(map(known.__getitem__, pieces))
+        codes = np.frombuffer(raw, np.int32)
+        plain = codes & (CAPITALS - 1)
+        return plain, int((plain[1:] == plain[:-1]).sum()), int((codes >= CAPITALS).sum())
 
 
 def index_vectors() -> np.ndarray:
@@ -129,15 +129,15 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
 
 
 def pooled(text: str, units: Units, vectors: np.ndarray) -> np.ndarray:
-    """Mean vector, shares of repeats and capitals, share of units with no vector, log length."""
+    """Mean vector; shares of repeats, capitals, different units, numbers and lines; log length."""
     ids, same, capitals = units(text)
-    out = np.zeros(WIDTH + 5, np.float32)
+    out = np.zeros(WIDTH + 6, np.float32)
     n = len(ids)
     if n:
         counts = np.bincount(ids, minlength=1)
         used = np.flatnonzero(counts)
         out[:WIDTH] = counts[used].astype(np.float32) @ vectors[used] / n
-        out[WIDTH:] = same / n, capitals / n, len(used) / n, (ids < MARKS).mean(), np.log1p(n) / 10
+        out[WIDTH:] = same / n, capitals / n, len(used) / n, (ids < MARKS).mean(), text.count("\n") / n, np.log1p(n) / 10
     return out
 
 
@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
     """Model from at most ``rows`` labelled documents (``labels.quality`` 0 or 1), those of the lowest hash of their id.
 
     ``learn_from`` filters ids. Null labels and ids teach nothing; one label is kept of repeated ones. None if
-    there is no labelled row. Only the pooled vectors of the sample (69 numbers a row) reach the driver.
+    there is no labelled row. Only the pooled vectors of the sample (70 numbers a row) reach the driver.
     """
     named = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     if learn_from is not None:

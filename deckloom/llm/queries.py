@@ -86,7 +86,7 @@ bent(i, low, high) AS (
   UNION ALL
   SELECT i + 1, CASE WHEN ok THEN low ELSE mid END, CASE WHEN ok THEN mid ELSE high END
   FROM (SELECT i, low, high, mid,
-               ln(list_sum(list_transform(ps, x -> pow(x, mid)))) - mid * list_sum(list_transform(ps, x -> pow(x, mid) * ln(x))) / list_sum(list_transform(ps, x -> pow(x, mid)))
+               ln(list_sum(list_transform(ps, lambda x: pow(x, mid)))) - mid * list_sum(list_transform(ps, lambda x: pow(x, mid) * ln(x))) / list_sum(list_transform(ps, lambda x: pow(x, mid)))
                  < 0.95 * ln(len(ps)) AS ok
         FROM (SELECT i, low, high, (low + high) / 2 AS mid FROM bent WHERE i < 50), p)),
 rep(i, low, high) AS (
@@ -95,12 +95,12 @@ rep(i, low, high) AS (
   SELECT i + 1, CASE WHEN ok THEN low ELSE mid END, CASE WHEN ok THEN mid ELSE high END
   FROM (SELECT i, low, high, mid, pow(list_max(ps) / list_min(ps), 1 - mid) <= 4.0 AS ok
         FROM (SELECT i, low, high, (low + high) / 2 AS mid FROM rep WHERE i < 50), p)),
-h AS (SELECT -list_sum(list_transform(ps, x -> x * ln(x))) AS h1, ln(len(ps)) AS h0 FROM p),
+h AS (SELECT -list_sum(list_transform(ps, lambda x: x * ln(x))) AS h1, ln(len(ps)) AS h0 FROM p),
 a AS (SELECT greatest(
         CASE WHEN h1 >= 0.95 * h0 THEN 1.0 WHEN h0 <= 0.95 * h0 THEN 0.0 ELSE (SELECT high FROM bent WHERE i = 50) END,
         CASE WHEN list_max(ps) / list_min(ps) <= 4.0 THEN 0.0 ELSE (SELECT high FROM rep WHERE i = 50) END) AS a FROM h, p),
-w AS (SELECT source, t, pow(t / total, a) / list_sum(list_transform(ps, x -> pow(x, a))) AS weight,
-             total * list_sum(list_transform(ps, x -> pow(x, a))) * pow(list_max(ps), 1 - a) AS budget FROM s, p, a WHERE t > 0),
+w AS (SELECT source, t, pow(t / total, a) / list_sum(list_transform(ps, lambda x: pow(x, a))) AS weight,
+             total * list_sum(list_transform(ps, lambda x: pow(x, a))) * pow(list_max(ps), 1 - a) AS budget FROM s, p, a WHERE t > 0),
 q AS (SELECT source, t, weight, CAST(floor(weight * budget + 1e-6) AS BIGINT) AS quota FROM w),
 b AS (SELECT source, block, sum(n_tokens)::BIGINT AS bt, md5('mix|' || coalesce(source, chr(0)) || '|' || coalesce(block::VARCHAR, '-')) AS place FROM d GROUP BY source, block),
 c AS (SELECT b.source, block, bt, sum(bt) OVER (PARTITION BY b.source ORDER BY place) AS upto FROM b),
