@@ -27,8 +27,8 @@ from deckloom.llm.common import slices
 CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+#: Words whose ids a worker remembers, at most.
+REMEMBERED = 800_000
 
 #: Characters on which the tokenizer's word pattern and Python's agree: ASCII without the separators 1C-1F,
 #: and the letters of Latin-1 and Latin Extended-A. Other texts go through the tokenizer whole.
@@ -59,49 +59,47 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [str(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # what stands after a space
+        self.heads: dict[str, bytes] = {}  # what a text begins with
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Ids of new pieces. Their words are encoded in one text, in which a word of a space and more stays one."""
-        if len(self.pieces) > REMEMBERED:
-            self.pieces = dict(itertools.islice(self.pieces.items(), REMEMBERED // 4))  # the first ones are the frequent ones
-        if len(self.words) > REMEMBERED:
-            self.words = dict(itertools.islice(self.words.items(), REMEMBERED // 4))
-        parts = {p: _WORDS.findall(p) for p in pieces}
-        new = {w for ws in parts.values() for w in ws if w not in self.words}
-        joined = [w for w in new if len(w) > 1 and w[0] == " " and not w[1].isspace()]
+    def _learn(self, pieces: set[str], before: str) -> None:
+        """Ids of new pieces, each after ``before``. Their words are encoded in one text, in which a space and more stay one word."""
+        parts = {p: [before + p] if p.isalpha() else [before + p[:-1], p[-1]] if p[:-1].isalpha() and p[-1] in ".," else _WORDS.findall(before + p) for p in pieces}
+        new = set().union(*parts.values()).difference(self.words)
+        joined = [w for w in new if w[0] == " " and len(w) > 1 and not w[1].isspace()]
         for at in range(0, len(joined), 20_000):
             some = joined[at : at + 20_000]
             e = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            ids, owner = np.array(e.ids, "<u4"), np.array(e.word_ids)
-            edges = np.searchsorted(owner, np.arange(len(some) + 1))
-            for w, a, b in zip(some, edges.tolist(), edges[1:].tolist()):
-                self.words[w] = ids[a:b].tobytes()
-        for w in new:
-            if w not in self.words:
-                self.words[w] = self.whole(w)
+            ids, owner = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
+            edges = (4 * np.searchsorted(owner, np.arange(len(some) + 1))).tolist()
+            self.words.update(zip(some, map(ids.__getitem__, map(slice, edges, edges[1:]))))
+        for w in new.difference(self.words):
+            self.words[w] = self.whole(w)
+        kept = self.pieces if before else self.heads
         for p, ws in parts.items():
-            self.pieces[p] = b"".join(map(self.words.__getitem__, ws))
+            kept[p] = self.words[ws[0]] if len(ws) == 1 else b"".join(map(self.words.__getitem__, ws))
+
+    def _forget(self) -> None:
+        """Of too many words the first ones stay, which are the frequent ones."""
+        for name in ("words", "pieces", "heads"):
+            if len(had := getattr(self, name)) > REMEMBERED:
+                setattr(self, name, dict(itertools.islice(had.items(), REMEMBERED // 3)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        taken: list[list[str] | None] = []
-        for text in texts:
-            if _PLAIN.fullmatch(text) and not _RUN.search(text) and not any(s in text for s in self.special):
-                first, *rest = text.split(" ")
-                taken.append([first, *[" " + p for p in rest]])
-            else:
-                taken.append(None)
-        missing = {p for ps in taken if ps for p in ps if p not in self.pieces}
-        if missing:
-            self._learn(missing)
-            missing = {p for ps in taken if ps for p in ps if p not in self.pieces}
-            if missing:  # forgotten just now
-                self._learn(missing)
+        self._forget()
+        plain = [bool(t and _PLAIN.fullmatch(t) and not _RUN.search(t) and not any(s in t for s in self.special)) for t in texts]
+        taken = [t.split(" ") for t, ok in zip(texts, plain) if ok]
+        firsts = [ps.pop(0) for ps in taken]
+        if new := set().union(*taken).difference(self.pieces):
+            self._learn(new, " ")
+        if new := set(firsts).difference(self.heads):
+            self._learn(new, "")
         known = self.pieces.__getitem__
-        return [self.whole(text) if ps is None else b"".join(map(known, ps)) for text, ps in zip(texts, taken)]
+        done = (self.heads[f] + b"".join(map(known, ps)) for f, ps in zip(firsts, taken))
+        return [next(done) if ok else self.whole(t) for t, ok in zip(texts, plain)]
 
 
 _READY: dict[str, Ids] = {}
