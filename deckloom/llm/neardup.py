@@ -23,6 +23,8 @@ from deckloom.llm.words import mixed, shingle_sets
 SHINGLE = 5
 #: Shingles known as common, at most: they come last in the order, the rest need no list.
 COMMON, COMMON_FROM = 1 << 18, 16
+#: A prefix is longer by one shingle for so many of the set, and so many more must meet.
+MET_STEP = 25
 #: Shingles held while a task looks for repeated ones; postings and shingles of one comparison, which bound its memory.
 HELD, BLOCK_SHINGLES = 3_000_000, 120_000
 
@@ -32,6 +34,11 @@ def needed(n: np.ndarray | int) -> np.ndarray | int:
     return (4 * n + 4) // 5
 
 
+def met(n: np.ndarray | int) -> np.ndarray | int:
+    """Shingles of its prefix that a set of n meets at least in the prefix of any set of its size or more that it links to."""
+    return 1 + n // MET_STEP
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that a stretch of documents has more than once, with their counts."""
     held, n = [], 0
@@ -83,8 +90,11 @@ class Order:
         return np.where(self.tokens[at] == s, self.rank[at], -1)
 
     def prefix(self, s: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """The shingles one of which every linked set has in its own prefix."""
-        n = len(s) - int(needed(len(s))) + 1
+        """The first n - needed + met shingles: as many as ``met`` of the smaller set are common to the prefixes of two linked sets.
+
+        (Of ``needed`` common shingles in order, the k-th has needed - k after it in either set.)
+        """
+        n = min(len(s), len(s) - int(needed(len(s))) + int(met(len(s))))
         plain = s[places < 0]
         if len(plain) >= n:
             return plain[:n]
@@ -142,13 +152,13 @@ def _postings(order: Order):
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of groups of fitting sizes that share a row of the matrix. Rows come sorted by token and group."""
+    """Pairs of groups of fitting sizes that share rows of the matrix, with how many and the smallest size. Rows come sorted by token and group."""
     carry = None
 
     def pairs(token: np.ndarray, g: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
         heads = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, int)
         sizes = np.diff(np.r_[heads, len(token)])
-        a_all, b_all = [], []
+        a_all, b_all, n_all = [], [], []
         for h, k in zip(heads[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
             group, first = np.unique(g[h : h + k], return_index=True)
             if len(group) < 2:
@@ -159,9 +169,13 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 b = group[i + 1 :][fit]
                 a_all.append(np.full(len(b), group[i]))
                 b_all.append(b)
+                n_all.append(np.minimum(small[i], small[i + 1 :][fit]))
         if a_all and (a := np.concatenate(a_all)).size:
-            both = np.unique(np.stack([a, np.concatenate(b_all)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["g1", "g2"])
+            b, n = np.concatenate(b_all), np.concatenate(n_all)
+            by = np.lexsort((b, a))
+            a, b, n = a[by], b[by], n[by]
+            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(np.diff(np.r_[first, len(a)])), pa.array(np.minimum.reduceat(n, first).astype(np.int64))], names=["g1", "g2", "shared", "low"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -266,9 +280,11 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     groups = nodes.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     groups = groups.withColumn("nb", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int"))
     postings = rows.select("text").mapInArrow(_postings(order), "token long, g long, low int, high int")
-    met = postings.repartition("token").sortWithinPartitions("token", "g").mapInArrow(_meetings, "g1 long, g2 long").distinct()
+    meetings = postings.repartition("token").sortWithinPartitions("token", "g").mapInArrow(_meetings, "g1 long, g2 long, shared long, low long")
+    meetings = meetings.groupBy("g1", "g2").agg(F.sum("shared").alias("shared"), F.min("low").alias("low"))
+    qualified = meetings.where(F.expr(f"shared >= 1 + low div {MET_STEP}")).select("g1", "g2")
     alone = groups.where("m > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
-    pairs = settled(met.union(alone), "groups-met")
+    pairs = settled(qualified.union(alone), "groups-met")
     block = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
     members = nodes.select("fp", "rid", "g").join(groups.select("g", "nb"), "g").withColumn("block", block)
     size = groups.select(F.col("g").alias("og"), F.col("nb").alias("onb"))
