@@ -39,7 +39,7 @@ def needs_tab(power: Column, loyalty: Column, lettered: Column) -> Column:
 
 def face_count(layout: Column, data: Column) -> Column:
     listed = F.size(F.variant_get(data, "$.card_faces", "array<variant>"))
-    return F.when(layout.isin(*C.TWO_SIDED_LAYOUTS), F.least(listed, F.lit(2))).otherwise(F.lit(1))
+    return F.when(layout.isin(*C.TWO_SIDED_LAYOUTS), F.least(F.coalesce(listed, F.lit(0)), F.lit(2))).otherwise(F.lit(1))
 
 
 def _sides(layout: Column, data: Column) -> Column:
@@ -137,13 +137,11 @@ def alias_index(cards: DataFrame, carry: list[str] = ()) -> DataFrame:
 def resolve(lines: DataFrame, cards: DataFrame, name: str = "name", carry: list[str] = ()) -> DataFrame:
     """Left join of asked names to their card. `card_id` is null where nothing answers.
 
-    A few names (staples) are asked for far more often than the rest. Where the index is too large to
-    broadcast, those names are measured and salted, so that no task gets one name's lines alone.
+    An ordinary equi-join: Spark broadcasts an index that measures small, and splits the partitions of
+    names asked for far more often than the rest at run time.
     """
     keyed = lines.withColumn("alias", F.lower(F.col(name)))
-    index = alias_index(cards, carry)
-    hot = None if scale.may_broadcast(index) else scale.hot_keys(keyed.select("alias"), ["alias"])
-    return scale.lookup(keyed, index, ["alias"], hot=hot).drop("alias")
+    return scale.lookup(keyed, alias_index(cards, carry), ["alias"]).drop("alias")
 
 
 def plan_lines(lines: DataFrame, cards: DataFrame, carry_faces: bool = False) -> DataFrame:

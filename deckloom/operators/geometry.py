@@ -85,7 +85,7 @@ def audit(power: Column, paragraphs: Column, overflowed: Column) -> Column:
             F.when(title.isNull(), problem("missing_title", F.lit("no title surface"))),
             F.when(type_.isNull(), problem("missing_type", F.lit("no type surface"))),
             F.when(F.size(strips) == 0, problem("missing_rules", F.lit("no rules surface"))),
-            F.when(power.isNotNull() & tab.isNull(), problem("missing_pt", F.lit("no tab for power and toughness"))),
+            F.when(power.isNotNull() & tab.isNull(), problem("missing_pt", F.lit("a printed strength has no box"))),
             F.when(
                 title["y0"] > C.TITLE_MAX_Y,
                 problem("title_out_of_order", F.concat(F.lit("title plate at y="), share(title["y0"]))),

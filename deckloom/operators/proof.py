@@ -241,6 +241,16 @@ def held_out_leaks(reference: DataFrame, evaluation: DataFrame, text: str) -> Da
     return keyed.join(known, "key", "left_semi")
 
 
+def held_out_flags(reference: DataFrame, evaluation: DataFrame, text: str) -> DataFrame:
+    """Reference rows with `leak`, 1 where the key is an evaluation key. Blank keys match nothing and are dealt out evenly."""
+    key = T.key_letters(F.col(text))
+    known = evaluation.select(key.alias("key")).where(F.col("key") != "").distinct().withColumn("leak", F.lit(1))
+    blank = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*reference.columns), F.lit(4096)).cast("string"))
+    keyed = reference.withColumn("key", key)
+    keyed = keyed.withColumn("key", F.when(F.coalesce(F.col("key"), F.lit("")) == "", blank).otherwise(F.col("key")))
+    return keyed.join(known, "key", "left").withColumn("leak", F.coalesce("leak", F.lit(0))).drop("key")
+
+
 def held_out_clean(reference: DataFrame, evaluation: DataFrame, text: str) -> DataFrame:
     keyed = reference.withColumn("key", T.key_letters(F.col(text)))
     known = evaluation.select(T.key_letters(F.col(text)).alias("key")).where(F.col("key") != "").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from deckloom import constants as C
 from deckloom.operators import scale
 
-ABANDONED = "the server restarted while this job was running"
+ABANDONED = "its worker is gone: run the job again"
 
 
 def next_action(attempt: Column, attempts: Column, codes: Column, cost_lettered: Column) -> Column:

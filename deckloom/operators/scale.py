@@ -104,14 +104,6 @@ def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def may_broadcast(df: DataFrame) -> bool:
-    """Whether Spark's own size estimate lets it broadcast this side; reads no data."""
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    in_bytes = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)
-    return int(str(size)) <= in_bytes
-
-
 def lookup(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "left", hot: DataFrame | None = None) -> DataFrame:
     """Join facts to a side with few rows per key.
 

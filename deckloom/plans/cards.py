@@ -258,7 +258,7 @@ SELECT card_id, face_position, concat_ws(chr(10), '{P["opening"]}', {SUBJECT_SQL
   CASE WHEN art_crop IS NOT NULL THEN '{P["reference"]} Show it ' || camera || ', ' || moment || '.' END,
   CASE WHEN style <> '' THEN 'Art style: ' || style || CASE WHEN style LIKE '%halftone%' THEN '{briefs.COARSE_NOTE}' ELSE '' END || '.' END,
   CASE WHEN direction IS NOT NULL THEN 'Composition: ' || direction || '.' END,
-  'Colour treatment: moonlit.' || CASE branch WHEN 'colourless' THEN '' WHEN 'black' THEN ' Take its materials, never its warmth.'
+  'Palette to use: moonlit.' || CASE branch WHEN 'colourless' THEN '' WHEN 'black' THEN ' Take its materials, never its warmth.'
     ELSE ' Where the two disagree, the ' || names || ' wins.' END,
   '{P["quality"]}', '{P["output"]}',
   CASE WHEN k % 9 = 0 THEN 'Rejected before, fix this: matted; busy.' END) AS brief
@@ -408,8 +408,8 @@ def refused(spark, sf):
 SELECT 'archetype' AS kind, r_name AS value FROM (SELECT r_name FROM region INTERSECT
   SELECT r_name FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal < 0)
 UNION ALL
-SELECT 'hued:' || card_id, array_to_string(list_filter(list_distinct(identity), lambda c: c IN ('R', 'G', 'U', 'B')), ',')
-FROM v_card WHERE len(identity) < 2
+SELECT 'hued:' || card_id, array_to_string(list_sort(list_filter(list_distinct(identity), lambda c: c IN ('R', 'G', 'U', 'B'))), ',')
+FROM v_card
 """,
     ("v_card",),
 )
@@ -424,8 +424,7 @@ def shared(spark, sf):
     identity = F.variant_get("data", "$.color_identity", "array<string>")
     hued = F.array_intersect(identity, F.array(*[F.lit(m) for m in C.HUED_MANA]))
     return both.select(F.lit("archetype").alias("kind"), F.col("r_name").alias("value")).unionAll(
-        V.cards(spark, sf).where(F.size(identity) < 2)
-        .select(F.concat(F.lit("hued:"), "card_id"), F.array_join(hued, ","))
+        V.cards(spark, sf).select(F.concat(F.lit("hued:"), "card_id"), F.array_join(F.array_sort(hued), ","))
     )
 
 

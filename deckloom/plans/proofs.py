@@ -236,8 +236,6 @@ def held_out(spark, sf):
         return V.table(spark, sf, name).select(key, F.explode(F.split("text", "\n")).alias("line"))
 
     reference, evaluation = rows("documents", "doc_id"), rows("benchmark", "item_id")
-    leaks = proof.held_out_leaks(reference, evaluation, "line").select("doc_id", F.lit(1).alias("leak"))
-    clean = proof.held_out_clean(reference, evaluation, "line").select("doc_id", F.lit(0).alias("leak"))
-    return leaks.unionAll(clean).groupBy("doc_id").agg(
+    return proof.held_out_flags(reference, evaluation, "line").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("lines"), F.sum("leak").cast("bigint").alias("leaked")
     )

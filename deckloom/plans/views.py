@@ -13,18 +13,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Give every core a share of a table that comes in fewer splits than there are cores.
-
-    The small test tables are single files, hence single tasks. A table of many splits, as on a
-    cluster, is passed through untouched.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"))
+    return table(spark, sf, "documents")
 
 
 def _base(name: str, key: str) -> Column:
@@ -34,7 +24,7 @@ def _base(name: str, key: str) -> Column:
 def card_documents(spark: SparkSession, sf: str) -> DataFrame:
     """part → p_partkey, released, document: one JSON card each, with absent and explicit null keys."""
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    return spread(part).selectExpr(
+    return part.selectExpr(
         "p_partkey", "p_size", "p_type", "concat(p_name, ' ', p_partkey % 10) AS base",
         "cast(replace(p_brand, 'Brand#', '') AS int) AS brand", "p_partkey AS k",
     ).selectExpr(
@@ -105,7 +95,7 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     )
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("part"), "p_name", "p_type")
     rows = (
-        spread(item).join(part, "part")
+        item.join(part, "part")
         .withColumn("base", _base("p_name", "part"))
         .withColumn("n", F.col("part") + F.col("supp") * 3 + F.col("line"))
     )
@@ -173,7 +163,7 @@ def level(top: int) -> Column:
 def scaled(spark: SparkSession, sf: str, top: int) -> DataFrame:
     """embeddings → image_id, label, raw."""
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), "label", "embedding")
-    return scale.once(spread(rows), raw=level(top)).drop("embedding")
+    return scale.once(rows, raw=level(top)).drop("embedding")
 
 
 def grids(spark: SparkSession, sf: str) -> DataFrame:
@@ -293,7 +283,7 @@ def raw_boxes(spark: SparkSession, sf: str) -> DataFrame:
 def canvas_strips(spark: SparkSession, sf: str) -> DataFrame:
     """Canvases with the raw rules boxes of the same face in the same row, so pixels need no join."""
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), "label", "embedding")
-    leveled = scale.once(spread(rows), raw=level(255), raw_k=level(1000)).drop("embedding")
+    leveled = scale.once(rows, raw=level(255), raw_k=level(1000)).drop("embedding")
     return _painted(leveled.select("image_id", "label", "raw", *_box_columns("raw_k")), ["rules"])
 
 

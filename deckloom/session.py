@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.files.openCostInBytes": "65536",
+    "spark.sql.files.maxPartitionBytes": "8388608",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -16,6 +16,9 @@ def _channels(data: pd.Series, channels: pd.Series) -> pd.DataFrame:
     """Blue-green-red bytes (or grey, or with alpha) to three arrays, a whole image at a time."""
     rows = []
     for raw, depth in zip(data, channels):
+        if depth < 1:
+            rows.append((None, None, None))
+            continue
         pixels = np.frombuffer(raw, dtype=np.uint8).reshape(-1, depth).astype(np.int32)
         rows.append((pixels[:, min(2, depth - 1)], pixels[:, min(1, depth - 1)], pixels[:, 0]))
     return pd.DataFrame(rows, columns=list("rgb"))
@@ -34,7 +37,7 @@ def decode(images: DataFrame, image: str, keep: list[str]) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Every card image under a folder, at any depth."""
-    files = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(path)
+    """Every card image under a folder, at any depth. One that cannot be decoded has an `error` and no channels."""
+    files = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][nN][gG]").load(path)
     kept = files.where(is_card_image(F.col("image.origin"))).withColumn("path", F.col("image.origin"))
-    return decode(kept, "image", ["path"])
+    return decode(kept, "image", ["path"]).withColumn("error", F.when(F.col("width") < 0, "cannot be decoded"))

@@ -14,6 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 from deckloom.operators import catalogue, runs
 
 
+ONCE = {"availableNow": True}
+
+
 def _by_batch(path: str):
     def write(rows: DataFrame, batch: int) -> None:
         stamped = rows.withColumn("batch", F.lit(batch).cast("bigint"))
@@ -27,15 +30,21 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 # --- live progress ---------------------------------------------------------------------------
-TALLY = "job_id bigint, finished bigint, ok bigint, unsound bigint, failed bigint, timed bigint, seconds bigint, batch bigint"
+TALLY = "job_id bigint, finished bigint, ok bigint, unsound bigint, failed bigint, timed bigint, seconds decimal(38,3), batch bigint"
+
 
+def start_progress(
+    results: DataFrame, path: str, checkpoint: str, retention: str | None = None, trigger: dict | None = None
+) -> StreamingQuery:
+    """Running sums per job, rewritten only for jobs that moved. Seconds are kept to three decimals.
 
-def start_progress(results: DataFrame, path: str, checkpoint: str, retention: str | None = None) -> StreamingQuery:
-    """Running sums per job, rewritten only for jobs that moved.
+    `trigger` holds the arguments of Spark's trigger, for example {"processingTime": "5 seconds"}; by default
+    what is there is worked off and the query ends.
 
     State grows with the number of jobs. With `retention`, jobs are grouped with their own `created`
     time under a watermark, and a job older than that leaves the state; it must finish within it.
     """
+    results = results.withColumn("seconds", F.col("seconds").cast("decimal(28,3)"))
     if retention is None:
         sums = runs.tallies(results)
     else:
@@ -47,9 +56,10 @@ def start_progress(results: DataFrame, path: str, checkpoint: str, retention: st
             F.count_if(timed).alias("timed"),
             F.coalesce(F.sum("seconds"), F.lit(0)).alias("seconds"),
         ).drop("created")
+    sums = sums.withColumn("seconds", F.col("seconds").cast("decimal(38,3)"))
     return (
         sums.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(_by_batch(path)).start()
+        .trigger(**(trigger or ONCE)).foreachBatch(_by_batch(path)).start()
     )
 
 
@@ -62,12 +72,14 @@ def read_progress(spark: SparkSession, path: str, jobs: DataFrame) -> DataFrame:
     remaining = F.greatest(F.lit(0), F.col("faces") - F.col("finished"))
     return joined.select(
         "job_id", "status", "faces", "finished", "ok", "unsound", "failed", remaining.alias("remaining"),
-        runs.eta_seconds(F.col("status"), remaining, F.col("timed"), F.col("seconds")).alias("eta_seconds"),
+        runs.eta_seconds(F.col("status"), remaining, F.col("timed"), F.col("seconds").cast("double")).alias("eta_seconds"),
     )
 
 
 # --- catalogue upserts -----------------------------------------------------------------------
-def start_upserts(rows: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str) -> StreamingQuery:
+def start_upserts(
+    rows: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
     """Each micro-batch adds only its own newest version per key; nothing stored is read or rewritten."""
     write = _by_batch(path)
 
@@ -75,7 +87,7 @@ def start_upserts(rows: DataFrame, keys: list[str], order: list[str], path: str,
         write(catalogue.latest(batch_rows, keys, order), batch)
 
     return (
-        rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(newest).start()
+        rows.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).foreachBatch(newest).start()
     )
 
 
@@ -85,7 +97,7 @@ def read_current(spark: SparkSession, path: str, keys: list[str], order: list[st
 
 
 # --- first-seen memo -------------------------------------------------------------------------
-def start_memo(rows: DataFrame, keys: list[str], path: str, checkpoint: str, within: tuple[str, str] | None = None) -> StreamingQuery:
+def start_memo(rows: DataFrame, keys: list[str], path: str, checkpoint: str, within: tuple[str, str] | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Insert-if-absent. `within` = (time column, delay) bounds the state for keys that do not return later."""
     if within is None:
         first = rows.select(*keys).dropDuplicates(keys)
@@ -94,5 +106,5 @@ def start_memo(rows: DataFrame, keys: list[str], path: str, checkpoint: str, wit
         first = rows.select(*keys, column).withWatermark(column, delay).dropDuplicatesWithinWatermark(keys).drop(column)
     return (
         first.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+        .outputMode("append").trigger(**(trigger or ONCE)).start()
     )

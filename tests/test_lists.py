@@ -131,3 +131,18 @@ def test_requests(spark):
     assert got == [(["mode", "list_required"], "ink"), (["notes_too_long"], "ink"), (["list_too_long"], "my style"), ([], "s" * 500)]
     lines = spark.createDataFrame([(1,)] * 61 + [(2,)] * 60, "list_id int")
     assert [r.list_id for r in lists.over_cap(lines, "list_id").collect()] == [1]
+
+
+def test_lookup_needs_no_size_setting(spark):
+    from deckloom.operators import catalogue
+
+    lines = spark.createDataFrame([(1, "Sol Ring"), (2, "Fire"), (3, "None such"), (4, None)], "line_no int, name string")
+    cards = spark.createDataFrame([("a", "Sol Ring"), ("b", "Fire // Ice"), ("c", "Sol Ring")], "card_id string, name string")
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in ("-1", "1", had):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            got = {r["line_no"]: r["card_id"] for r in catalogue.resolve(lines, cards).collect()}
+            assert got == {1: "a", 2: "b", 3: None, 4: None}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)

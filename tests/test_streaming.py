@@ -80,3 +80,17 @@ def test_orphans(spark):
     rows = [(1, "running", 7), (2, "running", 1), (3, "queued", None), (4, "done", 7)]
     jobs = spark.createDataFrame(rows, "job_id int, status string, worker_pid int")
     assert {r.job_id: r.status for r in runs.reap(jobs, owner=1).collect()} == {1: "failed", 2: "running", 3: "queued", 4: "done"}
+
+
+def test_fractional_seconds(spark, tmp_path):
+    from deckloom.streaming import jobs as J
+
+    (tmp_path / "in").mkdir()
+    schema = "job_id bigint, status string, seconds double"
+    spark.createDataFrame([(1, "ok", 10.5), (1, "ok", 9.5), (1, "failed", 0.0)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    J.start_progress(stream, str(tmp_path / "out"), str(tmp_path / "check"), trigger={"availableNow": True}).awaitTermination()
+    jobs = spark.createDataFrame([(1, "running", 5)], "job_id bigint, status string, faces int")
+    row = J.read_progress(spark, str(tmp_path / "out"), jobs).head()
+    assert (row["finished"], row["remaining"], row["ok"]) == (3, 2, 2)
+    assert row["eta_seconds"] is not None
