@@ -175,10 +175,10 @@ KINDS: list[tuple[str, re.Pattern, Callable[[str, bytes], str | None]]] = [
     ("ssn", re.compile(r"(?<![\d.-])\d{3}[- ]\d{2}[- ]\d{4}(?![\d-])"), _ssn),
     ("date", re.compile(r"(?<![\d./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?!\d|[-/.]\d)"), _date),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"), _address),
-    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?|\(\d{2,4}\)[ .-]?)\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"), _phone),
     ("number", re.compile(r"(?<![A-Za-z0-9.+])\d{4}(?:[ -]\d{4}){2}(?:[ -]\d{1,7})?(?![A-Za-z0-9])"), _number),
     ("number", re.compile(r"(?<![A-Za-z0-9.+])\d{4}[ -]\d{6}[ -]\d{5}(?![A-Za-z0-9])"), _number),
     ("number", re.compile(r"(?<![A-Za-z0-9.+])\d{13,19}(?![A-Za-z0-9])"), _number),
+    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?|\(\d{2,4}\)[ .-]?)\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"), _phone),
     ("phone", re.compile(r"(?<![\w.+-])\d{3}[-. ]\d{3}[-. ]\d{4}(?![\d-])"), _phone),
     ("number", re.compile(r"(?<![A-Za-z0-9.+])\d{9,12}(?![A-Za-z0-9])"), _number),
 ]
@@ -194,12 +194,11 @@ class Pseudonyms:
         if not _ANY.search(text):
             return text, []
         found: list[tuple[int, int, str, str]] = []
-        taken: list[tuple[int, int]] = []
+        left = text  # what is taken is blotted out for the kinds that follow
         for kind, pattern, change in KINDS:
-            for m in pattern.finditer(text):
+            taken = len(found)
+            for m in pattern.finditer(left):
                 a, b = m.span()
-                if any(a < y and x < b for x, y in taken):
-                    continue
                 value = m[0]
                 if (kind, value) not in self.known:
                     if len(self.known) > REMEMBERED:
@@ -207,7 +206,8 @@ class Pseudonyms:
                     self.known[kind, value] = change(value, self.key)
                 if (new := self.known[kind, value]) is not None:
                     found.append((a, b, kind, new))
-            taken = [(a, b) for a, b, *_ in found]
+            for a, b, *_ in found[taken:]:
+                left = f"{left[:a]}{chr(0) * (b - a)}{left[b:]}"
         if not found:
             return text, []
         found.sort()
