@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from deckloom import constants as C
 from deckloom.functions import arrays as A
 from deckloom.functions import images as I
 from deckloom.operators import scale
 from deckloom.operators.proof import present, problem
+from deckloom.sources.images import grey_bytes
 
 METRICS = ["ruled_rows", "widest_edge", "band_structure", "interior_energy"]
+MEASURED = StructType([StructField(m, LongType() if m == "ruled_rows" else DoubleType()) for m in METRICS])
+NOTHING = (None, None, None, None)
 
 
 def vertical_gradient(images: DataFrame) -> DataFrame:
@@ -28,6 +36,35 @@ def spread(images: DataFrame) -> DataFrame:
     return images.select("image_id", A.mean(F.col("px")).alias("mean"), A.deviation(F.col("px")).alias("deviation"))
 
 
+def image_metrics(grid: np.ndarray, sigma: float, share: float, band: float, inset: float) -> tuple:
+    """The four metrics of one grey image. Sums are whole numbers, so each figure rounds once.
+
+    An image without pixels has no rim to measure: 0 ruled rows, no widest edge, 0 elsewhere.
+    """
+    height, width = grid.shape
+    g = np.abs(np.diff(grid.astype(np.int32), axis=0))
+    shares = np.zeros(0)
+    if g.size:
+        total, wide = int(g.sum(dtype=np.int64)), g.ravel().astype(np.int64)
+        deviation = math.sqrt(float(g.size * int(wide @ wide) - total * total)) / g.size
+        shares = np.count_nonzero(g > total / g.size + sigma * deviation, axis=1) / width
+
+    def side(x0: int, y0: int, x1: int, y1: int) -> float:
+        part = g[max(y0, 0) : max(min(y1, height) - 1, 0), max(x0, 0) : max(x1, 0)]
+        return int(part.sum(dtype=np.int64)) / part.size if part.size else 0.0
+
+    bw, bh = math.floor(width * band), math.floor(height * band)
+    ix, iy = math.floor(width * inset), math.floor(height * inset)
+    bands = (side(0, 0, width, bh), side(0, height - bh, width, height), side(0, 0, bw, height), side(width - bw, 0, width, height))
+    widest = float(shares.max()) if shares.size else None
+    return int(np.count_nonzero(shares > share)), widest, min(bands), side(ix, iy, width - ix, height - iy)
+
+
+def _metrics_table(rows: list[tuple]) -> pd.DataFrame:
+    table = pd.DataFrame(rows, columns=METRICS)
+    return table.astype({"ruled_rows": "Int64", **dict.fromkeys(METRICS[1:], "Float64")})
+
+
 def measure(
     images: DataFrame,
     keep: list[str],
@@ -36,39 +73,55 @@ def measure(
     band: float = C.BAND_SHARE,
     inset: float | None = None,
 ) -> DataFrame:
-    """The four structure metrics, one row in and one row out.
+    """The four structure metrics, one row in and one row out; null for an image that has no channels.
 
-    An edge is hard where the gradient passes its own image's mean by `sigma` deviations.
+    An edge is hard where the gradient passes its own image's mean by `sigma` deviations. Whole images are
+    measured as arrays, one Arrow batch at a time.
     """
     inset = 3 * band if inset is None else inset
-    width, height, g = F.col("width"), F.col("height"), F.col("_g")
-    sized = images.select(*keep, "width", "height", "px")
-    graded = scale.once(sized, _g=I.gradient(F.col("px"), width)).drop("px")
-
-    def hard(limit: Column) -> Column:
-        return F.transform(
-            A.index_range(F.lit(0), height - 1),
-            lambda y: A.count_where(F.slice(g, y * width + 1, width), lambda v: v > limit) / width,
-        )
-
-    shares = scale.once(graded, _shares=A.let(A.mean(g) + sigma * A.deviation(g), hard))
-    bw, bh = F.floor(width * band).cast("int"), F.floor(height * band).cast("int")
-    ix, iy = F.floor(width * inset).cast("int"), F.floor(height * inset).cast("int")
-
-    def side(x0, y0, x1, y1) -> Column:
-        return I.gradient_mean(g, width, height, x0, y0, x1, y1)
-
-    zero = F.lit(0)
-    return shares.select(
-        *keep,
-        A.count_where(F.col("_shares"), lambda s: s > share).cast("bigint").alias("ruled_rows"),
-        F.array_max("_shares").alias("widest_edge"),
-        F.least(
-            side(zero, zero, width, bh), side(zero, height - bh, width, height),
-            side(zero, zero, bw, height), side(width - bw, zero, width, height),
-        ).alias("band_structure"),
-        side(ix, iy, width - ix, height - iy).alias("interior_energy"),
-    )
+
+    @F.pandas_udf(MEASURED)
+    def metrics(px: pd.Series, width: pd.Series) -> pd.DataFrame:
+        return _metrics_table([
+            NOTHING if flat is None or not wide > 0 else image_metrics(np.asarray(flat).reshape(-1, int(wide)), sigma, share, band, inset)
+            for flat, wide in zip(px, width)
+        ])
+
+    measured = images.select(*keep, metrics("px", "width").alias("_m"))
+    return measured.select(*keep, *[f"_m.{m}" for m in METRICS])
+
+
+def measure_stored(
+    images: DataFrame,
+    image: str,
+    keep: list[str],
+    sigma: float = C.EDGE_SIGMA,
+    share: float = C.RULED_SHARE,
+    band: float = C.BAND_SHARE,
+    inset: float | None = None,
+) -> DataFrame:
+    """`measure` straight from an image-source struct: bytes to grey to metrics in one step, no pixel arrays between.
+
+    An image that cannot be decoded keeps its row, with null metrics.
+    """
+    inset = 3 * band if inset is None else inset
+
+    @F.pandas_udf(MEASURED)
+    def metrics(data: pd.Series, channels: pd.Series, width: pd.Series) -> pd.DataFrame:
+        return _metrics_table([
+            NOTHING if raw is None or not depth > 0 or not wide > 0 else image_metrics(grey_bytes(raw, int(depth)).reshape(-1, int(wide)), sigma, share, band, inset)
+            for raw, depth, wide in zip(data, channels, width)
+        ])
+
+    part = F.col(image)
+    measured = images.select(*keep, metrics(part["data"], part["nChannels"], part["width"]).alias("_m"))
+    return measured.select(*keep, *[f"_m.{m}" for m in METRICS])
+
+
+def score_corpus(files: DataFrame, image: str, keep: list[str], archetype: Column, **limits) -> DataFrame:
+    """Stored images to metrics and problems, one row each: the whole scoring flow before any summary."""
+    measured = measure_stored(files.withColumn("_archetype", archetype), image, [*keep, "_archetype"], **limits)
+    return measured.withColumn("problems", grade(F.col("_archetype"))).drop("_archetype")
 
 
 def gate(metric: str, archetype: Column) -> Column:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from deckloom import constants as C
 from deckloom.functions import arrays as A
@@ -105,6 +103,7 @@ def obstruction_problem() -> Column:
 
 
 ISLANDS = ArrayType(StructType([StructField(c, IntegerType()) for c in ("mass", "x0", "y0", "x1", "y1")]))
+ENERGY = StructType([StructField(c, DoubleType()) for c in ("substance", "liveliness")])
 
 
 def ink_mask(values: Column) -> Column:
@@ -118,32 +117,50 @@ def ink_mask(values: Column) -> Column:
     return A.let(A.let(A.upper_median(values), lambda m: F.transform(values, lambda v: F.abs(v - m))), mask)
 
 
+def parts_of(grid: np.ndarray) -> list[dict]:
+    """4-connected parts of a mask with mass and bounds, by their first pixel in reading order.
+
+    The unit is the run of a row. Runs of neighbouring rows that overlap are found by search in their sorted
+    bounds and tied to the smallest run of their part, all runs at once.
+    """
+    height, wide = grid.shape
+    padded = np.zeros((height, wide + 2), np.int8)
+    padded[:, 1:-1] = grid
+    step = np.diff(padded, axis=1)
+    row, start = np.nonzero(step == 1)
+    stop = np.nonzero(step == -1)[1]
+    if not len(row):
+        return []
+    below = (row + 1) * (wide + 1)
+    first = np.searchsorted(row * (wide + 1) + stop, below + start, side="right")
+    last = np.searchsorted(row * (wide + 1) + start, below + stop, side="left")
+    met = np.maximum(last - first, 0)
+    upper = np.repeat(np.arange(len(row)), met)
+    lower = np.arange(met.sum()) - np.repeat(np.cumsum(met) - met, met) + np.repeat(first, met)
+    root = np.arange(len(row))
+    while (apart := root[upper] != root[lower]).any():
+        a, b = root[upper[apart]], root[lower[apart]]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (further := root[root]).tolist() != root.tolist():
+            root = further
+    heads, part = np.unique(root, return_inverse=True)
+    found = {"mass": np.zeros(len(heads), np.int64), "x0": np.full(len(heads), wide), "y0": np.full(len(heads), height),
+             "x1": np.zeros(len(heads), np.int64), "y1": np.zeros(len(heads), np.int64)}
+    np.add.at(found["mass"], part, stop - start)
+    for low, values in (("x0", start), ("y0", row)):
+        np.minimum.at(found[low], part, values)
+    for high, values in (("x1", stop), ("y1", row + 1)):
+        np.maximum.at(found[high], part, values)
+    return [dict(zip(found, map(int, values))) for values in zip(*found.values())]
+
+
 @F.pandas_udf(ISLANDS)
 def islands(mask: pd.Series, width: pd.Series) -> pd.Series:
-    """4-connected parts of each mask with mass and bounds. One Arrow batch of whole images at a time."""
-
-    def one(flat, wide):
-        grid = np.asarray(flat, dtype=bool).reshape(-1, wide)
-        found = []
-        for y, x in zip(*np.nonzero(grid)):
-            if not grid[y, x]:
-                continue
-            grid[y, x] = False
-            edge, ys, xs = deque([(y, x)]), [], []
-            while edge:
-                cy, cx = edge.popleft()
-                ys.append(cy)
-                xs.append(cx)
-                for ny, nx in ((cy + 1, cx), (cy - 1, cx), (cy, cx + 1), (cy, cx - 1)):
-                    if 0 <= ny < grid.shape[0] and 0 <= nx < wide and grid[ny, nx]:
-                        grid[ny, nx] = False
-                        edge.append((ny, nx))
-            found.append(
-                {"mass": len(ys), "x0": int(min(xs)), "y0": int(min(ys)), "x1": int(max(xs)) + 1, "y1": int(max(ys)) + 1}
-            )
-        return found
-
-    return pd.Series([one(m, w) for m, w in zip(mask, width)])
+    """The parts of each mask. One Arrow batch of whole images at a time; null where there is no image."""
+    return pd.Series([
+        None if flat is None or not wide > 0 else parts_of(np.asarray(flat, dtype=bool).reshape(-1, int(wide)))
+        for flat, wide in zip(mask, width)
+    ], dtype=object)
 
 
 def components(images: DataFrame, keep: list[str]) -> DataFrame:
@@ -170,29 +187,34 @@ def badge_problem(min_width: int = 24, min_height: int = 12) -> Column:
     return present([F.when(big & F.exists("islands", is_badge), problem("painted_marks", F.lit("badge at the end of the type line")))])
 
 
+def edge_strength(grid: np.ndarray, top: float, bottom: float) -> tuple[float | None, float]:
+    """Mean edge of a band of rows, and its ratio to the whole. An image without an inside has no edges: null and 0."""
+    if min(grid.shape) < 3:
+        return None, 0.0
+    v = grid.astype(np.int32)
+    rows = v[:-2] + v[1:-1] + v[2:]
+    edges = np.clip(9 * v[1:-1, 1:-1] - (rows[:, :-2] + rows[:, 1:-1] + rows[:, 2:]), 0, 255)
+    band = edges[round(len(edges) * top) : round(len(edges) * bottom)]
+    whole = int(edges.sum(dtype=np.int64)) / edges.size
+    mean = int(band.sum(dtype=np.int64)) / band.size if band.size else None
+    return mean, 0.0 if whole == 0 else None if mean is None else mean / whole
+
+
 def band_energy(images: DataFrame, keep: list[str], top: float = 2 / 3, bottom: float = 1.0) -> DataFrame:
     """Edge strength of a band (the lower third) and its ratio to the whole; 0 where all is flat.
 
     Edges are eight times the pixel less its neighbours, clipped to 0-255, without the outer rim.
     """
-    w, h = F.col(W), F.col(H)
-    inner_w, inner_h = w - 2, h - 2
-
-    def edge(i: Column) -> Column:
-        at = (F.floor(i / inner_w) + 1) * w + i % inner_w + 1
-        around = [F.get("px", (at + dy * w + dx).cast("int")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
-        total = around[0]
-        for value in around[1:]:
-            total = total + value
-        return F.greatest(F.lit(0), F.least(F.lit(255), F.get("px", at.cast("int")) * 8 - total))
-
-    edges = scale.once(images, _e=F.transform(A.index_range(F.lit(0), (inner_w * inner_h).cast("int")), edge))
-    start, stop = F.bround(inner_h * top).cast("int"), F.bround(inner_h * bottom).cast("int")
-    band = A.mean(F.slice("_e", start * inner_w + 1, (stop - start) * inner_w))
-    whole = A.mean(F.col("_e"))
-    return edges.select(
-        *keep, band.alias("substance"), F.when(whole > 0, band / whole).otherwise(F.lit(0.0)).alias("liveliness")
-    )
+
+    @F.pandas_udf(ENERGY)
+    def energy(px: pd.Series, width: pd.Series) -> pd.DataFrame:
+        rows = [
+            (None, 0.0) if flat is None or not wide > 0 else edge_strength(np.asarray(flat).reshape(-1, int(wide)), top, bottom)
+            for flat, wide in zip(px, width)
+        ]
+        return pd.DataFrame(rows, columns=ENERGY.names).astype("Float64")
+
+    return images.select(*keep, energy("px", W).alias("_e")).select(*keep, *[f"_e.{c}" for c in ENERGY.names])
 
 
 def light_direction(images: DataFrame, keep: list[str]) -> DataFrame:

@@ -70,6 +70,22 @@ def structure_gates(spark, sf):
     return graded(spark, sf).select("image_id", codes.alias("codes"))
 
 
+@query(
+    "flow_score",
+    f"SELECT image_id, ruled_rows, widest_edge, band_structure, interior_energy, array_to_string(codes, ',') AS codes FROM ({GRADED_SQL})",
+    ("v_grid",),
+)
+def score_flow(spark, sf):
+    """Stored grey images, as the image source gives them, to metrics and problems."""
+    digits = F.array_join(F.transform("px", lambda v: F.lpad(F.hex(v), 2, "0")), "")
+    image = F.struct("width", "height", F.lit(1).alias("nChannels"), F.unhex(digits).alias("data"))
+    stored = V.grids(spark, sf).select("image_id", "label", image.alias("image"))
+    archetype = F.when(F.col("label") == 0, "panel").when(F.col("label") < 4, "portal")
+    found = structure.score_corpus(stored, "image", ["image_id"], archetype, sigma=SIGMA, share=SHARE, band=BAND, inset=BAND)
+    codes = F.array_join(F.transform("problems", lambda p: p["code"]), ",")
+    return found.select("image_id", *structure.METRICS, codes.alias("codes"))
+
+
 @query(
     "a13_scoreboard",
     f"""SELECT batch, archetype, count(*) AS total, count(*) FILTER (len(codes) > 0) AS failures, count(*) FILTER (len(codes) = 0) AS inside

@@ -61,19 +61,17 @@ def first_seen_memo(spark, sf):
 
 @query(
     "s4_decoded_images",
-    """SELECT image_id, 7 AS width, 3 AS height, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b,
-  CAST(sum(r * (pos + 1)) AS BIGINT) AS placed FROM (SELECT vec_id AS image_id, pos, raw[pos * 3 + 3] AS r, raw[pos * 3 + 2] AS g, raw[pos * 3 + 1] AS b
-  FROM (SELECT *, unnest(range(0, 21)) AS pos FROM v_scaled)) GROUP BY image_id""",
-    ("v_scaled",),
+    """SELECT image_id, 8 AS width, 8 AS height, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b,
+  CAST(sum(r * (pos + 1)) AS BIGINT) AS placed FROM v_rgb GROUP BY image_id""",
+    ("v_rgb",),
 )
 def decoded_images(spark, sf):
     """Rows shaped as the image source gives them, made from the embeddings' bytes."""
-    digits = F.array_join(F.transform(F.slice("raw", 1, 63), lambda v: F.lpad(F.hex(v), 2, "0")), "")
-    stored = V.scaled(spark, sf, 255).select(
+    pixels = V.triples(spark, sf).withColumn("bgr", F.flatten(F.transform(F.arrays_zip("b", "g", "r"), lambda p: F.array(p["b"], p["g"], p["r"]))))
+    digits = F.array_join(F.transform("bgr", lambda v: F.lpad(F.hex(v), 2, "0")), "")
+    stored = pixels.select(
         "image_id",
-        F.struct(
-            F.lit(7).alias("width"), F.lit(3).alias("height"), F.lit(3).alias("nChannels"), F.unhex(digits).alias("data")
-        ).alias("image"),
+        F.struct("width", "height", F.lit(3).alias("nChannels"), F.unhex(digits).alias("data")).alias("image"),
     )
 
     def sum_of(c):

@@ -168,11 +168,8 @@ FROM (SELECT *, unnest(range(0, 64)) AS pos FROM v_scaled)
 _view(
     "v_rgb",
     """
-SELECT vec_id AS image_id, label, pos,
-  least(255, greatest(0, (raw[pos * 3 + 1] - 128) * 2 + 128)) AS r,
-  least(255, greatest(0, (raw[pos * 3 + 2] - 128) * 2 + 128)) AS g,
-  least(255, greatest(0, (raw[pos * 3 + 3] - 128) * 2 + 128)) AS b
-FROM (SELECT *, unnest(range(0, 21)) AS pos FROM v_scaled)
+SELECT vec_id AS image_id, label, pos, raw[pos + 1] AS r, (raw[pos + 1] * 3 + 17) % 256 AS g, (raw[pos + 1] * 7 + 101) % 256 AS b
+FROM (SELECT *, unnest(range(0, 64)) AS pos FROM v_scaled)
 """,
     ["v_scaled"],
 )

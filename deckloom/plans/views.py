@@ -176,17 +176,14 @@ def grids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def triples(spark: SparkSession, sf: str) -> DataFrame:
-    """7×3 colour images: image_id, width, height, r, g, b. The spread is widened so that hues occur."""
+    """8×8 colour images: image_id, label, width, height, r, g, b. Every value gives a pixel, so that hues occur."""
 
-    def channel(offset: int) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(20)),
-            lambda i: F.least(F.lit(255), F.greatest(F.lit(0), (F.get("raw", i * 3 + offset) - 128) * 2 + 128)),
-        )
+    def channel(times: int, shift: int) -> Column:
+        return F.transform("raw", lambda v: ((v * times + shift) % 256).cast("int"))
 
     return scaled(spark, sf, 255).select(
-        "image_id", "label", F.lit(7).alias("width"), F.lit(3).alias("height"),
-        channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b"),
+        "image_id", "label", F.lit(8).alias("width"), F.lit(8).alias("height"),
+        channel(1, 0).alias("r"), channel(3, 17).alias("g"), channel(7, 101).alias("b"),
     )
 
 

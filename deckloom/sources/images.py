@@ -24,6 +24,15 @@ def _channels(data: pd.Series, channels: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=list("rgb"))
 
 
+def grey_bytes(raw: bytes, depth: int) -> np.ndarray:
+    """Whole-number luma of blue-green-red bytes (or grey, or with alpha), as image libraries round it."""
+    pixels = np.frombuffer(raw, dtype=np.uint8).reshape(-1, depth)
+    if depth == 1:
+        return pixels[:, 0]
+    blue, green, red = (pixels[:, min(i, depth - 1)].astype(np.int32) for i in range(3))
+    return (red * 19595 + green * 38470 + blue * 7471 + 32768) >> 16
+
+
 def is_card_image(path: Column) -> Column:
     """Card pictures only: no stored blanks beside them, no contact sheets."""
     return path.rlike(r"(?i)\.png$") & ~path.rlike(r"(?i)-blank\.png$") & ~path.rlike(r"(?i)(^|/)sheet\.png$")
