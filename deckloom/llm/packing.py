@@ -27,8 +27,8 @@ from deckloom.llm.common import slices
 CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
-#: Words whose ids a worker remembers, at most.
-REMEMBERED = 800_000
+#: Words whose ids a worker remembers in a task, at most, and between tasks, when its memory belongs to others.
+REMEMBERED, IDLE = 800_000, 200_000
 
 #: Characters on which the tokenizer's word pattern and Python's agree: ASCII without the separators 1C-1F,
 #: and the letters of Latin-1 and Latin Extended-A. Other texts go through the tokenizer whole.
@@ -82,14 +82,14 @@ class Ids:
         for p, ws in parts.items():
             kept[p] = self.words[ws[0]] if len(ws) == 1 else b"".join(map(self.words.__getitem__, ws))
 
-    def _forget(self) -> None:
-        """Of too many words the first ones stay, which are the frequent ones."""
+    def forget(self, most: int, stay: int) -> None:
+        """Of more than ``most`` words the first ``stay`` ones are kept, which are the frequent ones."""
         for name in ("words", "pieces", "heads"):
-            if len(had := getattr(self, name)) > REMEMBERED:
-                setattr(self, name, dict(itertools.islice(had.items(), REMEMBERED // 3)))
+            if len(had := getattr(self, name)) > most:
+                setattr(self, name, dict(itertools.islice(had.items(), stay)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        self._forget()
+        self.forget(REMEMBERED, REMEMBERED // 3)
         plain = [bool(t and _PLAIN.fullmatch(t) and not _RUN.search(t) and not any(s in t for s in self.special)) for t in texts]
         taken = [t.split(" ") for t, ok in zip(texts, plain) if ok]
         firsts = [ps.pop(0) for ps in taken]
@@ -173,6 +173,7 @@ def _packer(path: str, capacity: int, id_column: str, text_column: str, keep_ids
                 yield out(rows)
         if rows := list(bins.close()):
             yield out(rows)
+        ids.forget(IDLE, IDLE)
 
     return run
 

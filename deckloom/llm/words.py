@@ -18,6 +18,8 @@ _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Powers that a worker keeps between slices, at most.
+KEPT = (2 << 20) + (64 << 10)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -29,13 +31,18 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS[0], _POWERS[1]
+    """The first ``n`` powers, or more. Those of an ordinary slice are kept; a very long text's are let go with it."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    size = n if n > KEPT else min(KEPT, 1 << (n - 1).bit_length())
+    made = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps, out=steps))
+    if size <= KEPT:
+        _POWERS[:] = made
+    return made[0], made[1]
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
