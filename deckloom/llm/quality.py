@@ -25,8 +25,8 @@ TRAIN_ROWS, BUCKETS, WIDTH, PLACES = 20_000, 1 << 15, 64, 6
 WINDOW, HIDDEN, EPOCHS, RATE, HELD = 2, 32, 60, 0.01, 5
 THRESHOLD = 0.7
 REMEMBERED = 200_000
-#: Rows of the vector table that travel together.
-BLOCK = 2_048
+#: Rows of the vector table that travel together; units of a text whose vectors are laid out at a time.
+BLOCK, STRETCH = 2_048, 8_192
 
 _UNITS = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 #: The first buckets are marks; numbers share one.
@@ -82,16 +82,19 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         for text in part.column("text").to_pylist():
             ids, _, _ = units(text or "")
-            np.add.at(counts, ids, 1)
-            vectors = index[ids]
-            near = np.zeros_like(vectors)
-            for k in range(1, WINDOW + 1):
-                near[k:] += vectors[:-k]
-                near[:-k] += vectors[k:]
-            order = np.argsort(ids, kind="stable")
-            if len(order):
-                heads = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
-                sums[ids[order][heads]] += np.add.reduceat(near[order], heads, axis=0)
+            for start in range(0, len(ids), STRETCH):
+                stop = min(len(ids), start + STRETCH)
+                low = max(0, start - WINDOW)
+                vectors = index[ids[low : stop + WINDOW]]
+                near = np.zeros_like(vectors)
+                for k in range(1, WINDOW + 1):
+                    near[k:] += vectors[:-k]
+                    near[:-k] += vectors[k:]
+                mine = ids[start:stop]
+                order = np.argsort(mine, kind="stable")
+                heads = np.flatnonzero(np.r_[True, np.diff(mine[order]) != 0])
+                sums[mine[order][heads]] += np.add.reduceat(near[order + (start - low)], heads, axis=0)
+                counts[mine[order][heads]] += np.diff(np.r_[heads, len(mine)])
     for b in range(0, BUCKETS, BLOCK):
         if counts[b : b + BLOCK].any():
             yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "sums": [sums[b : b + BLOCK].tobytes()], "counts": [counts[b : b + BLOCK].tobytes()]})
