@@ -145,7 +145,10 @@ def resolve(lines: DataFrame, cards: DataFrame, name: str = "name", carry: list[
 
 
 def plan_lines(lines: DataFrame, cards: DataFrame, carry_faces: bool = False) -> DataFrame:
-    """Every line with its disposition: entry, unsupported (with the reason) or unresolved."""
+    """Every line with its disposition: entry, unsupported (with the reason) or unresolved.
+
+    A line whose quantity does not fit 64 bits (null after parsing) is unsupported, so no sum leaves it out unseen.
+    """
     carry = ["reason", "faces"] + (["face_list"] if carry_faces else [])
     rated = cards.select(
         "card_id",
@@ -155,6 +158,9 @@ def plan_lines(lines: DataFrame, cards: DataFrame, carry_faces: bool = False) ->
         face_list(F.col("layout"), F.col("data")).alias("face_list"),
     ).select("card_id", "name", *carry)
     placed = resolve(lines, rated, carry=carry)
+    if "quantity" in lines.columns:
+        too_large = F.col("card_id").isNotNull() & F.col("quantity").isNull()
+        placed = placed.withColumn("reason", F.coalesce("reason", F.when(too_large, "quantity_too_large")))
     disposition = (
         F.when(F.col("card_id").isNull(), "unresolved").when(F.col("reason").isNotNull(), "unsupported")
         .otherwise("entry")

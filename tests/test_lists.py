@@ -47,6 +47,14 @@ def test_list_lines(spark):
     ]
 
 
+def test_a_quantity_beyond_64_bits_is_reported(spark):
+    planned = catalogue.plan_lines(entries(spark, "99999999999999999999 Fire\n2 Fire\n99999999999999999999 Nothing"), cards(spark))
+    got = [(r.disposition, r.reason) for r in planned.orderBy("line_no").collect()]
+    assert got == [("unsupported", "quantity_too_large"), ("entry", None), ("unresolved", None)]
+    row = catalogue.credits(planned, "list_id").head()
+    assert (row.lines, row.entries, row.unsupported, row.unresolved, row.credits) == (3, 1, 1, 1, 2)
+
+
 def test_every_line_break_counts(spark):
     text = "a\r\nb\rc\x0bd\x0ce\x1cf\x85g h i"
     assert [r.name for r in entries(spark, text).orderBy("line_no").collect()] == list("abcdefghi")
