@@ -89,6 +89,12 @@ def _number(value: str, key: bytes) -> str | None:
     return "".join(next(left) if c in DIGITS else c for c in value)
 
 
+def _checked_number(value: str, key: bytes) -> str | None:
+    """13 to 19 digits with a right check digit, which stays right. Shorter numbers have no check digit and stay."""
+    digits = re.sub(r"\D", "", value)
+    return _number(value, key) if 13 <= len(digits) <= 19 and luhn(digits) == 0 else None
+
+
 def _phone(value: str, key: bytes) -> str | None:
     """A country code (kept) or an area code in brackets, 9 to 15 digits in all."""
     if not 9 <= sum(c in DIGITS for c in value) <= 15:
@@ -186,8 +192,10 @@ _ANY = re.compile(r"[\d@]")
 
 
 class Pseudonyms:
-    def __init__(self, key: bytes):
-        self.key, self.known = key, {}
+    """``checked``: only numbers with a right check digit change; otherwise every number of 9 to 19 digits does."""
+
+    def __init__(self, key: bytes, checked: bool = False):
+        self.key, self.checked, self.known = key, checked, {}
 
     def __call__(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
         """The new text, and (start, end, kind) of each value in the old one."""
@@ -196,16 +204,20 @@ class Pseudonyms:
         found: list[tuple[int, int, str, str]] = []
         left = text  # what is taken is blotted out for the kinds that follow
         for kind, pattern, change in KINDS:
-            taken = len(found)
-            for m in pattern.finditer(left):
+            taken, at = len(found), 0
+            numbers = self.checked and change is _number
+            change = _checked_number if numbers else change
+            while m := pattern.search(left, at):
                 a, b = m.span()
-                value = m[0]
+                value, at = m[0], b
                 if (kind, value) not in self.known:
                     if len(self.known) > REMEMBERED:
                         self.known.clear()
                     self.known[kind, value] = change(value, self.key)
                 if (new := self.known[kind, value]) is not None:
                     found.append((a, b, kind, new))
+                elif numbers:
+                    at = a + 1  # a valid number may begin at a later group of digits
             for a, b, *_ in found[taken:]:
                 left = f"{left[:a]}{chr(0) * (b - a)}{left[b:]}"
         if not found:
@@ -221,7 +233,7 @@ class Pseudonyms:
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", spans: str | None = "pii_spans") -> DataFrame:
     """All columns, ``text`` with its values replaced, and ``spans`` (array of start, end, kind in the old text) if named.
 
-    Null texts stay null with no spans; numbers that fail their check (an impossible day, an octet of 300) stay.
+    Null texts stay null with no spans; values that fail their check (a wrong check digit, an impossible day, an octet of 300) stay.
     ``key`` is the caller's secret of 1 to 64 bytes; the same key gives the same pseudonyms in every run. No shuffle.
     """
     if not 1 <= len(key) <= 64:
@@ -235,7 +247,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", spans: str | N
     where = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        change = Pseudonyms(key)
+        change = Pseudonyms(key, checked=True)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
         for part in slices(batches, text):
             got = [(None, []) if t is None else change(t) for t in part.column(text).to_pylist()]

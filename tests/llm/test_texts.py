@@ -93,6 +93,17 @@ def test_pseudonyms(far):
     assert [r["text"] for r in rows if r["doc_id"] is not None and r["doc_id"] < 10] == ODD and rows[-2]["text"] != "10.0.0.255"
 
 
+def test_decoys_stay(far):
+    decoys = ["1234567890123456", "1234 5678 9012 3456", "4111-1111-1111-1112", "371449635398432", "123456789", "123456789012", "1234 5678 9012", "order 98079157628044901 of"]
+    rows = [r["text"] for r in pii.pseudonymise(far.createDataFrame([(i, t) for i, t in enumerate(decoys)], "doc_id long, text string"), b"key").orderBy("doc_id").collect()]
+    assert rows == decoys
+    change = pii.Pseudonyms(b"key", checked=True)
+    new, spans = change("in 2024 4111 1111 1111 1111 and 371449635398431, not 4111111111111112")
+    assert [k for *_, k in spans] == ["number", "number"] and new.startswith("in 2024 ") and new.endswith(", not 4111111111111112")
+    assert "4111 1111 1111 1111" not in new and "371449635398431" not in new
+    assert all(pii.luhn(re.sub(" ", "", n)) == 0 for n in re.findall(r"(?:\d{4} ){3}\d{4}|(?<!\d)\d{15}(?!\d)", new[8:]))
+
+
 def test_quality(far, sf):
     docs, labels = table(far, sf, "documents"), table(far, sf, "labels")
     model = quality.train(docs, labels, fold("doc_id", 4) != 2)
