@@ -154,6 +154,19 @@ def test_main_text(far):
     assert all(t == want[i] and n == len(t) for i, t, n in got), got
 
 
+def test_runs_that_few_pages_share_stay(far):
+    menu = "menu one two three four five six seven eight nine"
+    own = lambda i, n=20: " ".join(f"w{i}x{k}" for k in range(n))
+    passage = "a passage of ten words that three articles have shared"
+    texts = {i: own(i) for i in range(10)}
+    texts[1] = texts[0].replace("w0x19", "changed")  # a near copy
+    for i in (2, 3, 4):
+        texts[i] += " " + passage
+    rows = [(i, f"http://h.example/{i}", f"<div><p>{menu}</p><p>{t}</p></div>") for i, t in texts.items()]
+    got = {r["page_id"]: r["text"] for r in html.main_text(far.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == texts
+
+
 def test_mixing_odd_rows(far):
     got = {r["doc_id"]: r for r in mixing.mix(odd(far), 0.95, 4.0).collect()}
     assert len(got) == len(ODD) + 1 and all(r["copies"] >= 1 for r in got.values())
