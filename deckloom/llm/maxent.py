@@ -27,8 +27,9 @@ GROUPS, MEMBERS = 16, 8
 CLASSES = GROUPS * MEMBERS
 #: Tokens with a class of their own, frequent tokens whose counts travel with a task, rows of the weight table.
 OWN, FREQUENT, ROWS = 32, 1 << 19, 1 << 13
-#: Rounds over the training texts; of their positions one in STRIDE gives a gradient, others in another round.
-ROUNDS, STRIDE, BATCH, RATE = 2, 6, 8_192, 0.6
+#: Rounds over the training texts; of their positions one in STRIDE gives a gradient, the others in the other rounds: every position in one round.
+ROUNDS, BATCH, RATE = 2, 8_192, 0.6
+STRIDE = ROUNDS
 HELD = 1_500_000
 BLOCK = 512
 END = np.uint64(0x5851F42D4C957F2D)
@@ -203,7 +204,7 @@ def _trained(m: Model, turn: int):
         for part in slices(batches, "text"):
             h, shape, ends = tokens(part.column("text"))
             cls = m.classes(h, shape)
-            at = np.arange(turn * STRIDE // ROUNDS % STRIDE, len(h), STRIDE)
+            at = np.arange(turn % STRIDE, len(h), STRIDE)
             held.append((features(h, cls, ends)[at], cls[at]))
             size += len(at)
             n += len(h)

@@ -7,6 +7,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +140,21 @@ def test_language_model(far):
     assert maxent.score(docs, F.lit(True)).agg(F.max("train_tokens")).head()[0] == 0
 
 
+def test_every_position_gives_a_gradient(monkeypatch):
+    taken = collections.Counter()
+    monkeypatch.setattr(maxent, "_step", lambda rows, cls, *_: taken.update(zip(map(tuple, rows.tolist()), cls.tolist())))
+    texts = pa.array([" ".join(f"w{i}x{k}" for k in range(n)) for i, n in enumerate([0, 1, 2, 3, 50, 700])])
+    n, cells = maxent.CLASSES, np.ones(maxent.CLASSES)
+    zeros = np.zeros((maxent.ROWS, maxent.GROUPS), np.float32), np.zeros((maxent.ROWS, maxent.GROUPS, maxent.MEMBERS), np.float32)
+    none = np.zeros(1, np.uint64)
+    model = maxent.Model(none, np.zeros(1), none, np.zeros(1, np.int64), cells, cells, n, n, cells[: maxent.GROUPS], cells.reshape(maxent.GROUPS, -1), *zeros)
+    for turn in range(maxent.ROUNDS):
+        list(maxent._trained(model, turn)(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])))
+    h, shape, ends = maxent.tokens(texts)
+    cls = model.classes(h, shape)
+    assert taken == collections.Counter(zip(map(tuple, maxent.features(h, cls, ends).tolist()), cls.tolist()))
+
+
 PAGE = """<html><head><title>T</title></head><body class="has-sidebar"><nav><ul><li>Home</li></ul></nav><div id="cookie-notice">We use cookies</div>
 <article><header>By A</header><h1>Head &amp; line</h1><p>One <b>bold
  text<br>two &lt;3</p><aside>see also</aside><p>Three<script>var a="</p>";</script><form>mail</form></article>
