@@ -21,6 +21,8 @@ from deckloom.llm.common import settled
 BLOCK_IDS, RANGE_DIGITS = 64, 3
 #: Powers tried in each pass over the sources: four halvings at a time.
 POINTS, PASSES = 15, 12
+#: A quota this near to whole passes, relative to itself, is meant as whole passes; doubles miss them by rounding.
+NEAR = 1e-11
 
 
 def tokens(text: Column | str) -> Column:
@@ -126,7 +128,12 @@ def mix(docs: DataFrame, entropy: float, repeats: float, budget_tokens: int | No
     placed = blocks.withColumn("within", F.coalesce(F.sum("block_tokens").over(within), F.lit(0)))
     placed = placed.join(ranges.withColumnRenamed("source", "s").withColumnRenamed("range", "r"), F.expr("source <=> s and range = r"))
     weight = F.when(F.col("source_tokens") > 0, F.pow(share, F.lit(got.power)) / F.lit(got.norm)).otherwise(0.0)
-    placed = placed.withColumn("weight", weight).withColumn("quota", F.floor(F.col("weight") * F.lit(got.budget) + 1e-6))
+    wanted = F.col("weight") * F.lit(got.budget)
+    quota = F.floor(wanted + 1e-6)
+    if budget_tokens is None:  # every source at least once
+        whole = F.round(wanted / F.expr("nullif(source_tokens, 0)")).cast("long") * F.col("source_tokens")
+        quota = F.greatest(F.when(F.abs(wanted - whole) <= NEAR * wanted, whole).otherwise(quota), F.col("source_tokens"))
+    placed = placed.withColumn("weight", weight).withColumn("quota", quota)
     passes = F.when(F.col("source_tokens") > 0, F.expr("quota div source_tokens")).otherwise(1)
     rest = F.col("quota") - F.col("passes") * F.col("source_tokens")
     fits = (F.col("block_tokens") > 0) & (F.col("before") + F.col("within") + F.col("block_tokens") <= rest)

@@ -196,6 +196,15 @@ def test_mixing_odd_rows(far):
     assert mixing.apply(big, mixing.mix(big, 0.95, 2.0)).columns == big.columns
 
 
+def test_large_sources_are_used_whole(far, monkeypatch):
+    monkeypatch.setattr(mixing, "tokens", lambda text: F.col(text).cast("long"))  # the texts name their sizes
+    draw = random.Random(3)
+    for _ in range(4):
+        rows = [(i * mixing.BLOCK_IDS, str(draw.randrange(10**10, 10**11)), f"s{i % 40}") for i in range(120)]
+        docs = far.createDataFrame(rows, "doc_id long, text string, source string")
+        assert mixing.mix(docs, 0.0, 4.0).where("copies < 1").count() == 0
+
+
 def test_pipeline(far, sf):
     import corpus_pipeline
 
