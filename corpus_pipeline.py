@@ -28,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: the one of the smallest id."""
-    return neardup.keep_one(docs, neardup.jaccard_components(docs))
+    return neardup.keep_one(docs, neardup.jaccard_components(docs, keyed=True))
 
 
 def private_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

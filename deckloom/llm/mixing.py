@@ -143,7 +143,7 @@ def mix(docs: DataFrame, entropy: float, repeats: float, budget_tokens: int | No
 
 
 def apply(docs: DataFrame, mixture: DataFrame) -> DataFrame:
-    """``docs`` with every row as often as ``mixture`` (of the same ids) says; repeated ids need equal texts."""
-    used = mixture.where("copies > 0").select("doc_id", "copies").distinct()
-    out = docs.join(used.withColumnRenamed("doc_id", "__id"), F.expr("doc_id <=> __id"))
+    """``docs`` with every row as often as ``mixture`` (of the same ids and sources) says. Rows of one id and source share a block, so their copies are equal."""
+    used = mixture.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "copies").distinct()
+    out = docs.join(used, F.expr("doc_id <=> __id and cast(source as string) <=> __source"))
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deckloom.llm.common import components, settled, slices
@@ -264,14 +264,19 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], names=["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def _row_key(id_column: str, text: str) -> Column:
+    return F.xxhash64(F.col(id_column).cast("long"), F.col(text).cast("string"))
+
+
+def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keyed: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: sets of distinct ``SHINGLE``-word shingles, linked from 0.8 on.
 
     A text of fewer words is one shingle; a null or blank text has none and is its own component. ``component_id``
     is the smallest id reachable (rows of null id link like others, and give no id of their own). Equal sets link, so
-    repeated rows share a component.
+    repeated rows share a component. ``keyed`` adds row_key (of id and text) and component (null without shingles), which
+    tells components apart that have no id, or the same one.
     """
-    rid = F.coalesce(F.col(id_column).cast("long"), F.xxhash64(text))
+    rid = _row_key(id_column, text)  # an id may stand with several texts
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), rid.alias("rid"), F.col(text).cast("string").alias("text"))
     order = Order(common_shingles(rows))
     made = settled(rows.mapInArrow(_nodes(order), "doc_id long, rid long, n long, fp long, g long"), "sets")
@@ -301,16 +306,25 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     roots = components(edges)
     least = nodes.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = settled(least, "roots")
-    named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
     out = made.join(named, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    more = [F.col("rid").alias("row_key"), F.col("root").alias("component")] if keyed else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *more)
 
 
 def keep_one(docs: DataFrame, components_of: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; of rows that share that id one stays.
+    """One row of ``docs`` (doc_id, text) per component: of the smallest id, and of its texts the one of the smallest key.
 
-    Rows of null id in a component with an id go; a component of null ids alone keeps one row.
+    Rows of null id in a component with an id go; a component of null ids alone keeps one row. Texts without shingles are
+    each a component; of equal ones with equal ids one stays. Components need to be ``keyed`` where null ids stand with
+    several texts, or an id does; without keys one row per id stays.
     """
-    named = components_of.select(F.col("doc_id").alias("__id"), "component_id").distinct()
-    kept = named.where(F.expr("__id <=> component_id"))
-    return docs.join(kept, F.expr("doc_id <=> __id"), "left_semi").dropDuplicates(["doc_id"])
+    if "row_key" not in components_of.columns:
+        named = components_of.select(F.col("doc_id").alias("__id"), "component_id").distinct()
+        kept = named.where(F.expr("__id <=> component_id"))
+        return docs.join(kept, F.expr("doc_id <=> __id"), "left_semi").dropDuplicates(["doc_id"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id"), F.col("row_key"))).alias("first")
+    linked = components_of.where("component is not null").groupBy("component").agg(first).select(F.col("first.row_key").alias("__kept"))
+    kept = linked.union(components_of.where("component is null").select("row_key"))
+    rows = docs.withColumn("__row", _row_key("doc_id", "text"))
+    return rows.join(kept, F.expr("__row = __kept"), "left_semi").dropDuplicates(["__row"]).drop("__row")

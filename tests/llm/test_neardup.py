@@ -95,6 +95,18 @@ def test_one_of_each_stays(far):
     assert sorted(map(repr, [r["doc_id"] for r in kept.collect()])) == ["1", "2", "5", "None"]
 
 
+def test_one_of_each_stays_without_ids(far):
+    one = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, "p q"), (None, "p q"), (None, "r s"), (None, None), (4, one), (4, "other text"), (6, one + " end"), (None, "OTHER text"), (4, one)]
+    df = far.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)
+    assert found(far, rows) == brute(rows)
+    kept = neardup.keep_one(df, neardup.jaccard_components(df, keyed=True)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(None, "p q"), (None, "r s"), (None, None), (4, one), (4, "other text")], key=repr)
+    import corpus_pipeline
+
+    assert corpus_pipeline.near_duplicate_stage(far, df, "").count() == 5
+
+
 def test_components_of_chains_and_stars(far):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(8, 30)] + [(50, 50), (None, 3)]
     got = {r["node"]: r["root"] for r in components(far.createDataFrame(edges, "a long, b long")).collect()}
