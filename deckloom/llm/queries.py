@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckloom.llm import embeddings, fingerprint, html, langid, maxent, mixing, neardup, packing, pii, quality
+from deckloom.llm import codes, embeddings, fingerprint, html, langid, maxent, mixing, neardup, packing, pii, quality
 from deckloom.llm.common import fold, table
 
 TARGET_ENTROPY, MOST_REPEATS = 0.95, 4.0
@@ -67,9 +67,13 @@ def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_main_text, op3_jaccard_join, op4_quality, op5_language, op6_score_lm, op7_near_vectors, op8_pack, op9_pseudonyms, op10_phrase_fingerprints)
+    for f in (op1_mix_sources, op2_main_text, op3_jaccard_join, op4_quality, op5_language, op6_score_lm, op7_near_vectors, op8_pack, op9_pseudonyms, op10_phrase_fingerprints, op13_vector_codes)
 }
 
 #: Sources by temperature: the power by bisection over the list of source sizes, then block permutations.
@@ -111,5 +115,32 @@ SELECT doc_id, d.source AS source, n_tokens, round(weight, 9) AS weight, CAST(co
 FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.block IS NOT DISTINCT FROM k.block
 """
 
+def _op13(parts: int = 8, entries: int = 16, rounds: int = 6, length: int = 8) -> str:
+    """Lloyd rounds as a chain of common tables, for vectors of ``parts * length`` components."""
+    at = range(1, length + 1)
+    gap = " + ".join(f"(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})" for i in at)
+    floors = ", ".join(f"(sum(p.x{i}) - (sum(p.x{i}) % count(*) + count(*)) % count(*)) // count(*) AS x{i}" for i in at)
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"a{r} AS MATERIALIZED (SELECT p.row, p.part, min(d * {entries} + e) AS de FROM "
+            f"(SELECT p.row, p.part, c.e, {gap} AS d FROM p JOIN c{r} c ON p.part = c.part) p GROUP BY p.row, p.part)"
+        )
+        if r < rounds:
+            steps.append(f"s{r} AS (SELECT p.part, a.de % {entries} AS e, {floors} FROM p JOIN a{r} a ON p.row = a.row AND p.part = a.part GROUP BY p.part, a.de % {entries})")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.part, c.e, " + ", ".join(f"coalesce(s.x{i}, c.x{i})::BIGINT AS x{i}" for i in at) + f" FROM c{r} c LEFT JOIN s{r} s ON c.part = s.part AND c.e = s.e)")
+    listed = "[" + ", ".join(f"x{i}" for i in at) + "]"
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT row, part, {", ".join(f"v[part * {length} + {i}] AS x{i}" for i in at)} FROM k, range({parts}) AS t(part)),
+c0 AS (SELECT part, row - 1 AS e, {", ".join(f"x{i}" for i in at)} FROM p WHERE row <= {entries}),
+{", ".join(steps)},
+o AS (SELECT row, string_agg(lpad(printf('%x', de % {entries}), 2, '0'), '' ORDER BY part) AS code, sum(de // {entries})::BIGINT AS error FROM a{rounds} GROUP BY row),
+h AS (SELECT sha256(string_agg(array_to_string({listed}, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN o USING (row), h
+"""
+
+
 #: Small tables only: every pair of documents that share a shingle is compared there.
-ORACLES: dict[str, str] = {"op1_mix_sources": _OP1}
+ORACLES: dict[str, str] = {"op1_mix_sources": _OP1, "op13_vector_codes": _op13()}
