@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckloom.llm import codes, embeddings, fingerprint, html, langid, maxent, mixing, neardup, packing, pii, quality
+from deckloom.llm import binslack, codes, embeddings, fingerprint, html, langid, maxent, mixing, neardup, packing, pii, quality
 from deckloom.llm.common import fold, table
 
 TARGET_ENTROPY, MOST_REPEATS = 0.95, 4.0
@@ -67,13 +67,17 @@ def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op12_fullest_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binslack.pack(table(spark, sf_dir, "documents"), tokenizer_path(binslack.TOKENIZER), keep_ids=False)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))[0]
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_main_text, op3_jaccard_join, op4_quality, op5_language, op6_score_lm, op7_near_vectors, op8_pack, op9_pseudonyms, op10_phrase_fingerprints, op13_vector_codes)
+    for f in (op1_mix_sources, op2_main_text, op3_jaccard_join, op4_quality, op5_language, op6_score_lm, op7_near_vectors, op8_pack, op9_pseudonyms, op10_phrase_fingerprints, op12_fullest_bins, op13_vector_codes)
 }
 
 #: Sources by temperature: the power by bisection over the list of source sizes, then block permutations.
