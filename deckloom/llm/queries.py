@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckloom.llm import binslack, codes, embeddings, fingerprint, html, langid, maxent, mixing, neardup, packing, pii, quality
+from deckloom.llm import binslack, codes, embeddings, fingerprint, html, langid, maxent, mixing, neardup, packing, pii, quality, stripes
 from deckloom.llm.common import fold, table
 
 TARGET_ENTROPY, MOST_REPEATS = 0.95, 4.0
@@ -67,6 +67,10 @@ def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stripes.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_fullest_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binslack.pack(table(spark, sf_dir, "documents"), tokenizer_path(binslack.TOKENIZER), keep_ids=False)
 
@@ -77,7 +81,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_main_text, op3_jaccard_join, op4_quality, op5_language, op6_score_lm, op7_near_vectors, op8_pack, op9_pseudonyms, op10_phrase_fingerprints, op12_fullest_bins, op13_vector_codes)
+    for f in (op1_mix_sources, op2_main_text, op3_jaccard_join, op4_quality, op5_language, op6_score_lm, op7_near_vectors, op8_pack, op9_pseudonyms, op10_phrase_fingerprints, op11_collocations, op12_fullest_bins, op13_vector_codes)
 }
 
 #: Sources by temperature: the power by bisection over the list of source sizes, then block permutations.
@@ -119,6 +123,29 @@ SELECT doc_id, d.source AS source, n_tokens, round(weight, 9) AS weight, CAST(co
 FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.block IS NOT DISTINCT FROM k.block
 """
 
+#: Phrases of one to four words counted as text; a part of a candidate is looked up among them.
+_OP11 = """
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+      FROM w, range(1, 5) AS t(k) WHERE len(ws) >= k),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+s AS MATERIALIZED (SELECT lang, a, i, j, k, array_to_string(ws[i:j], ' ') AS part FROM c, range(1, 5) AS t(i), range(1, 5) AS u(j) WHERE i < j AND j <= k AND j - i < k - 1),
+h AS (SELECT lang, part, max(a) AS held FROM s GROUP BY ALL),
+e AS MATERIALIZED (SELECT lang, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS head, array_to_string(ws[cut + 1:], ' ') AS rest FROM c, range(1, 4) AS t(cut) WHERE cut < k),
+x AS (SELECT e.lang, e.phrase, a, cut, l.f AS l, r.f AS r, (2000000::HUGEINT * a) // (l.f + r.f) AS score
+      FROM e JOIN f l ON l.lang = e.lang AND l.phrase = e.head JOIN f r ON r.lang = e.lang AND r.phrase = e.rest),
+m AS (SELECT lang, phrase, a, l, r, score FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, m.phrase) AS rank
+      FROM m LEFT JOIN h ON h.lang = m.lang AND h.part = m.phrase WHERE held IS NULL OR 100 * held::HUGEINT < 80 * a::HUGEINT)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def _op13(parts: int = 8, entries: int = 16, rounds: int = 6, length: int = 8) -> str:
     """Lloyd rounds as a chain of common tables, for vectors of ``parts * length`` components."""
     at = range(1, length + 1)
@@ -147,4 +174,4 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 
 
 #: Small tables only: every pair of documents that share a shingle is compared there.
-ORACLES: dict[str, str] = {"op1_mix_sources": _OP1, "op13_vector_codes": _op13()}
+ORACLES: dict[str, str] = {"op1_mix_sources": _OP1, "op11_collocations": _OP11, "op13_vector_codes": _op13()}
