@@ -30,9 +30,13 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks whose ids a worker remembers in a task, at most, and between tasks.
-REMEMBERED, IDLE = 400_000, 60_000
+REMEMBERED, IDLE = 600_000, 200_000
 #: Python's split takes these for white space, the tokenizer does not.
 _MARKS = re.compile("[\x1c-\x1f]")
+#: Runs of letters that stay letters in lower case: ASCII, Latin-1 and Latin Extended-A.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ſ]+")
+#: Marks that stay together behind them; an apostrophe may begin an ending, and < a special token.
+_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-&(-/:;=-@\[-`{-~]+)")
 _CHUNKS = re.compile("[^\t-\r ]+")
 
 
@@ -49,27 +53,39 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode(self, new: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for at in range(0, len(new), 10_000) for e in self.tokenizer.encode_batch(new[at : at + 10_000], add_special_tokens=False)]
+        """Words of letters make one token group each, so many are encoded as one text."""
+        out = []
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, owner = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
+            edges = (4 * np.searchsorted(owner, np.arange(len(some) + 1))).tolist()
+            out += map(ids.__getitem__, map(slice, edges, edges[1:]))
+        return out
 
     def _learn(self, new: set[str]) -> None:
-        """A run of letters and the point or comma after it are tokens of their own."""
-        ended = {c: (c[:-1], c[-1]) for c in new if c[-1] in ".,;:!?" and c.isascii() and c[:-1].isalpha()}
-        words = {w for c in new for w in ended.get(c, (c,))}.difference(self.words)
-        self.words.update(zip(words, self._encode(list(words))))
-        for c in new:
-            self.chunks[c] = b"".join(map(self.words.__getitem__, ended.get(c, (c,))))
+        """A run of letters and the marks after it are token groups of their own."""
+        letters = set(filter(_LETTERS.fullmatch, new))
+        others = new.difference(letters)
+        marked = {m[0]: m.groups() for m in map(_MARKED.fullmatch, others) if m}
+        rest = list(others.difference(marked))
+        words = letters.union(w for w, _ in marked.values()).difference(self.chunks)
+        self.chunks.update(zip(words, self._encode(list(words))))
+        known = self.chunks
+        for mark in {mark for _, mark in marked.values()}.difference(known):
+            known[mark] = self.whole(mark)
+        known.update((c, known[w] + known[mark]) for c, (w, mark) in marked.items())
+        known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)))
 
     def forget(self, most: int, stay: int) -> None:
         """Of more than ``most`` the first ``stay`` are kept, which are the frequent ones."""
-        for name in ("chunks", "words"):
-            if len(had := getattr(self, name)) > most:
-                setattr(self, name, dict(itertools.islice(had.items(), stay)))
+        if len(self.chunks) > most:
+            self.chunks = dict(itertools.islice(self.chunks.items(), stay))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         self.forget(REMEMBERED, REMEMBERED // 3)

@@ -25,7 +25,7 @@ ODD = [
 
 def test_ids_are_the_tokenizers():
     rng = random.Random(3)
-    pool = list("abzAZ019.,'!?-_ \t\n\x1c é́İΣ你 <|>\U0001f600") + ["'s", "'LL", "<|endoftext|>", "word"]
+    pool = list("abzAZ019#%$*.,'!?-_ \t\n\x1c é́İΣ你 <|>\U0001f600") + ["'s", "'LL", "<|endoftext|>", "word"]
     texts = ODD + ["".join(rng.choices(pool, k=rng.randint(1, 30))) for _ in range(3000)]
     ids = binslack.Ids(PATH)
     for _ in range(2):  # learnt, then remembered
