@@ -4,9 +4,12 @@ A stripe of a prefix has one cell per next word and one cell for the prefix itse
 the stripes of a block of words in arrays and send its cells; Spark adds equal cells elementwise, so a prefix that a
 third of all words belong to is as many groups as it has next words, and never one map in one task.
 From the merged stripes come the counts of phrases (cells), of their first and last parts (totals) and the
-largest extension of a phrase (maxima over cells). Stripes are made level by level, for prefixes of one, two and three
-words: a phrase can only be frequent if the phrases without its first and without its last word are, and these are
-looked up in a bitmap. The bitmap has a bounded size and may say yes too often, which costs cells and changes no count.
+largest extension of a phrase (maxima over cells).
+
+Before that, cells that cannot reach the least count are ruled out, level by level: a phrase can only be frequent if
+the phrases without its first and without its last word are, and if its 40-bit key is met often enough. Keys travel
+as sorted differences, dealt by their first bits, three bytes each instead of a row. What may be frequent becomes a bitmap of
+bounded size. Keys and bits may say yes too often, which costs cells and changes no count.
 
 Texts are cut into words once. A block of one language keeps its distinct words with their counts and the rest as numbers
 in this list, in the shared folder; every level reads these blocks.
@@ -28,9 +31,11 @@ from deckloom.llm.common import settled, slices
 LONGEST, LEAST, SUBSUMED, TOP = 4, 30, 80, 2000
 UNKNOWN = "und"
 #: Words of a block, and bytes cut at a time.
-BLOCK_WORDS, STRETCH = 1 << 21, 2 << 20
+BLOCK_WORDS, STRETCH = 1 << 19, 2 << 20
 #: Bits per frequent phrase in a bitmap, and bits of a bitmap at least and at most (16 MB).
-SPREAD, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
+SPREAD, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 27
+#: Bits of a key, and keys of a part on average; parts grow in number with the words.
+KEY_BITS, PART_KEYS = 40, 1 << 20
 #: The next word of a stripe's total.
 TOTAL = 0
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -166,33 +171,111 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[at], np.diff(np.r_[at, len(keys)])
 
 
-def _cells(bitmaps: list, size: int) -> Callable:
-    """Cells (prefix, next, n) of the stripes of prefixes of ``size`` words, and their totals."""
+def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h & np.uint64(64 * len(bits) - 1)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _begun(batches: Iterator[pa.RecordBatch], first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each block the places and hashes of its frequent words, and its word numbers, starts of pieces and hashes."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            known = np.asarray(batch.column("hashes")[i].values).view(np.uint64)
+            codes = np.frombuffer(batch.column("codes")[i].as_py(), np.int32)
+            starts = np.unpackbits(np.frombuffer(batch.column("starts")[i].as_py(), np.uint8), count=len(codes)).astype(bool)
+            places = np.flatnonzero(_passes(first, known)[codes])
+            yield places, known[codes[places]], codes, starts, known
+
+
+def _keys(bitmaps: list, size: int, part_bits: int) -> Callable:
+    """Keys of the phrases one word longer than ``size`` whose two shorter phrases may be frequent, by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = [np.frombuffer(b.value, np.uint64) for b in bitmaps]
+        inner = np.uint64(KEY_BITS - part_bits)
+        for places, prefix, codes, starts, known in _begun(batches, maps[0]):
+            for k in range(1, size + 1):
+                places, _, prefix = _extended(places, prefix, codes, starts, known, k)
+                if k < size:
+                    good = _passes(maps[k], prefix)
+                    places, prefix = places[good], prefix[good]
+            keys = np.sort(prefix & np.uint64((1 << KEY_BITS) - 1))
+            if not len(keys):
+                continue
+            at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            n, keys = np.diff(np.r_[at, len(keys)]), keys[at]
+            parts = keys >> inner
+            edges = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1], True])
+            gaps = keys - (parts << inner)
+            gaps[1:] -= np.where(parts[1:] == parts[:-1], gaps[:-1], np.uint64(0))
+            cut_at = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(parts[edges[:-1]].astype(np.int64)), pa.array([_planes(gaps[a:b]) for a, b in cut_at], pa.binary()), pa.array([_planes(n[a:b].astype(np.uint64)) for a, b in cut_at], pa.binary())],
+                names=["part", "gaps", "n"],
+            )
+
+    return run
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers as all their first bytes, all their second bytes ..., so that Spark's compression finds the empty ones."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
 
-        def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-            at = h & np.uint64(64 * len(bits) - 1)
-            return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+def _frequent(least: int, part_bits: int) -> Callable:
+    """Keys that are met ``least`` times or more. Rows come sorted by part; a part's keys are added up as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, keys, counts, held, most = None, [], [], 0, 4 * PART_KEYS
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            own, n = np.concatenate(keys), np.concatenate(counts)
+            order = own.argsort()
+            own, n = own[order], n[order]
+            at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            return own[at], np.minimum(np.add.reduceat(n, at), least)
+
+        def enough() -> pa.RecordBatch:
+            own, n = added()
+            return pa.RecordBatch.from_arrays([pa.array(own[n >= least].astype(np.int64))], names=["phrase"])
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                known = np.asarray(batch.column("hashes")[i].values).view(np.uint64)
-                codes = np.frombuffer(batch.column("codes")[i].as_py(), np.int32)
-                starts = np.unpackbits(np.frombuffer(batch.column("starts")[i].as_py(), np.uint8), count=len(codes)).astype(bool)
-                # places where a phrase of 1, 2 ... words begins that may be frequent, and its hash
-                places = np.flatnonzero(passes(maps[0], known)[codes])
-                prefix = known[codes[places]]
-                for k in range(1, size):
-                    places, prefix, h = _extended(places, prefix, codes, starts, known, k)
-                    good = passes(maps[k], h)
-                    places, prefix = places[good], h[good]
+            for one, gaps, n in zip(batch.column("part").to_pylist(), batch.column("gaps"), batch.column("n")):
+                if one != part and part is not None:
+                    yield enough()
+                    keys, counts, held, most = [], [], 0, 4 * PART_KEYS
+                part = one
+                keys.append(np.cumsum(_numbers(gaps.as_py())) + np.uint64(one << KEY_BITS - part_bits))
+                counts.append(np.minimum(_numbers(n.as_py()), np.uint64(least)).astype(np.int64))
+                held += len(keys[-1])
+                if held > most:
+                    own, total = added()
+                    keys, counts, held, most = [own], [total], len(own), max(most, 2 * len(own))
+        if part is not None:
+            yield enough()
+
+    return run
+
+
+def _cells(bitmaps: list) -> Callable:
+    """Cells (size, prefix, next, n) of the stripes of all prefixes, and their totals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = [np.frombuffer(b.value, np.uint64) for b in bitmaps]
+        for places, prefix, codes, starts, known in _begun(batches, maps[0]):
+            for size in range(1, len(maps)):
                 at, n = _counted(prefix)
-                yield _cell_batch(prefix[at], np.full(len(at), TOTAL, np.uint64), n)
+                yield _cell_batch(size, prefix[at], np.full(len(at), TOTAL, np.uint64), n)
                 places, prefix, h = _extended(places, prefix, codes, starts, known, size)
+                good = _passes(maps[size], h)
+                places, prefix, h = places[good], prefix[good], h[good]
                 at, n = _counted(h)
-                yield _cell_batch(prefix[at], known[codes[places[at] + size]], n)
+                yield _cell_batch(size, prefix[at], known[codes[places[at] + size]], n)
+                prefix = h
 
     return run
 
@@ -207,14 +290,14 @@ def _extended(places: np.ndarray, prefix: np.ndarray, codes: np.ndarray, starts:
     return places, prefix, longer(prefix, known[codes[places + size]])
 
 
-def _cell_batch(prefix: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["prefix", "next", "n"])
+def _cell_batch(size: int, prefix: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(prefix), size, np.int32)), pa.array(prefix.view(np.int64)), pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["size", "prefix", "next", "n"])
 
 
 def _with_phrase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prefix, word = (np.asarray(batch.column(c)).view(np.uint64) for c in ("prefix", "next"))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(longer(prefix, word).view(np.int64))], names=["prefix", "next", "n", "phrase"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(longer(prefix, word).view(np.int64))], names=["size", "prefix", "next", "n", "phrase"])
 
 
 def _bitmap(phrases: DataFrame) -> object:
@@ -274,20 +357,24 @@ def collocations(
     vocabulary = settled(known.where(F.col("n") >= least), "vocabulary")
     found = vocabulary.select("phrase", "lang", F.col("word").alias("text"), F.array("phrase").alias("hs"))
     last = vocabulary.select(F.col("phrase").alias("next"), "word")
-    bitmaps, totals, candidates = [_bitmap(vocabulary)], None, None
+    bitmaps = [_bitmap(vocabulary)]
+    words = blocks.agg(F.sum("n")).head()[0] or 0
+    part_bits = min(max(4, (words // PART_KEYS).bit_length()), KEY_BITS - 1)
+    places = blocks.select("hashes", "codes", "starts")
+    for size in range(1, longest):
+        keys = places.mapInArrow(_keys(bitmaps, size, part_bits), "part long, gaps binary, n binary")
+        often = keys.repartition("part").sortWithinPartitions("part").mapInArrow(_frequent(least, part_bits), "phrase long")
+        bitmaps.append(_bitmap(settled(often, f"keys{size}")))
+    merged = places.mapInArrow(_cells(bitmaps), "size int, prefix long, next long, n long").groupBy("size", "prefix", "next").agg(F.sum("n").alias("n"))
+    merged = settled(merged.where(F.col("n") >= least).mapInArrow(_with_phrase, "size int, prefix long, next long, n long, phrase long"), "stripes")
+    totals = merged.where(F.col("next") == TOTAL).select(F.col("prefix").alias("part"), F.col("n").alias("f"))
+    candidates = None
     for size in range(1, longest):
-        cells = blocks.select("hashes", "codes", "starts").mapInArrow(_cells(bitmaps, size), "prefix long, next long, n long")
-        merged = cells.groupBy("prefix", "next").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        merged = settled(merged.mapInArrow(_with_phrase, "prefix long, next long, n long, phrase long"), f"stripes{size}")
-        total = merged.where(F.col("next") == TOTAL).select(F.col("prefix").alias("part"), F.col("n").alias("f"))
-        stripe = merged.where(F.col("next") != TOTAL)
+        stripe = merged.where((F.col("next") != TOTAL) & (F.col("size") == size)).drop("size")
         named = stripe.join(found.select(F.col("phrase").alias("prefix"), "lang", "text", "hs"), "prefix").join(last, "next")
         named = settled(named.select("phrase", "lang", F.concat_ws(" ", "text", "word").alias("text"), F.concat("hs", F.array("next")).alias("hs"), "n"), f"phrases{size}")
         found = named.drop("n")
-        totals = total if totals is None else totals.union(total)
         candidates = named if candidates is None else candidates.union(named)
-        if size + 1 < longest:
-            bitmaps.append(_bitmap(stripe))
     cuts = settled(candidates.mapInArrow(_parts, "phrase long, lang string, text string, a long, k int, size int, first long, rest long"), "cuts")
     # what is one word longer and holds a phrase: a cell of its stripe, or a phrase whose rest it is
     holding = cuts.where(F.col("k") == F.col("size") - 1).select(F.col("first").alias("phrase"), "a").union(cuts.where(F.col("k") == 1).select(F.col("rest").alias("phrase"), "a"))

@@ -106,6 +106,24 @@ def test_totals_are_the_counts_of_the_prefixes():
         [pa.array([words.view(np.int64).tolist()]), pa.array([codes.tobytes()]), pa.array([np.packbits(starts).tobytes()])], names=["hashes", "codes", "starts"]
     )
     cells = {}
-    for batch in stripes._cells([Full], 1)(iter([row])):
+    for batch in stripes._cells([Full, Full])(iter([row])):
         cells |= {(r["prefix"], r["next"]): r["n"] for r in batch.to_pylist()}
     assert cells == {(1, 0): 3, (2, 0): 3, (3, 0): 1, (4, 0): 1, (1, 2): 3, (2, 3): 1, (3, 1): 1, (2, 4): 1}
+
+
+def test_keys_add_up_over_blocks():
+    rng = np.random.default_rng(1)
+    parts, least = 5, 3
+    rows, want = [], {}
+    for _ in range(20):
+        keys = np.unique(rng.integers(0, 1 << stripes.KEY_BITS, 50, dtype=np.uint64) >> np.uint64(34) << np.uint64(34))
+        for k in keys.tolist():
+            want[k] = want.get(k, 0) + 1
+        part = keys >> np.uint64(stripes.KEY_BITS - parts)
+        for p in np.unique(part).tolist():
+            own = keys[part == p] - np.uint64(p << stripes.KEY_BITS - parts)
+            rows.append((p, stripes._planes(np.diff(own, prepend=np.uint64(0))), stripes._planes(np.ones(len(own), np.uint64))))
+    rows.sort(key=lambda r: r[0])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["part", "gaps", "n"])
+    found = [k for b in stripes._frequent(least, parts)(iter([batch])) for k in b.column(0).to_pylist()]
+    assert sorted(found) == sorted(k for k, n in want.items() if n >= least) and found
