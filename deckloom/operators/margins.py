@@ -1,228 +1,200 @@
 """Margins around an image: mats, black voids, rounded corners, and the rectangle to keep.
 
-Images hold their channels as arrays r, g, b; every step stays in the image's row.
+Images come as the image source stores them: width, height, number of channels and bytes. A kernel measures a whole
+image at a time on views of its bytes and touches only the sampled lines near the sides, so no pixel becomes
+a row or an array element, and an image of any size costs its bytes and little more.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from deckloom import constants as C
-from deckloom.functions import arrays as A
-from deckloom.operators import scale
 from deckloom.operators.proof import present, problem
 
 SIDES = ["top", "bottom", "left", "right"]
+BLACKS, MATS = ([f"{kind}_{side}" for side in SIDES] for kind in ("black", "mat"))
+#: What can be measured: the columns of each part.
+PARTS = {"black": BLACKS, "matted": ["matted"], "mat": MATS, "corner": ["corner"]}
 
 
-def _width() -> Column:
-    return F.col("width")
-
-
-def _height() -> Column:
-    return F.col("height")
-
-
-def _short() -> Column:
-    return F.least("width", "height")
-
-
-def _cut(share: float) -> Column:
+def _cut(height: int, width: int, share: float) -> int:
     """A share of the shorter side in whole pixels, cut down."""
-    return F.floor(_short() * share).cast("int")
-
-
-def _ends(images: DataFrame) -> DataFrame:
-    """Adds each pixel's brightest and darkest channel."""
-    both = F.zip_with("r", "g", lambda a, c: F.struct(F.greatest(a, c).alias("hi"), F.least(a, c).alias("lo")))
-    pairs = F.zip_with(both, "b", lambda p, c: F.struct(F.greatest(p["hi"], c).alias("hi"), F.least(p["lo"], c).alias("lo")))
-    ended = scale.once(images, _ends=pairs)
-    return scale.once(ended, _hi=F.col("_ends.hi"), _lo=F.col("_ends.lo")).drop("_ends")
-
-
-def _at(side: str, offset: Column, position: Column) -> Column:
-    """Index of a pixel `offset` lines in from a side, `position` along it."""
-    w, h = _width(), _height()
-    if side == "top":
-        return offset * w + position
-    if side == "bottom":
-        return (h - 1 - offset) * w + position
-    if side == "left":
-        return position * w + offset
-    return position * w + (w - 1 - offset)
-
-
-def _across(side: str) -> Column:
-    return _width() if side in ("top", "bottom") else _height()
-
-
-def run_depth(side: str, limit: Column, step: Column, matches) -> Column:
-    """Lines in from a side, up to `limit`, of which at least nine in ten sampled pixels match.
-
-    `matches` takes the index of a pixel.
-    """
-    along = A.index_range(F.lit(0), _across(side), step)
-
-    def breaks(offset: Column) -> Column:
-        same = F.size(F.filter(along, lambda p: matches(_at(side, offset, p).cast("int"))))
-        return same / F.size(along) < C.LINE_SHARE
+    return math.floor(min(height, width) * share)
 
-    first = F.get(F.filter(A.index_range(F.lit(0), limit), breaks), F.lit(0))
-    return F.coalesce(first, limit)
 
+def from_side(pixels: np.ndarray, side: str) -> np.ndarray:
+    """A view whose first index counts lines in from a side, and whose second runs along it."""
+    upright = pixels if side in ("top", "bottom") else pixels.swapaxes(0, 1)
+    return upright if side in ("top", "left") else upright[::-1]
 
-def black_depths(images: DataFrame) -> DataFrame:
-    """Adds black_top … black_right, in pixels."""
-    step = F.greatest(F.lit(1), F.floor(_width() / 40).cast("int"))
-    limit = _cut(C.BLACK_WALK)
-    ready = images if "_hi" in images.columns else _ends(images)
-    depths = {f"black_{side}": run_depth(side, limit, step, lambda i: F.get("_hi", i) <= C.BLACK) for side in SIDES}
-    return scale.once(ready, **depths)
 
-
-def black_inset() -> Column:
-    """The shallowest black margin as a share of the shorter side."""
-    return F.least(*[F.col(f"black_{s}") for s in SIDES]) / _short()
+def run_depth(lines: np.ndarray, limit: int, step: int, matches) -> int:
+    """Lines in, up to `limit`, of which at least nine in ten sampled pixels match."""
+    sampled = lines[:limit, ::step]
+    broken = matches(sampled).sum(axis=1) / sampled.shape[1] < C.LINE_SHARE
+    return int(broken.argmax()) if broken.any() else limit
 
 
-def _near(r: Column, g: Column, b: Column, colour: Column) -> Column:
-    return (
-        (F.abs(r - colour["r"]) <= C.MAT_TOLERANCE)
-        & (F.abs(g - colour["g"]) <= C.MAT_TOLERANCE)
-        & (F.abs(b - colour["b"]) <= C.MAT_TOLERANCE)
-    )
-
+def _near(pixels: np.ndarray, colour: np.ndarray) -> np.ndarray:
+    return (np.abs(pixels.astype(np.int16) - colour) <= C.MAT_TOLERANCE).all(axis=-1)
 
-def _channel(pixels: Column, name: str) -> Column:
-    return F.transform(pixels, lambda p: p[name])
 
+def black_depths(pixels: np.ndarray) -> list[int]:
+    """Depth of the black margin on every side, in pixels."""
+    height, width = pixels.shape[:2]
+    limit, step = _cut(height, width, C.BLACK_WALK), max(1, width // 40)
+    return [run_depth(from_side(pixels, s), limit, step, lambda lines: lines.max(axis=-1) <= C.BLACK) for s in SIDES]
 
-def _median_colour(pixels: Column) -> Column:
-    return F.struct(*[A.upper_median(_channel(pixels, c)).alias(c) for c in "rgb"])
 
+def edge_ring(pixels: np.ndarray) -> np.ndarray:
+    """The sampled pixels one inset in from all four sides."""
+    height, width = pixels.shape[:2]
+    depth, step = _cut(height, width, C.RING_INSET), max(1, width // 60)
+    return np.concatenate([from_side(pixels, s)[depth, ::step] for s in SIDES])
 
-def _spread(pixels: Column) -> Column:
-    return F.greatest(*[A.median_deviation(_channel(pixels, c)) for c in "rgb"])
 
+def _spread(pixels: np.ndarray) -> float:
+    """The widest channel's median absolute deviation."""
+    values = pixels.astype(np.float64)
+    return float(np.median(np.abs(values - np.median(values, axis=0)), axis=0).max())
 
-def edge_ring(images: DataFrame) -> DataFrame:
-    """Adds the sampled ring one inset in from all four sides: ARRAY<STRUCT<r, g, b, lo>>."""
-    depth = _cut(C.RING_INSET)
-    step = F.greatest(F.lit(1), F.floor(_width() / 60).cast("int"))
 
-    def places(side: str) -> Column:
-        return F.transform(A.index_range(F.lit(0), _across(side), step), lambda p: _at(side, depth, p).cast("int"))
-
-    pixel = F.transform(
-        F.concat(*[places(s) for s in SIDES]),
-        lambda i: F.struct(
-            F.get("r", i).alias("r"), F.get("g", i).alias("g"), F.get("b", i).alias("b"),
-            F.least(F.get("r", i), F.get("g", i), F.get("b", i)).alias("lo"),
-        ),
-    )
-    return scale.once(images, _ring=pixel)
-
-
-def matted_share(images: DataFrame) -> DataFrame:
-    """Adds `matted` (share of the ring that is one flat colour) and `_mat`, that colour.
+def mat_of(pixels: np.ndarray) -> tuple[float, np.ndarray]:
+    """Share of the ring that is one flat colour, and that colour.
 
     Light rings count when they are flat; a ring of any one flat colour counts when it is very flat
     and not black; otherwise the light share stands.
     """
-    ring = edge_ring(images)
-    light = F.filter("_ring", lambda p: p["lo"] > C.LIGHT_MAT)
-    staged = scale.once(ring, _light=light).withColumn("_is_light", F.size("_light") >= F.size("_ring") * C.MATTED)
-    basis = F.when(F.col("_is_light"), F.col("_light")).otherwise(F.col("_ring"))
-    staged = scale.once(scale.once(staged, _basis=basis), _mat=_median_colour(F.col("_basis")))
-    same = F.filter("_ring", lambda p: _near(p["r"], p["g"], p["b"], F.col("_mat")))
-    staged = scale.once(staged, _same=same)
-    judged = F.when(F.col("_is_light"), F.col("_light")).otherwise(F.col("_same"))
-    staged = scale.once(scale.once(staged, _judged=judged), _deviation=_spread(F.col("_judged")))
-    share = F.size("_same") / F.size("_ring")
-    light_share = F.size("_light") / F.size("_ring")
-    black = F.greatest("_mat.r", "_mat.g", "_mat.b") <= C.BLACK
-    dark = ~black & (share >= C.DARK_MAT_SHARE) & (F.col("_deviation") <= C.DARK_MAT_FLAT)
-    matted = (
-        F.when(F.col("_is_light") & (F.col("_deviation") > C.MAT_FLAT_MAX), F.lit(0.0))
-        .when(F.col("_is_light") | dark, share)
-        .otherwise(light_share)
-    )
-    return staged.withColumn("matted", matted).drop("_ring", "_light", "_is_light", "_basis", "_same", "_judged", "_deviation")
+    ring = edge_ring(pixels)
+    light = ring[ring.min(axis=1) > C.LIGHT_MAT]
+    is_light = len(light) >= len(ring) * C.MATTED
+    basis = light if is_light else ring
+    colour = np.sort(basis, axis=0)[len(basis) // 2].astype(np.int16)
+    same = ring[_near(ring, colour)]
+    share = len(same) / len(ring)
+    if is_light:
+        return (0.0 if _spread(light) > C.MAT_FLAT_MAX else share), colour
+    if colour.max() > C.BLACK and share >= C.DARK_MAT_SHARE and _spread(same) <= C.DARK_MAT_FLAT:
+        return share, colour
+    return len(light) / len(ring), colour
 
 
-def mat_depths(images: DataFrame) -> DataFrame:
-    """Adds mat_top … mat_right: lines of the mat's colour in from each side."""
-    limit = _cut(C.MARGIN_MAX_DEPTH)
+def mat_depths(pixels: np.ndarray, colour: np.ndarray) -> list[int]:
+    """Lines of the mat's colour in from every side."""
+    limit = _cut(*pixels.shape[:2], C.MARGIN_MAX_DEPTH)
 
-    def depth(side: str) -> Column:
-        step = F.greatest(F.lit(1), F.floor(_across(side) / 40).cast("int"))
-        return run_depth(
-            side, limit, step, lambda i: _near(F.get("r", i), F.get("g", i), F.get("b", i), F.col("_mat"))
-        )
+    def depth(lines: np.ndarray) -> int:
+        return run_depth(lines, limit, max(1, lines.shape[1] // 40), lambda some: _near(some, colour))
 
-    return scale.once(images, **{f"mat_{s}": depth(s) for s in SIDES})
+    return [depth(from_side(pixels, s)) for s in SIDES]
 
 
-def corner_depth(images: DataFrame) -> DataFrame:
-    """Adds `corner`: pixels to cut off every side so that a rounded card on white clears its arcs.
+def corner_depth(pixels: np.ndarray) -> int:
+    """Pixels to cut off every side so that a rounded card on white clears its arcs.
 
     0 unless all four corners are paper, or when the arc is too deep to be one.
     """
-    ready = images if "_lo" in images.columns else _ends(images)
-    w, h, box = _width(), _height(), F.lit(C.CORNER_BOX)
-    inside = A.index_range(F.lit(0), F.lit(C.CORNER_BOX * C.CORNER_BOX))
-
-    def paper_corner(x0: Column, y0: Column) -> Column:
-        at = lambda i: ((y0 + F.floor(i / C.CORNER_BOX)) * w + x0 + i % C.CORNER_BOX).cast("int")
-        paper = F.size(F.filter(inside, lambda i: F.get("_lo", at(i)) > C.PAPER))
-        return paper > C.CORNER_BOX * C.CORNER_BOX * 0.5
-
-    rounded = (
-        paper_corner(F.lit(0), F.lit(0)) & paper_corner(w - box, F.lit(0))
-        & paper_corner(F.lit(0), h - box) & paper_corner(w - box, h - box)
-    )
-    limit, reach = _cut(C.CORNER_MAX_DEPTH), _cut(C.CORNER_REACH)
+    height, width = pixels.shape[:2]
+    box = C.CORNER_BOX
+    corners = [pixels[y : y + box, x : x + box] for y in (0, max(height - box, 0)) for x in (0, max(width - box, 0))]
+    if any(np.count_nonzero(c.min(axis=-1) > C.PAPER) <= box * box * 0.5 for c in corners):
+        return 0
+    limit, reach = _cut(height, width, C.CORNER_MAX_DEPTH), _cut(height, width, C.CORNER_REACH)
+    depths = []
+    for side in SIDES:
+        lines = from_side(pixels, side)
+        across = lines.shape[1]
+        along = [*range(0, reach, C.CORNER_STEP), *range(across - reach, across, C.CORNER_STEP)]
+        scene = lines[:limit, along].min(axis=-1) <= C.PAPER
+        depths += np.where(scene.any(axis=0), scene.argmax(axis=0), limit).tolist() if limit else [0] * len(along)
+    deepest = sorted(depths)[math.floor(len(depths) * C.CORNER_PERCENTILE)] if depths else limit
+    return deepest if deepest < limit else 0
+
+
+def image_margins(pixels: np.ndarray, parts: tuple[str, ...]) -> list:
+    """The asked parts of one image (height × width × three channels, in any order of channels)."""
+    matted, colour = mat_of(pixels) if "matted" in parts or "mat" in parts else (None, None)
+    found = {
+        "black": lambda: black_depths(pixels), "matted": lambda: [matted],
+        "mat": lambda: mat_depths(pixels, colour), "corner": lambda: [corner_depth(pixels)],
+    }
+    return [v for part in parts for v in found[part]()]
+
+
+def _pixels(raw: bytes, depth: int, width: int) -> np.ndarray:
+    """A view of stored bytes with three channels; a grey image has the same one three times."""
+    image = np.frombuffer(raw, np.uint8).reshape(-1, width, depth)
+    return image[:, :, :3] if depth >= 3 else np.broadcast_to(image[:, :, :1], (*image.shape[:2], 3))
+
+
+def measure_margins(images: DataFrame, image: str, keep: list[str], parts: tuple[str, ...] = tuple(PARTS)) -> DataFrame:
+    """`keep`, width, height and the columns of `parts`, from an image-source struct; one row in and one row out.
+
+    black_* and mat_*: depths per side in pixels; matted: share of the edge that is one flat colour;
+    corner: what clears a rounded card's arcs. Null for an image that is missing, cannot be decoded or has no pixels.
+    """
+    names = [c for part in parts for c in PARTS[part]]
+    shape = StructType([StructField(c, DoubleType() if c == "matted" else IntegerType()) for c in names])
+
+    @F.pandas_udf(shape)
+    def margins(data: pd.Series, channels: pd.Series, width: pd.Series) -> pd.DataFrame:
+        rows = [
+            [None] * len(names) if raw is None or not len(raw) or not depth > 0 or not wide > 0 else image_margins(_pixels(raw, int(depth), int(wide)), parts)
+            for raw, depth, wide in zip(data, channels, width)
+        ]
+        table = pd.DataFrame(rows, columns=names)
+        return table.astype({c: "Float64" if c == "matted" else "Int32" for c in names})
+
+    part = F.col(image)
+    measured = images.select(*keep, part["width"].alias("width"), part["height"].alias("height"), margins(part["data"], part["nChannels"], part["width"]).alias("_m"))
+    return measured.select(*keep, "width", "height", *[f"_m.{c}" for c in names])
+
+
+def _short() -> Column:
+    return F.least("width", "height")
 
-    def runs(side: str) -> Column:
-        near = A.index_range(F.lit(0), reach, F.lit(C.CORNER_STEP))
-        far = A.index_range(_across(side) - reach, _across(side), F.lit(C.CORNER_STEP))
 
-        def run(p: Column) -> Column:
-            ends = F.filter(A.index_range(F.lit(0), limit), lambda o: F.get("_lo", _at(side, o, p).cast("int")) <= C.PAPER)
-            return F.coalesce(F.get(ends, F.lit(0)), limit)
+def _share(share: float) -> Column:
+    return F.floor(_short() * share).cast("int")
 
-        return F.transform(F.concat(near, far), run)
 
-    depths = F.sort_array(F.concat(*[runs(s) for s in SIDES]))
-    deepest = A.let(depths, lambda d: F.get(d, F.floor(F.size(d) * C.CORNER_PERCENTILE).cast("int")))
-    cut = F.when(rounded, A.let(deepest, lambda d: F.when(d < limit, d)))
-    return scale.once(ready, corner=F.coalesce(cut, F.lit(0)))
+def black_inset() -> Column:
+    """The shallowest black margin as a share of the shorter side."""
+    return F.least(*BLACKS) / _short()
 
 
-def trim_rectangle(images: DataFrame, keep: list[str]) -> DataFrame:
+def trim_rectangle(images: DataFrame, image: str, keep: list[str]) -> DataFrame:
     """What to cut from each side, and the cut as a share of the shorter side. All 0 when nothing is.
 
     A mat goes when all four sides have one that ends before the ceiling. Without a mat a black void
-    goes on the same terms, and failing that the arcs of a rounded card.
+    goes on the same terms, and failing that the arcs of a rounded card. Null for an image that cannot be decoded.
     """
-    ceiling = _cut(C.MARGIN_MAX_DEPTH)
-    ready = corner_depth(mat_depths(black_depths(matted_share(_ends(images)))))
-    mats, blacks = ([F.col(f"{kind}_{s}") for s in SIDES] for kind in ("mat", "black"))
-    floor = F.greatest(F.lit(2), _cut(C.BLACK_FLOOR))
+    ceiling = _share(C.MARGIN_MAX_DEPTH)
+    ready = measure_margins(images, image, keep)
+    floor = F.greatest(F.lit(2), _share(C.BLACK_FLOOR))
     is_mat = F.col("matted") >= C.MATTED
-    cut_mat = (F.least(*mats) > 0) & (F.greatest(*mats) < ceiling)
-    cut_black = (F.least(*blacks) >= floor) & (F.greatest(*blacks) < ceiling)
+    cut_mat = (F.least(*MATS) > 0) & (F.greatest(*MATS) < ceiling)
+    cut_black = (F.least(*BLACKS) >= floor) & (F.greatest(*BLACKS) < ceiling)
     cuts = [
-        F.when(is_mat, F.when(cut_mat, m).otherwise(F.lit(0))).when(cut_black, b).otherwise(F.col("corner")).alias(s)
-        for s, m, b in zip(SIDES, mats, blacks)
+        F.when(F.col("matted").isNull(), F.lit(None).cast("int"))
+        .when(is_mat, F.when(cut_mat, F.col(m)).otherwise(F.lit(0)))
+        .when(cut_black, F.col(b)).otherwise(F.col("corner")).alias(s)
+        for s, m, b in zip(SIDES, MATS, BLACKS)
     ]
     cut = ready.select(*keep, "width", "height", *cuts)
-    return cut.select(*keep, *SIDES, (F.greatest(*SIDES) / _short()).alias("depth"))
+    depth = F.when(F.col("top").isNotNull(), F.greatest(*SIDES) / _short())
+    return cut.select(*keep, *SIDES, depth.alias("depth"))
 
 
 def matte_problem() -> Column:
-    """A black page on all four sides, else a flat edge. Needs black_depths and matted_share."""
+    """A black page on all four sides, else a flat edge. Needs the parts black and matted."""
     return present(
         [
             F.when(

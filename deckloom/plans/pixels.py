@@ -8,24 +8,16 @@ from deckloom.operators import margins, scale, surfaces
 from deckloom.plans import views as V
 from deckloom.plans.registry import query
 
-DEPTH = {
-    "top": ("y", "y"), "bottom": ("39 - y", "y"), "left": ("x", "x"), "right": ("39 - x", "x"),
-}
+def depths_sql(match: str, limit: int, prefix: str, source: str = "v_sheet") -> str:
+    sides = ", ".join(f"CAST(max(d) FILTER (side = '{s}') AS INTEGER) AS {prefix}_{s}" for s in margins.SIDES)
+    return f"""SELECT image_id, {sides} FROM (
+    SELECT image_id, side, COALESCE(min(o) FILTER (s < CAST(0.9 AS DOUBLE)), {limit}) AS d FROM (
+      SELECT image_id, side, o, count(*) FILTER ({match}) / count(*) AS s FROM {source} WHERE use = 'band' AND o < {limit} GROUP BY image_id, side, o)
+    GROUP BY image_id, side) GROUP BY image_id"""
 
 
-def depths_sql(match: str, limit: int, source: str = "v_canvas", prefix: str = "black") -> str:
-    parts = " JOIN ".join(
-        f"""(SELECT image_id, CAST(COALESCE(min(o) FILTER (s < CAST(0.9 AS DOUBLE)), {limit}) AS INTEGER) AS {prefix}_{side} FROM (
-      SELECT image_id, {line} AS o, count(*) FILTER ({match}) / count(*) AS s FROM {source} WHERE {line} < {limit} GROUP BY image_id, {line}) GROUP BY image_id)
-      {side}_{prefix}""" + ("" if side == "top" else " USING (image_id)")
-        for side, (line, _) in DEPTH.items()
-    )
-    return f"SELECT * FROM {parts}"
-
-
-BLACK_SQL = depths_sql("greatest(r, g, b) <= 32", 12)
-RING_SQL = """SELECT image_id, x, y, r, g, b FROM v_canvas WHERE y = 0 UNION ALL SELECT image_id, x, y, r, g, b FROM v_canvas WHERE y = 39
-  UNION ALL SELECT image_id, x, y, r, g, b FROM v_canvas WHERE x = 0 UNION ALL SELECT image_id, x, y, r, g, b FROM v_canvas WHERE x = 39"""
+BLACK_SQL = depths_sql("greatest(r, g, b) <= 32", 60, "black")
+RING_SQL = "SELECT image_id, r, g, b FROM v_sheet WHERE use = 'ring'"
 UPPER = "list_sort(list({c}))[len(list({c})) // 2 + 1]"
 
 
@@ -49,55 +41,63 @@ LEFT JOIN (SELECT image_id, max(d) AS dev FROM (SELECT image_id, c, median(abs(v
     WHERE (is_light AND least(r, g, b) > 185) OR (NOT is_light AND {NEAR}))) GROUP BY image_id, c) GROUP BY image_id) USING (image_id)"""
 
 
-def canvases(spark, sf):
-    return V.canvases(spark, sf)
+def sheet_margins(spark, sf, *parts):
+    return margins.measure_margins(V.sheets(spark, sf), "image", ["image_id"], parts)
 
 
-@query("w5_edge_runs", BLACK_SQL, ("v_canvas",))
+@query("w5_edge_runs", BLACK_SQL, ("v_sheet",))
 def edge_runs(spark, sf):
-    return margins.black_depths(canvases(spark, sf)).select("image_id", *[f"black_{s}" for s in margins.SIDES])
+    return sheet_margins(spark, sf, "black").select("image_id", *margins.BLACKS)
 
 
 @query(
     "i3_black_inset",
-    f"SELECT image_id, least(black_top, black_bottom, black_left, black_right) / 40 AS inset FROM ({BLACK_SQL})",
-    ("v_canvas",),
+    f"SELECT image_id, least(black_top, black_bottom, black_left, black_right) / 200 AS inset FROM ({BLACK_SQL})",
+    ("v_sheet",),
 )
 def black_inset(spark, sf):
-    return margins.black_depths(canvases(spark, sf)).select("image_id", margins.black_inset().alias("inset"))
+    return sheet_margins(spark, sf, "black").select("image_id", margins.black_inset().alias("inset"))
 
 
-@query("i2_flat_edge_share", f"SELECT image_id, matted FROM ({MATTED_SQL})", ("v_canvas",))
+@query("i2_flat_edge_share", f"SELECT image_id, matted FROM ({MATTED_SQL})", ("v_sheet",))
 def flat_edge_share(spark, sf):
-    return margins.matted_share(canvases(spark, sf)).select("image_id", "matted")
-
-
-MAT_DEPTH_SQL = depths_sql(NEAR, 4, f"(SELECT * FROM v_canvas JOIN ({MAT_SQL}) USING (image_id))", "mat")
-ALL_BLACK, ALL_MAT = (", ".join(f"{p}_{s}" for s in DEPTH) for p in ("black", "mat"))
+    return sheet_margins(spark, sf, "matted").select("image_id", "matted")
+
+
+MAT_DEPTH_SQL = depths_sql(NEAR, 20, "mat", f"(SELECT * FROM v_sheet JOIN ({MAT_SQL}) USING (image_id))")
+CORNER_SQL = """SELECT image_id, CASE WHEN paper = 4 AND deepest < 10 THEN deepest ELSE 0 END AS corner
+FROM (SELECT image_id, count(*) FILTER (n > 32) AS paper FROM (
+    SELECT image_id, side, count(*) FILTER (least(r, g, b) > 242) AS n FROM v_sheet WHERE use = 'box' GROUP BY image_id, side) GROUP BY image_id)
+JOIN (SELECT image_id, list_sort(list(d))[CAST(floor(count(*) * CAST(0.98 AS DOUBLE)) AS INTEGER) + 1] AS deepest FROM (
+    SELECT image_id, side, p, COALESCE(min(o) FILTER (least(r, g, b) <= 242), 10) AS d FROM v_sheet WHERE use = 'arc' GROUP BY image_id, side, p)
+  GROUP BY image_id) USING (image_id)"""
+ALL_BLACK, ALL_MAT = (", ".join(names) for names in (margins.BLACKS, margins.MATS))
+TRIM_SQL = ", ".join(
+    f"""CAST(CASE WHEN matted >= CAST(0.55 AS DOUBLE) THEN CASE WHEN least({ALL_MAT}) > 0 AND greatest({ALL_MAT}) < 20 THEN mat_{s} ELSE 0 END
+    WHEN least({ALL_BLACK}) >= 2 AND greatest({ALL_BLACK}) < 20 THEN black_{s} ELSE corner END AS INTEGER) AS "{s}\""""
+    for s in margins.SIDES
+)
 
 
 @query(
     "i4_trim_rectangle",
     f"""
-SELECT image_id, top, bottom, "left", "right", greatest(top, bottom, "left", "right") / 40 AS depth FROM (
-  SELECT image_id, {", ".join(f'''CASE WHEN matted >= CAST(0.55 AS DOUBLE) THEN CASE WHEN least({ALL_MAT}) > 0 AND greatest({ALL_MAT}) < 4 THEN mat_{s} ELSE 0 END
-    WHEN least({ALL_BLACK}) >= 2 AND greatest({ALL_BLACK}) < 4 THEN black_{s} ELSE 0 END AS "{s}"''' for s in DEPTH)}
-  FROM ({MATTED_SQL}) JOIN ({BLACK_SQL}) USING (image_id) JOIN ({MAT_DEPTH_SQL}) USING (image_id))
+SELECT image_id, top, bottom, "left", "right", greatest(top, bottom, "left", "right") / 200 AS depth FROM (
+  SELECT image_id, {TRIM_SQL} FROM ({MATTED_SQL}) JOIN ({BLACK_SQL}) USING (image_id) JOIN ({MAT_DEPTH_SQL}) USING (image_id) JOIN ({CORNER_SQL}) USING (image_id))
 """,
-    ("v_canvas",),
+    ("v_sheet",),
 )
 def trim_rectangles(spark, sf):
-    """On a 40-pixel canvas an arc is always past its 2-pixel ceiling, so that branch is tested on larger images."""
-    return margins.trim_rectangle(canvases(spark, sf), ["image_id"])
+    return margins.trim_rectangle(V.sheets(spark, sf), "image", ["image_id"])
 
 
-MATTE_SQL = f"""SELECT image_id, CASE WHEN least({ALL_BLACK}) / 40 >= CAST(0.047 AS DOUBLE) OR matted >= CAST(0.55 AS DOUBLE) THEN 'matted' ELSE '' END AS codes
+MATTE_SQL = f"""SELECT image_id, CASE WHEN least({ALL_BLACK}) / 200 >= CAST(0.047 AS DOUBLE) OR matted >= CAST(0.55 AS DOUBLE) THEN 'matted' ELSE '' END AS codes
 FROM ({MATTED_SQL}) JOIN ({BLACK_SQL}) USING (image_id)"""
 
 
-@query("g8_matte_gate", MATTE_SQL, ("v_canvas",))
+@query("g8_matte_gate", MATTE_SQL, ("v_sheet",))
 def matte_gate(spark, sf):
-    ready = margins.black_depths(margins.matted_share(canvases(spark, sf)))
+    ready = sheet_margins(spark, sf, "black", "matted")
     codes = F.array_join(F.transform(margins.matte_problem(), lambda p: p["code"]), ",")
     return ready.select("image_id", codes.alias("codes"))
 

@@ -131,9 +131,7 @@ def audit_by_mode(spark, sf):
         collision=geometry.collision(F.col("tokens")),
     )
     colour = face(corpus.colour_profile(spark, sf), colour=colours.identity_problem(corpus.identity_for()))
-    matte = face(
-        margins.black_depths(margins.matted_share(pixels.canvases(spark, sf))), matte=margins.matte_problem()
-    )
+    matte = face(pixels.sheet_margins(spark, sf, "black", "matted"), matte=margins.matte_problem())
     light = face(
         pixels.stripped(spark, sf), contrast=surfaces.contrast_problem(), cover=surfaces.obstruction_problem()
     )

@@ -192,6 +192,36 @@ FROM (SELECT image_id, label, x, y, depth, kind, raw[(y // 5) * 8 + x // 5 + 1]
     ["v_scaled"],
 )
 
+# the sampled pixels of 200-pixel sheets: bands 60 lines deep, the ring, the runs and boxes of corners
+_view(
+    "v_sheet",
+    """
+SELECT image_id, use, side, o, p,
+  CASE WHEN kind = 3 AND corner < 8 + depth THEN 255 WHEN kind = 0 AND edge < depth * 5 THEN 4
+       WHEN kind = 1 AND edge < depth * 5 THEN 240 WHEN kind = 2 AND edge < depth * 5 THEN 50 ELSE cell END AS r,
+  CASE WHEN kind = 3 AND corner < 8 + depth THEN 255 WHEN kind = 0 AND edge < depth * 5 THEN 6
+       WHEN kind = 1 AND edge < depth * 5 THEN 235 WHEN kind = 2 AND edge < depth * 5 THEN 53 ELSE (cell * 3 + 17) % 256 END AS g,
+  CASE WHEN kind = 3 AND corner < 8 + depth THEN 255 WHEN kind = 0 AND edge < depth * 5 THEN 9
+       WHEN kind = 1 AND edge < depth * 5 THEN 225 WHEN kind = 2 AND edge < depth * 5 THEN 60 ELSE (cell * 7 + 101) % 256 END AS b
+FROM (SELECT vec_id AS image_id, vec_id % 6 AS depth, vec_id % 5 AS kind, use, side, o, p, raw[(y // 25) * 8 + x // 25 + 1] AS cell,
+        least(x, y, 199 - x, 199 - y) AS edge, least(x, 199 - x) + least(y, 199 - y) AS corner
+      FROM v_scaled, (
+        SELECT use, side, o, p, CASE side WHEN 'left' THEN o WHEN 'right' THEN 199 - o ELSE p END AS x,
+               CASE side WHEN 'top' THEN o WHEN 'bottom' THEN 199 - o ELSE p END AS y
+        FROM (SELECT unnest(['top', 'bottom', 'left', 'right']) AS side), (
+          SELECT 'band' AS use, o, p FROM range(0, 60) t(o), range(0, 200, 5) u(p)
+          UNION ALL SELECT 'ring', 2, p FROM range(0, 200, 3) u(p)
+          UNION ALL SELECT 'arc', o, p FROM range(0, 10) t(o), range(0, 40, 4) u(p)
+          UNION ALL SELECT 'arc', o, p FROM range(0, 10) t(o), range(160, 200, 4) u(p)
+          UNION ALL SELECT 'box', o, p FROM range(0, 8) t(o), range(0, 8) u(p))
+        WHERE use <> 'box' OR side IN ('top', 'bottom')
+        UNION ALL SELECT 'box', 'far ' || side, o, p, p, CASE side WHEN 'top' THEN o ELSE 199 - o END
+        FROM (SELECT unnest(['top', 'bottom']) AS side), range(0, 8) t(o), range(192, 200) u(p)))
+""",
+    ["v_scaled"],
+)
+KEPT = {"v_sheet"}  # read many times, so worked out once
+
 # surface, first group, count; the raw box of group j follows views.raw_boxes
 _view(
     "v_rawbox",
@@ -312,7 +342,7 @@ def with_views(body: str, *names: str) -> str:
 
     for name in names:
         visit(name)
-    listed = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in ordered)
+    listed = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in KEPT else ''}({VIEWS[name].strip()})" for name in ordered)
     extra = body.strip()
     for opening in ("WITH RECURSIVE ", "WITH "):
         if extra.upper().startswith(opening):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from deckloom.operators import scale
 from deckloom.sources import catalogue as sources
@@ -222,13 +225,38 @@ def _painted(rows: DataFrame, keep: list[str]) -> DataFrame:
     ).drop("_codes")
 
 
-def canvases(spark: SparkSession, sf: str) -> DataFrame:
-    """40×40 colour images: each grid cell is a 5×5 block, inside a margin that depends on the image.
+SHEET_SIDE = 200
 
-    id % 6 pixels deep; colour by id % 5: black, cream, flat dark grey, paper white in the corners
-    only, or none.
+
+@F.pandas_udf(BinaryType())
+def _sheet_bytes(raw: pd.Series, image_id: pd.Series) -> pd.Series:
+    """Blue-green-red bytes of each image's sheet."""
+    side = SHEET_SIDE
+    line = np.minimum(np.arange(side), side - 1 - np.arange(side))
+    edge, corner = np.minimum(line[:, None], line), line[:, None] + line
+    out = []
+    for cells, k in zip(raw, image_id):
+        cell = np.repeat(np.repeat(np.asarray(cells, np.int32).reshape(8, 8), side // 8, 0), side // 8, 1)
+        pixels = np.stack([cell * 7 + 101, cell * 3 + 17, cell], axis=-1).astype(np.uint8)  # modulo 256
+        if k % 5 < 3:
+            pixels[edge < k % 6 * 5] = ((9, 6, 4), (225, 235, 240), (60, 53, 50))[k % 5]
+        elif k % 5 == 3:
+            pixels[corner < 8 + k % 6] = 255
+        out.append(pixels.tobytes())
+    return pd.Series(out)
+
+
+def sheets(spark: SparkSession, sf: str) -> DataFrame:
+    """200×200 colour images as the image source stores them: each grid cell is a 25×25 block, inside a margin.
+
+    The margin is id % 6 * 5 pixels deep; its colour goes by id % 5: black, cream, flat dark grey, paper white in
+    triangles of 8 + id % 6 pixels in the corners only, or none.
     """
-    return _painted(scaled(spark, sf, 255), [])
+    stored = F.struct(
+        F.lit(SHEET_SIDE).alias("width"), F.lit(SHEET_SIDE).alias("height"), F.lit(3).alias("nChannels"),
+        _sheet_bytes("raw", "image_id").alias("data"),
+    )
+    return scaled(spark, sf, 255).select("image_id", "label", stored.alias("image"))
 
 
 def _box_columns(source: str) -> list[Column]:

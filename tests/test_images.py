@@ -2,6 +2,7 @@
 
 import struct
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ from deckloom.functions import boxes as B
 from deckloom.functions import colour as K
 from deckloom.functions import images as I
 from deckloom.operators import audit, colours, geometry, margins, structure, surfaces
+from deckloom.plans import views as V
 from deckloom.sources import images
 
 SOUND = {"title": (0.10, 0.06, 0.90, 0.12), "type": (0.10, 0.60, 0.90, 0.66), "rules": [(0.10, 0.67, 0.90, 0.90)],
@@ -89,8 +91,21 @@ def test_hue_limits(spark):
     assert got == ["red", "red", "orange", "orange", "yellow", "green", "cyan", "blue", "purple", "magenta", "magenta", "red"]
 
 
+STORED = "image_id int, image struct<width: int, height: int, nChannels: int, data: binary>"
+
+
+def stored(spark, *pictures):
+    """Pictures (red, green, blue on the last axis) as the image source stores them."""
+    rows = [(i, None if p is None else (p.shape[1], p.shape[0], 3, p[:, :, ::-1].astype(np.uint8).tobytes())) for i, p in enumerate(pictures)]
+    return spark.createDataFrame(rows, STORED)
+
+
+def drawn(width, height, paint):
+    return np.array([[paint(x, y) for x in range(width)] for y in range(height)])
+
+
 def depth(spark, side, paint):
-    row = margins.trim_rectangle(image(spark, side, side, paint), ["image_id"]).first()
+    row = margins.trim_rectangle(stored(spark, drawn(side, side, paint)), "image", ["image_id"]).first()
     return row.top, row.bottom, row.left, row.right
 
 
@@ -264,3 +279,111 @@ def test_stored_and_decoded_images_measure_alike(spark):
     grey = decoded.select("image_id", "width", "height", I.grey(F.col("r"), F.col("g"), F.col("b")).alias("px"))
     assert direct[1] == structure.measure(grey, ["image_id"], 1.0, 0.25, 0.25, 0.25).first()
     assert direct[2].ruled_rows is None and direct[2].interior_energy is None
+
+
+def plain_margins(picture):
+    """Margins of one picture, pixel by pixel: black depths, matted share, mat depths, corner."""
+    height, width = picture.shape[:2]
+    short = min(height, width)
+    at = {
+        "top": (lambda o, p: picture[o, p], width), "bottom": (lambda o, p: picture[height - 1 - o, p], width),
+        "left": (lambda o, p: picture[p, o], height), "right": (lambda o, p: picture[p, width - 1 - o], height),
+    }
+
+    def walk(side, limit, step, match):
+        get, across = at[side]
+        for o in range(limit):
+            line = [match(get(o, p)) for p in range(0, across, step)]
+            if sum(line) / len(line) < 0.9:
+                return o
+        return limit
+
+    def median(values):
+        values, n = sorted(values), len(values)
+        return (values[(n - 1) // 2] + values[n // 2]) / 2
+
+    def deviation(pixels):
+        return max(median([abs(v - median(c)) for v in c]) for c in zip(*pixels))
+
+    ring = [tuple(map(int, at[s][0](int(short * 0.012), p))) for s in at for p in range(0, at[s][1], max(1, width // 60))]
+    light = [p for p in ring if min(p) > 185]
+    is_light = len(light) >= 0.55 * len(ring)
+    colour = tuple(sorted(c)[len(c) // 2] for c in zip(*(light if is_light else ring)))
+    near = lambda p: all(abs(int(a) - b) <= 26 for a, b in zip(p, colour))
+    same = [p for p in ring if near(p)]
+    if is_light:
+        share = 0.0 if deviation(light) > 4 else len(same) / len(ring)
+    elif max(colour) > 32 and len(same) >= 0.98 * len(ring) and deviation(same) <= 2:
+        share = len(same) / len(ring)
+    else:
+        share = len(light) / len(ring)
+    black = [walk(s, int(short * 0.3), max(1, width // 40), lambda p: max(p) <= 32) for s in at]
+    mats = [walk(s, int(short * 0.1), max(1, at[s][1] // 40), near) for s in at]
+    boxes = [picture[y : y + 8, x : x + 8].min(axis=2) > 242 for x in (0, width - 8) for y in (0, height - 8)]
+    limit, reach, runs = int(short * 0.05), int(short * 0.2), []
+    for s, (get, across) in at.items():
+        for p in [*range(0, reach, 4), *range(across - reach, across, 4)]:
+            runs.append(next((o for o in range(limit) if min(get(o, p)) <= 242), limit))
+    deepest = sorted(runs)[int(len(runs) * 0.98)]
+    corner = deepest if all(b.sum() > 32 for b in boxes) and deepest < limit else 0
+    return [*black, share, *mats, corner]
+
+
+def framed(width, height, depth, colour, seed):
+    rng = np.random.default_rng(seed)
+    picture = rng.integers(0, 256, (height, width, 3))
+    y, x = np.mgrid[:height, :width]
+    edge = np.minimum.reduce([x, y, width - 1 - x, height - 1 - y])
+    picture[edge < depth] = np.clip(np.array(colour) + rng.integers(-2, 3, ((edge < depth).sum(), 3)), 0, 255)
+    return picture
+
+
+def test_margins_equal_a_walk_over_pixels(spark):
+    pictures = [
+        framed(w, h, d, colour, i)
+        for i, (w, h, d, colour) in enumerate([
+            (120, 200, 0, (0, 0, 0)), (120, 200, 5, (244, 239, 227)), (200, 120, 9, (3, 4, 5)), (90, 90, 30, (10, 9, 8)),
+            (161, 203, 7, (60, 90, 120)), (240, 180, 11, (254, 254, 254)), (64, 64, 6, (190, 200, 210)), (40, 300, 3, (30, 31, 33)),
+        ])
+    ]
+    white = framed(400, 400, 0, (0, 0, 0), 9)
+    y, x = np.mgrid[:400, :400]
+    white[np.minimum(x, 399 - x) + np.minimum(y, 399 - y) < 12] = 255
+    pictures.append(white)
+    got = margins.measure_margins(stored(spark, *pictures), "image", ["image_id"]).orderBy("image_id").collect()
+    names = [c for part in margins.PARTS.values() for c in part]
+    for row, picture in zip(got, pictures):
+        assert [row[c] for c in names] == plain_margins(picture)
+    assert got[-1].corner > 0
+
+
+def test_pictures_without_pixels_have_no_margins(spark):
+    empty = spark.createDataFrame([(0, None), (1, (-1, -1, -1, bytearray()))], STORED)
+    rows = margins.trim_rectangle(empty, "image", ["image_id"]).collect()
+    assert all(r.top is None and r.depth is None for r in rows) and len(rows) == 2
+    assert margins.trim_rectangle(empty.limit(0), "image", ["image_id"]).collect() == []
+
+
+def test_tiny_and_grey_pictures(spark):
+    grey = spark.createDataFrame([(0, (1, 1, 1, bytearray([250]))), (1, (3, 2, 1, bytearray(6)))], STORED)
+    rows = margins.measure_margins(grey, "image", ["image_id"]).collect()
+    assert [r.matted for r in rows] == [1.0, 0.0]
+
+
+def test_published_size_is_quick_and_small():
+    picture = np.ascontiguousarray(framed(1792, 2400, 40, (244, 239, 227), 1).astype(np.uint8))
+    parts = tuple(margins.PARTS)
+    margins.image_margins(picture, parts)
+    tracemalloc.start()
+    began = time.perf_counter()
+    found = margins.image_margins(picture, parts)
+    took, most = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[:4] == [0, 0, 0, 0] and found[5:9] == [40, 40, 40, 40]
+    assert took < 0.5 and most < 8_000_000
+
+
+def test_sheets_reach_every_branch_of_the_trim(spark, sf):
+    rows = margins.measure_margins(V.sheets(spark, sf), "image", ["image_id"]).collect()
+    assert {r.corner for r in rows} == {0, 8, 9}
+    assert any(min(r[c] for c in margins.BLACKS) >= 2 for r in rows) and any(r.matted >= 0.55 for r in rows)
