@@ -97,10 +97,11 @@ def compliance(results: DataFrame) -> DataFrame:
         F.count_if(F.col("strip_height") >= F.col("asked")).alias("met"),
         F.max("title_y").alias("worst_title_y"),
     )
-    halves = F.explode(F.array(F.lit("low"), F.lit("high"))).alias("half")
-    rank = F.when(F.col("half") == "low", F.floor((F.col("_total") + 1) / 2)).otherwise(F.floor(F.col("_total") / 2) + 1)
-    ends = scale.value_at_rank(results.select("title_y", halves), ["half"], "title_y", rank, "y")
-    middle = ends.agg(((F.min("y") + F.max("y")) / 2).alias("median_title_y"))
+    total = F.col("_total")
+    ends = scale.values_at_ranks(
+        results.select("title_y"), [], "title_y", {"low": F.floor((total + 1) / 2), "high": F.floor(total / 2) + 1}
+    )
+    middle = ends.select(((F.col("low") + F.col("high")) / 2).alias("median_title_y"))
     return rates.join(middle, F.lit(True), "left")
 
 

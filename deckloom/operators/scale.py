@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 HOT_PARTS = 1000
 SALTS = 64
+#: Parts that a cell is cut into, and how often, on the way to a rank.
+CELLS, RECUTS = 8192, 3
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -52,42 +54,74 @@ def number_in_group(
     )
 
 
-def value_at_rank(
-    df: DataFrame, keys: list[str], value: str, rank: Column, out: str, cells: int = 65536
-) -> DataFrame:
-    """Exact value at a one-based rank per key. `rank` may use the group's row count, column `_total`.
+def _magnitude(value: Column) -> Column:
+    """A whole number that never falls as the value rises: which power of two it has, with its sign. NaN is last."""
+    number = value.cast("double")
+    size = F.least(F.floor(F.log2(F.abs(number))), F.lit(1100)) + 1200
+    return (
+        F.when(F.isnan(number), F.lit(9999)).when(number > 0, size).when(number < 0, -size).otherwise(F.lit(0)).cast("int")
+    )
+
+
+def _between(value: Column, low: Column, high: Column) -> Column:
+    """Which of CELLS equal parts of low..high holds the value. Halves keep the widest range finite."""
+    part, whole = (end.cast("double") / 2 - low.cast("double") / 2 for end in (value, high))
+    return F.when(whole > 0, F.least(F.lit(CELLS - 1), F.floor(part / whole * CELLS)).cast("int")).otherwise(F.lit(0))
 
-    Repeats collapse to (value, count) first. The range of each key is then cut into `cells`, the
-    cell that holds the rank is found from cell counts, and only that cell's values are ordered. No
-    task sees a whole group, whatever share of the rows it has; a badly uneven spread of values only
-    makes the one cell larger, the answer stays exact.
+
+def _narrowed(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """The few values among which each rank lies: keys, _which, value, its count _n, and the _rank among them.
+
+    Repeats collapse to (value, count) first. A group is then cut by powers of two, and the cell that
+    holds a rank is cut RECUTS times into CELLS parts of what it really spans; all of that is counting, so no
+    task holds a group. Between two neighbouring powers of two lie 2^52 doubles, so what is left to order at the end
+    are a few thousand values at most, wherever outliers lie and however uneven the spread is.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    wanted = (
-        counted.groupBy(*keys)
-        .agg(F.sum("_n").alias("_total"), F.min(value).alias("_low"), F.max(value).alias("_high"))
-        .select(*keys, rank.cast("bigint").alias("_rank"), "_low", "_high")
-    )
-    share = (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low"))
-    cell = F.when(F.col("_high") > F.col("_low"), F.least(F.lit(cells - 1), F.floor(share * cells)))
-    placed = counted.join(wanted, keys).select(
-        *keys, value, "_n", "_rank", F.coalesce(cell, F.lit(0)).cast("bigint").alias("_cell")
-    )
-    found = (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank"))
-    hit = (
-        placed.groupBy(*keys, "_cell")
-        .agg(F.sum("_n").alias("_n"), F.min("_rank").alias("_rank"))
-        .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cell")))
-        .where(found)
-        .select(*keys, "_cell", (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_rank"))
-    )
-    return (
-        placed.drop("_rank")
-        .join(hit, [*keys, "_cell"])
-        .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys, "_cell").orderBy(value)))
-        .where(found)
-        .select(*keys, F.col(value).alias(out))
-    )
+    asked = F.array(*[F.struct(F.lit(name).alias("_which"), rank.cast("bigint").alias("_rank")) for name, rank in ranks.items()])
+    wanted = counted.groupBy(*keys).agg(F.sum("_n").alias("_total")).select(*keys, F.inline(asked))
+    left = (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_rank")
+    span = [F.sum("_n").alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high")]
+
+    pool = counted.withColumn("_cell", _magnitude(F.col(value)))
+    cells = pool.groupBy(*keys, "_cell").agg(*span).withColumn("_upto", F.sum("_n").over(_along(keys, "_cell")))
+    hits = (cells.join(wanted, keys) if keys else cells.join(F.broadcast(wanted), F.lit(True))).where(_found())
+    group = [*keys, "_which"]
+    for _ in range(RECUTS):
+        hits = hits.select(*group, "_cell", left, "_low", "_high")
+        inside = pool.join(hits, [c for c in pool.columns if c not in (value, "_n")])
+        pool = inside.select(*group, value, "_n", "_rank", _between(F.col(value), F.col("_low"), F.col("_high")).alias("_cell"))
+        cells = pool.groupBy(*group, "_rank", "_cell").agg(*span)
+        hits = cells.withColumn("_upto", F.sum("_n").over(_along(group, "_cell"))).where(_found())
+        pool = pool.drop("_rank")
+    return pool.join(hits.select(*group, "_cell", left), [*group, "_cell"])
+
+
+def values_at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """Exact values at one-based ranks per key, one column per name in `ranks`; null where a group ends before.
+
+    A rank may use the group's row count, column `_total`; null values do not count, and a group without
+    values has no row. See `_narrowed` for how no task comes to hold a group.
+    """
+    group = [*keys, "_which"]
+    upto = F.sum("_n").over(_along(group, value))
+    values = _narrowed(df, keys, value, ranks).withColumn("_upto", upto).where(_found())
+    picked = [F.max(F.when(F.col("_which") == name, F.col(value))).alias(name) for name in ranks]
+    return values.groupBy(*keys).agg(*picked)
+
+
+def _found() -> Column:
+    """The row in whose stretch of a running count the rank lies."""
+    return (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank"))
+
+
+def _along(keys: list[str], order: str):
+    return Window.partitionBy(*keys or [F.lit(0)]).orderBy(order)
+
+
+def value_at_rank(df: DataFrame, keys: list[str], value: str, rank: Column, out: str) -> DataFrame:
+    """`values_at_ranks` for one rank."""
+    return values_at_ranks(df, keys, value, {out: rank})
 
 
 def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -26,11 +26,13 @@ def test_numbers_are_dense_and_in_order(spark):
         assert [o for _, o in sorted(pairs)] == list(range(1, len(pairs) + 1))
 
 
-@pytest.mark.parametrize("cells", [1, 7, 65536])
-def test_value_at_rank_is_exact(spark, cells):
+@pytest.mark.parametrize("cells, recuts", [(2, 1), (7, 2), (8192, 3)])
+def test_value_at_rank_is_exact(spark, monkeypatch, cells, recuts):
+    monkeypatch.setattr(scale, "CELLS", cells)
+    monkeypatch.setattr(scale, "RECUTS", recuts)
     rows = skewed() + [("one", 0, 5.0), ("same", 0, 2.0), ("same", 1, 2.0), ("none", 0, None)]
     df = spark.createDataFrame(rows, "k string, i long, v double")
-    got = {r.k: r.m for r in scale.value_at_rank(df, ["k"], "v", F.floor(F.col("_total") / 2) + 1, "m", cells).collect()}
+    got = {r.k: r.m for r in scale.value_at_rank(df, ["k"], "v", F.floor(F.col("_total") / 2) + 1, "m").collect()}
     groups = defaultdict(list)
     for k, _, v in rows:
         if v is not None:
@@ -38,6 +40,26 @@ def test_value_at_rank_is_exact(spark, cells):
     assert got == {k: sorted(v)[len(v) // 2] for k, v in groups.items()}
 
 
+def test_ranks_of_extreme_values(spark):
+    inf = float("inf")
+    values = [-inf, -1e308, -1e300, -5e-324, -0.0, 0.0, 5e-324, 2.0**52, 2.0**52 + 1, 1.0, 1.0 + 2.0**-52, 1.7e308, 1e308, inf, inf]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for at, want in enumerate(sorted(values), 1):
+        row = scale.values_at_ranks(df, [], "v", {"a": F.lit(at), "last": F.col("_total"), "past": F.col("_total") + 1}).first()
+        assert (row.a, row.last, row.past) == (want, inf, None)
+    whole = spark.createDataFrame([(2**63 - 1 - i,) for i in range(50)] + [(-(2**63),)], "v long")
+    assert scale.value_at_rank(whole, [], "v", F.lit(3), "m").first().m == 2**63 - 1 - 48
+    assert scale.value_at_rank(df.limit(0), [], "v", F.lit(1), "m").collect()[0:1] in ([], [(None,)])
+
+
+def test_an_outlier_does_not_gather_the_rest(spark):
+    """A million values near one another and one far away: at most a few thousand are left to order."""
+    df = spark.range(1_000_000).select((F.lit(1.0) + F.col("id") * 1e-9).alias("v")).union(spark.range(1).select(F.lit(1e300)))
+    middle = F.floor(F.col("_total") / 2) + 1
+    assert scale._narrowed(df, [], "v", {"m": middle}).count() <= scale.CELLS
+    assert scale.value_at_rank(df, [], "v", middle, "m").first().m == 1.0 + 500_000 * 1e-9
+
+
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_salted_lookup_equals_a_plain_join(spark, monkeypatch, how):
     monkeypatch.setattr(scale, "HOT_PARTS", 10)
