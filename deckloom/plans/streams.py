@@ -55,8 +55,9 @@ ORACLES["t2_upsert_stream"] = ORACLES["s6_latest_write"]
 @query("t3_first_seen_memo", "SELECT DISTINCT user_id, event_type FROM events")
 def first_seen_memo(spark, sf):
     out, state = fresh(spark, "memo")
-    _finish(streams.start_memo(stream(spark, sf, "events"), ["user_id", "event_type"], out, state))
-    return spark.read.parquet(out)
+    keys = ["user_id", "event_type"]
+    _finish(streams.start_memo(stream(spark, sf, "events"), keys, out, state))
+    return streams.read_memo(spark, out, keys)
 
 
 @query(

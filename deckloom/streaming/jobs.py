@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from deckloom.operators import catalogue, runs
+from deckloom.streaming.generations import Generations
 
 
 ONCE = {"availableNow": True}
@@ -77,34 +78,52 @@ def read_progress(spark: SparkSession, path: str, jobs: DataFrame) -> DataFrame:
 
 
 # --- catalogue upserts -----------------------------------------------------------------------
+def _newest(path: str, keys: list[str], order: list[str], **sizes: int) -> Generations:
+    return Generations(path, keys, lambda rows: catalogue.latest(rows, keys, order), **sizes)
+
+
 def start_upserts(
-    rows: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, trigger: dict | None = None
+    rows: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, trigger: dict | None = None, **sizes: int
 ) -> StreamingQuery:
-    """Each micro-batch adds only its own newest version per key; nothing stored is read or rewritten."""
-    write = _by_batch(path)
-
-    def newest(batch_rows: DataFrame, batch: int) -> None:
-        write(catalogue.latest(batch_rows, keys, order), batch)
+    """Each micro-batch adds its own newest version per key; versions are merged as `generations` says.
 
-    return (
-        rows.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).foreachBatch(newest).start()
-    )
+    `sizes` are its `fan` and `buckets`, which stay the same for the life of a folder.
+    """
+    kept = _newest(path, keys, order, **sizes)
+    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).foreachBatch(kept.put).start()
 
 
 def read_current(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:
-    """The current row per key over all versions."""
-    return catalogue.latest(spark.read.parquet(path).drop("batch"), keys, order)
+    """The current row per key over all versions that are left."""
+    kept = _newest(path, keys, order)
+    return kept.merge(kept.read(spark))
 
 
 # --- first-seen memo -------------------------------------------------------------------------
-def start_memo(rows: DataFrame, keys: list[str], path: str, checkpoint: str, within: tuple[str, str] | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Insert-if-absent. `within` = (time column, delay) bounds the state for keys that do not return later."""
-    if within is None:
-        first = rows.select(*keys).dropDuplicates(keys)
-    else:
-        column, delay = within
-        first = rows.select(*keys, column).withWatermark(column, delay).dropDuplicatesWithinWatermark(keys).drop(column)
-    return (
-        first.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(**(trigger or ONCE)).start()
-    )
+def start_memo(rows: DataFrame, keys: list[str], path: str, checkpoint: str, trigger: dict | None = None, **sizes: int) -> StreamingQuery:
+    """Insert-if-absent, with the memo itself as the only memory: the stream keeps no state, however many keys there are.
+
+    A micro-batch looks its keys up in the buckets they fall in, by an anti-join that takes null for a key like any other.
+    """
+    memo = _memo(path, keys, **sizes)
+
+    def absent(batch_rows: DataFrame, batch: int) -> None:
+        new = batch_rows.select(*keys).dropDuplicates(keys)
+        touched = [r[0] for r in new.select(memo.bucket()).distinct().collect()]  # one per bucket at most
+        known = memo.read(batch_rows.sparkSession, before=batch, only=touched)
+        if known is not None:
+            known = known.select(*[F.col(k).alias(f"_known_{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys]
+            new = new.join(known, same, "left_anti")
+        memo.put(new, batch)
+
+    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).foreachBatch(absent).start()
+
+
+def _memo(path: str, keys: list[str], **sizes: int) -> Generations:
+    return Generations(path, keys, lambda rows: rows, **sizes)
+
+
+def read_memo(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The keys seen so far, once each."""
+    return _memo(path, keys).read(spark).select(*keys)

@@ -1,12 +1,16 @@
 """Streams over several micro-batches end where a batch job over all rows ends."""
 
 import datetime
+import random
 
+import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from deckloom.operators import catalogue, runs
 from deckloom.sources import records
 from deckloom.streaming import jobs as streams
+from deckloom.streaming.generations import Generations
 
 RESULT = "job_id long, status string, seconds long, created timestamp"
 DAY = datetime.datetime(2026, 1, 1)
@@ -58,7 +62,7 @@ def test_upserts_and_memo(spark, tmp_path):
     assert current == {"a": "z", "b": "new", "c": "only"}
     assert {r.id: r.v for r in catalogue.latest(spark.read.parquet(source), ["id"], ["ts"]).collect()} == current
     streams.start_memo(in_batches(spark, source, schema), ["id"], memo, memo_state).awaitTermination()
-    assert sorted(r.id for r in spark.read.parquet(memo).collect()) == ["a", "b", "c"]
+    assert sorted(r.id for r in streams.read_memo(spark, memo, ["id"]).collect()) == ["a", "b", "c"]
 
 
 def test_actions_and_records(spark, tmp_path):
@@ -94,3 +98,95 @@ def test_fractional_seconds(spark, tmp_path):
     row = J.read_progress(spark, str(tmp_path / "out"), jobs).head()
     assert (row["finished"], row["remaining"], row["ok"]) == (3, 2, 2)
     assert row["eta_seconds"] is not None
+
+
+VERSIONS = "id string, ts long, v string"
+
+
+def versions(tmp_path, fan=3, buckets=4):
+    return Generations(str(tmp_path / "kept"), ["id"], lambda rows: catalogue.latest(rows, ["id"], ["ts"]), fan, buckets)
+
+
+def folders(tmp_path, name):
+    at = tmp_path / "kept" / name
+    return sorted(p.name for p in at.iterdir() if p.is_dir()) if at.exists() else []
+
+
+def test_merges_keep_files_few_and_answers_right(spark, tmp_path):
+    kept, rng, newest = versions(tmp_path), random.Random(1), {}
+    for batch in range(40):
+        rows = [(f"k{rng.randrange(30)}", rng.randrange(10**6), f"{batch}-{i}") for i in range(8)]
+        for row in rows:
+            newest[row[0]] = max(newest.get(row[0], row), row, key=lambda r: (r[1], r))
+        kept.put(spark.createDataFrame(rows, VERSIONS), batch)
+        now = (kept.manifests(spark) or [None])[0]
+        levels = [level for _, level in now.runs] if now else []
+        assert len(kept.deltas(spark, now.upto if now else -1)) < 3 and all(levels.count(x) < 3 for x in levels)
+    got = {r.id: (r.id, r.ts) for r in kept.merge(kept.read(spark)).collect()}
+    assert got == {k: (k, r[1]) for k, r in newest.items()}
+    # 40 batches: 13 merges of three; what two manifests do not name is gone
+    assert len(folders(tmp_path, "manifest")) == 2
+    assert len(folders(tmp_path, "runs")) <= 2 * 3 * 3 and len(folders(tmp_path, "delta")) <= 2 * 3
+    for run in (tmp_path / "kept" / "runs").iterdir():
+        assert all(len(list(b.glob("part-*"))) == 1 for b in run.glob("_bucket=*"))
+    some = kept.read(spark, only=[0]).select("id").distinct().count()
+    assert 0 < some < 30
+
+
+def test_a_retried_batch_changes_nothing(spark, tmp_path):
+    kept = versions(tmp_path)
+    rows = [spark.createDataFrame([("a", b, f"v{b}"), (f"own{b}", 1, "x")], VERSIONS) for b in range(6)]
+    for batch in range(6):
+        kept.put(rows[batch], batch)
+        kept.put(rows[batch], batch)  # the query was stopped before it noted the batch
+        assert kept.merge(kept.read(spark)).count() == batch + 2
+    assert kept.merge(kept.read(spark)).where("id = 'a'").first().v == "v5"
+
+
+@pytest.mark.parametrize("stop", ["delta", "run", "manifest"])
+def test_a_merge_that_is_cut_off_is_made_again(spark, tmp_path, monkeypatch, stop):
+    kept = versions(tmp_path)
+    rows = [spark.createDataFrame([("a", b, f"v{b}"), (f"own{b}", 1, "x")], VERSIONS) for b in range(3)]
+    kept.put(rows[0], 0)
+    kept.put(rows[1], 1)
+    write = DataFrameWriter.parquet if stop != "manifest" else DataFrameWriter.text
+
+    def lost(self, path, *args, **kwargs):
+        if {"delta": "delta/_batch=2", "run": "runs/", "manifest": "manifest/"}[stop] in path:
+            raise RuntimeError("lost")
+        return write(self, path, *args, **kwargs)
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrameWriter, "text" if stop == "manifest" else "parquet", lost)
+        with pytest.raises(RuntimeError):
+            kept.put(rows[2], 2)
+    before = {r.id for r in kept.merge(kept.read(spark)).collect()}  # a reader between the tries
+    assert before == {"a", "own0", "own1"} | ({"own2"} if stop != "delta" else set())
+    kept.put(rows[2], 2)
+    assert {r.id for r in kept.merge(kept.read(spark)).collect()} == {"a", "own0", "own1", "own2"}
+    assert [level for _, level in kept.manifests(spark)[0].runs] == [1]
+
+
+def test_a_reader_may_finish_after_the_next_merge(spark, tmp_path):
+    kept = versions(tmp_path)
+    for batch in range(3):
+        kept.put(spark.createDataFrame([(f"k{batch}", 1, "x")], VERSIONS), batch)
+    opened = kept.read(spark)
+    for batch in range(3, 6):
+        kept.put(spark.createDataFrame([(f"k{batch}", 1, "x")], VERSIONS), batch)
+    assert opened.count() == 3
+
+
+def test_memo_without_state(spark, tmp_path):
+    source, memo, state = (str(tmp_path / n) for n in ("in", "memo", "state"))
+    rng, seen = random.Random(2), set()
+    for _ in range(9):
+        rows = [(rng.choice(["a", "b", None, "c", "d"]), rng.randrange(6)) for _ in range(6)]
+        seen |= set(rows)
+        write(spark, source, rows, "id string, n long")
+    rows = in_batches(spark, source, "id string, n long")
+    query = streams.start_memo(rows, ["id", "n"], memo, state, fan=2, buckets=3)
+    query.awaitTermination()
+    assert all(not p["stateOperators"] for p in query.recentProgress)
+    found = [tuple(r) for r in streams.read_memo(spark, memo, ["id", "n"]).collect()]
+    assert len(found) == len(seen) and set(found) == seen
