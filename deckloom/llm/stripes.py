@@ -34,8 +34,8 @@ UNKNOWN = "und"
 BLOCK_WORDS, STRETCH = 1 << 19, 2 << 20
 #: Bits per frequent phrase in a bitmap, and bits of a bitmap at least and at most (16 MB).
 SPREAD, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 27
-#: Bits of a key, and keys of a part on average; parts grow in number with the words.
-KEY_BITS, PART_KEYS = 40, 1 << 20
+#: Bits of a key. Parts number 2^LEAST_PARTS or more, so that one has PART_WORDS places or fewer; keys added up at a time.
+KEY_BITS, LEAST_PARTS, PART_WORDS, ADDED = 40, 8, 1 << 22, 1 << 20
 #: The next word of a stripe's total.
 TOTAL = 0
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -230,7 +230,7 @@ def _frequent(least: int, part_bits: int) -> Callable:
     """Keys that are met ``least`` times or more. Rows come sorted by part; a part's keys are added up as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, keys, counts, held, most = None, [], [], 0, 4 * PART_KEYS
+        part, keys, counts, held, most = None, [], [], 0, ADDED
 
         def added() -> tuple[np.ndarray, np.ndarray]:
             own, n = np.concatenate(keys), np.concatenate(counts)
@@ -247,7 +247,7 @@ def _frequent(least: int, part_bits: int) -> Callable:
             for one, gaps, n in zip(batch.column("part").to_pylist(), batch.column("gaps"), batch.column("n")):
                 if one != part and part is not None:
                     yield enough()
-                    keys, counts, held, most = [], [], 0, 4 * PART_KEYS
+                    keys, counts, held, most = [], [], 0, ADDED
                 part = one
                 keys.append(np.cumsum(_numbers(gaps.as_py())) + np.uint64(one << KEY_BITS - part_bits))
                 counts.append(np.minimum(_numbers(n.as_py()), np.uint64(least)).astype(np.int64))
@@ -359,7 +359,7 @@ def collocations(
     last = vocabulary.select(F.col("phrase").alias("next"), "word")
     bitmaps = [_bitmap(vocabulary)]
     words = blocks.agg(F.sum("n")).head()[0] or 0
-    part_bits = min(max(4, (words // PART_KEYS).bit_length()), KEY_BITS - 1)
+    part_bits = min(max(LEAST_PARTS, (words // PART_WORDS).bit_length()), KEY_BITS - 1)
     places = blocks.select("hashes", "codes", "starts")
     for size in range(1, longest):
         keys = places.mapInArrow(_keys(bitmaps, size, part_bits), "part long, gaps binary, n binary")
