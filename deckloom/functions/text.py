@@ -15,6 +15,8 @@ from deckloom import constants as C
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+ODD_WHITE = WHITE.replace(r"\s", r"\t\n\f\r")  # all but the blank
+
 
 def lines(text: Column) -> Column:
     return F.split(text, LINE_BREAK)
@@ -99,8 +101,14 @@ def symbol_runs(text: Column) -> Column:
     return runs(text, known_symbol_pattern())
 
 
+def words(text: Column) -> Column:
+    """What stands between white space. Most texts have plain spaces only, which need no pattern."""
+    cut = F.when(text.rlike(ODD_WHITE), F.split(text, f"{WHITE}+")).otherwise(F.split(text, " "))
+    return F.filter(cut, lambda w: w != "")
+
+
 def is_keyword_line(paragraph: Column) -> Column:
-    return strip(paragraph).rlike(C.KEYWORD_LINE) & (F.length(paragraph) < C.KEYWORD_LINE_BELOW)
+    return (F.length(paragraph) < C.KEYWORD_LINE_BELOW) & strip(paragraph).rlike(C.KEYWORD_LINE)
 
 
 def ability_word(paragraph: Column) -> Column:
@@ -111,9 +119,9 @@ def ability_word(paragraph: Column) -> Column:
 def smart_quotes(text: Column) -> Column:
     """Straight quotes to typographic ones, closing after a letter, digit or (double) stop."""
     closing = F.regexp_replace(text, r"([\p{L}\p{N}])'", "$1’")
-    single = F.replace(closing, F.lit("'"), F.lit("‘"))
+    single = F.when(text.contains("'"), F.replace(closing, F.lit("'"), F.lit("‘"))).otherwise(text)
     double = F.regexp_replace(single, r'([\p{L}\p{N}.,!?])"', "$1”")
-    return F.replace(double, F.lit('"'), F.lit("“"))
+    return F.when(text.contains('"'), F.replace(double, F.lit('"'), F.lit("“"))).otherwise(single)
 
 
 def key_letters(text: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deckloom import constants as C
 from deckloom.functions import arrays as A
 from deckloom.functions import text as T
+from deckloom.operators import scale
 
 PATCHES = "array<struct<where:string,text:string>>"
 
@@ -186,12 +187,39 @@ def _loose_check(cleaned: Column, graded: list[str]) -> Column:
     return A.let(F.filter(cleaned, lambda p: ~p["where"].isin(*graded, "artwork")), told)
 
 
-def rules_tokens(texts: DataFrame, keys: list[str], rules: str, flavour: str | None = None) -> DataFrame:
-    """One row per word or symbol of rules text, flavour paragraphs after it.
+def _turn(word: Column) -> Column:
+    """Round brackets a word opens less those it closes."""
+    return F.length(F.replace(word, F.lit(")"), F.lit(""))) - F.length(F.replace(word, F.lit("("), F.lit("")))
+
 
-    Only paragraphs with a bracket need the running depth, so only those are shuffled; a window there
-    spans one paragraph of one text.
+def bracket_signs(words: Column) -> Column:
+    """A string with one sign per word: 1 inside round brackets or where more open than close, else 0.
+
+    The depth never falls below none. Only words with a bracket can change it, so only these are walked, and the
+    sign of the words between two of them is repeated.
     """
+    marks = F.filter(
+        F.transform(words, lambda w, i: F.when(w.contains("(") | w.contains(")"), F.struct(i.alias("at"), _turn(w).alias("turn")))),
+        lambda m: m.isNotNull(),
+    )
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("next"), F.lit("").alias("signs"))
+
+    def sign(inside: Column) -> Column:
+        return F.when(inside, F.lit("1")).otherwise(F.lit("0"))
+
+    def step(acc: Column, mark: Column) -> Column:
+        between = F.repeat(sign(acc["depth"] > 0), mark["at"] - acc["next"])
+        here = sign((acc["depth"] > 0) | (mark["turn"] > 0))
+        return F.struct(
+            F.greatest(F.lit(0), acc["depth"] + mark["turn"]).alias("depth"), (mark["at"] + 1).alias("next"),
+            F.concat(acc["signs"], between, here).alias("signs"),
+        )
+
+    return F.aggregate(marks, start, step, lambda acc: F.concat(acc["signs"], F.repeat(sign(acc["depth"] > 0), F.size(words) - acc["next"])))
+
+
+def rules_tokens(texts: DataFrame, keys: list[str], rules: str, flavour: str | None = None) -> DataFrame:
+    """One row per word or symbol of rules text, flavour paragraphs after it. All within the text's own row: nothing is shuffled."""
     paragraphs = F.split(T.smart_quotes(F.coalesce(F.col(rules), F.lit(""))), "\n")
     listed = F.transform(paragraphs, lambda p: F.struct(p.alias("paragraph"), F.lit(False).alias("flavour")))
     if flavour is not None:
@@ -201,34 +229,30 @@ def rules_tokens(texts: DataFrame, keys: list[str], rules: str, flavour: str | N
         *keys, F.col("paragraph_no").cast("bigint"), "_p.paragraph", "_p.flavour"
     )
     opening = F.filter(F.split(T.ability_word(F.col("paragraph")), f"{T.WHITE}+"), lambda w: w != "")
-    rows = rows.select(
-        *keys, "paragraph_no", "flavour", (T.is_keyword_line(F.col("paragraph")) & ~F.col("flavour")).alias("keyword"),
-        F.size(opening).alias("_opening"), F.col("paragraph").rlike(r"[()]").alias("_brackets"),
-        F.filter(F.split("paragraph", f"{T.WHITE}+"), lambda w: w != "").alias("_words"),
-    )
-    words = rows.select(
-        *[c for c in rows.columns if c != "_words"], F.posexplode("_words").alias("word_no", "word")
-    ).withColumn("word_no", F.col("word_no").cast("bigint"))
-    flat = words.where(~F.col("_brackets")).withColumn("_inside", F.lit(False))
-    turn = F.regexp_count("word", F.lit(r"\(")) - F.regexp_count("word", F.lit(r"\)"))
-    along = Window.partitionBy(*keys, "paragraph_no").orderBy("word_no")
-    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    deep = (
-        words.where("_brackets")
-        .withColumn("_turn", turn)
-        .withColumn("_sum", F.sum("_turn").over(so_far))
-        .withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(so_far)))
-        .withColumn("_inside", (F.coalesce(F.lag("_depth").over(along), F.lit(0)) > 0) | (F.col("_turn") > 0))
-        .drop("_turn", "_sum", "_depth")
-    )
-    marked = flat.unionByName(deep).withColumn("_italic", (F.col("word_no") < F.col("_opening")) | F.col("_inside"))
-    pieces = marked.select(
-        *keys, "paragraph_no", "word_no", "_italic", "keyword", "flavour",
-        F.posexplode(T.runs(F.col("word"), C.SYMBOL_PATTERN)).alias("piece_no", "_piece"),
+    rows = scale.once(
+        rows,
+        keyword=T.is_keyword_line(F.col("paragraph")) & ~F.col("flavour"),
+        _opening=F.when(F.col("paragraph").contains(" — "), F.size(opening)).otherwise(F.lit(0)),
+        _words=T.words(F.col("paragraph")),
     )
-    word = ~F.col("_piece.symbol")
-    return pieces.select(
-        *keys, "paragraph_no", "word_no", F.col("piece_no").cast("bigint"), "_piece.text", "_piece.symbol",
+    bracketed = F.col("paragraph").contains("(") | F.col("paragraph").contains(")")
+    rows = scale.once(rows, _signs=F.when(bracketed, bracket_signs(F.col("_words")))).drop("paragraph")
+    def pieces(word: Column, at: Column) -> Column:
+        """The pieces of one word in order; a word without a brace is one."""
+        sign = F.substr(F.col("_signs"), at + 1, F.lit(1)) == "1"
+        italic = (at < F.col("_opening")) | F.coalesce(sign, F.lit(False))
+
+        def piece(k: Column, text: Column, symbol: Column) -> Column:
+            return F.struct(at.cast("bigint").alias("word_no"), k.cast("bigint").alias("piece_no"), text.alias("text"), symbol.alias("symbol"), italic.alias("_italic"))
+
+        cut = F.transform(T.runs(word, C.SYMBOL_PATTERN), lambda r, k: piece(k, r["text"], r["symbol"]))
+        return F.when(word.contains("{"), cut).otherwise(F.array(piece(F.lit(0), word, F.lit(False))))
+
+    listed = F.flatten(F.transform("_words", pieces))
+    out = rows.select(*keys, "paragraph_no", "flavour", "keyword", F.inline(listed))
+    word = ~F.col("symbol")
+    return out.select(
+        *keys, "paragraph_no", "word_no", "piece_no", "text", "symbol",
         (word & (F.col("_italic") | F.col("flavour"))).alias("italic"),
         (word & F.col("keyword")).alias("keyword"), (word & F.col("flavour")).alias("flavour"),
     )

@@ -1,5 +1,8 @@
 """Proofreading on the documented examples."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +124,39 @@ def test_held_out_keys_are_whole(spark):
     ev = spark.createDataFrame([("sol-ring",)], "t string")
     assert [r.t for r in proof.held_out_leaks(ref, ev, "t").collect()] == ["Sol Ring!"]
     assert proof.held_out_clean(ref, ev, "t").count() == 2
+
+
+def plain_tokens(text):
+    """(paragraph, word, piece, text, symbol, italic) by walking over the words."""
+    out = []
+    for no, paragraph in enumerate(text.split("\n")):
+        ability = re.match(r"([A-Z][A-Za-z'’ ]{2,24}) — ", paragraph)
+        depth, cursor = 0, 0
+        for k, word in enumerate(re.findall(r"\S+", paragraph)):
+            cursor = paragraph.index(word, cursor)
+            opens, closes = word.count("("), word.count(")")
+            italic = bool(ability and cursor < ability.end(1)) or depth > 0 or opens > closes
+            depth = max(0, depth + opens - closes)
+            cursor += len(word)
+            for j, piece in enumerate(p for p in re.split(r"(\{[^}]{1,6}\})", word) if p):
+                symbol = bool(re.fullmatch(r"\{[^}]{1,6}\}", piece))
+                out.append((no, k, j, piece, symbol, italic and not symbol))
+    return out
+
+
+def test_brackets_that_nest_close_early_and_hold_symbols(spark):
+    rng = random.Random(8)
+    texts = ["", "a (b c) d", ") a (b", "((a) b) c", "a ) ) ( b", "Landfall — x (y {T}: z{2}w) q", "(a\nb) c", "x" + " (y" * 300 + " z)" * 299 + " end"]
+    texts += [" ".join(rng.choice(["a", "(b", "c)", "(d)", "((e", "{2}{R}", "f).", ")(", "g"]) for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {}
+    for r in proof.rules_tokens(df, ["id"], "text").collect():
+        got.setdefault(r.id, []).append((r.paragraph_no, r.word_no, r.piece_no, r.text, r.symbol, r.italic))
+    for i, text in enumerate(texts):
+        assert sorted(got.get(i, [])) == sorted(plain_tokens(text)), text
+
+
+def test_tokens_are_one_scan_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, "a (b)")], "id int, text string")
+    plan = proof.rules_tokens(df, ["id"], "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Exchange" not in plan and "Window" not in plan and "Union" not in plan
