@@ -44,6 +44,14 @@ def settled(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def private(name: str, columns: list[str]) -> str:
+    """``name``, or with more underscores, so that no column has it (whatever its case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(column: Column | str, parts: int) -> Column:
     """crc32 of the id's text, modulo ``parts``. A null id has the fold of an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), F.lit("")).cast("binary")) % parts

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import settled
+from deckloom.llm.common import private, settled
 
 #: Consecutive document ids in a block; hash ranges in which blocks of a source are ordered.
 BLOCK_IDS, RANGE_DIGITS = 64, 3
@@ -144,6 +144,7 @@ def mix(docs: DataFrame, entropy: float, repeats: float, budget_tokens: int | No
 
 def apply(docs: DataFrame, mixture: DataFrame) -> DataFrame:
     """``docs`` with every row as often as ``mixture`` (of the same ids and sources) says. Rows of one id and source share a block, so their copies are equal."""
-    used = mixture.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "copies").distinct()
-    out = docs.join(used, F.expr("doc_id <=> __id and cast(source as string) <=> __source"))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    ident, origin, copies, copy = (private(f"__{n}", docs.columns) for n in ("id", "source", "copies", "copy"))
+    used = mixture.where("copies > 0").select(F.col("doc_id").alias(ident), F.col("source").alias(origin), F.col("copies").alias(copies)).distinct()
+    out = docs.join(used, F.col("doc_id").eqNullSafe(F.col(ident)) & docs["source"].cast("string").eqNullSafe(F.col(origin)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

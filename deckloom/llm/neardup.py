@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import components, settled, slices
+from deckloom.llm.common import components, private, settled, slices
 from deckloom.llm.words import mixed, shingle_sets
 
 SHINGLE = 5
@@ -326,5 +326,6 @@ def keep_one(docs: DataFrame, components_of: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id"), F.col("row_key"))).alias("first")
     linked = components_of.where("component is not null").groupBy("component").agg(first).select(F.col("first.row_key").alias("__kept"))
     kept = linked.union(components_of.where("component is null").select("row_key"))
-    rows = docs.withColumn("__row", _row_key("doc_id", "text"))
-    return rows.join(kept, F.expr("__row = __kept"), "left_semi").dropDuplicates(["__row"]).drop("__row")
+    row = private("__row", [*docs.columns, "__kept"])
+    rows = docs.withColumn(row, _row_key("doc_id", "text"))
+    return rows.join(kept, rows[row] == kept["__kept"], "left_semi").dropDuplicates([row]).drop(row)

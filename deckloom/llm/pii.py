@@ -19,14 +19,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deckloom.llm.common import slices
+from deckloom.llm.common import private, slices
 
 ROUNDS = 8
 REMEMBERED = 100_000
+#: Characters permuted as one number.
+BLOCK = 256
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+def _digest(message: str, key: bytes, size: int) -> bytes:
+    """``size`` keyed bytes; more than one digest holds come from numbered ones."""
+    if size <= 64:
+        return hashlib.blake2b(message.encode(), key=key, digest_size=size).digest()
+    return b"".join(hashlib.blake2b(f"{message}|{i}".encode(), key=key, digest_size=64).digest() for i in range(-(-size // 64)))[:size]
+
+
 def permute(number: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of range(size): Feistel rounds over a x b >= size, walked until back inside."""
     if size < 2:
@@ -37,7 +46,7 @@ def permute(number: int, size: int, key: bytes, tweak: str) -> int:
         left, right = divmod(number, b)
         p, q = a, b
         for r in range(ROUNDS):
-            digest = hashlib.blake2b(f"{tweak}|{size}|{r}|{right}".encode(), key=key, digest_size=32 + (p.bit_length() // 8)).digest()
+            digest = _digest(f"{tweak}|{size}|{r}|{right}", key, 32 + (p.bit_length() // 8))
             left, right, p, q = right, (left + int.from_bytes(digest, "big")) % p, q, p
         number = left * q + right
         if number < size:
@@ -49,7 +58,24 @@ def _alphabet(c: str) -> str:
 
 
 def written(value: str, key: bytes, tweak: str, alphabet: Callable[[str], str] = _alphabet) -> str:
-    """Every letter and digit changes within its own alphabet; other characters stay."""
+    """Every letter and digit changes within its own alphabet; other characters stay.
+
+    A long value is permuted in blocks, forwards and then backwards, each under a tweak of the blocks before it. So every block
+    depends on all others, each step can be undone, and the work grows with the length.
+    """
+    if len(value) <= BLOCK:
+        return _written(value, key, tweak, alphabet)
+    blocks = [value[i : i + BLOCK] for i in range(0, len(value), BLOCK)]
+    for way in ("forth", "back"):
+        seen = b""
+        for i in range(len(blocks)):
+            blocks[i] = _written(blocks[i], key, f"{tweak}|{way}|{seen.hex()}", alphabet)
+            seen = _digest(seen.hex() + blocks[i], key, 32)
+        blocks.reverse()
+    return "".join(blocks)
+
+
+def _written(value: str, key: bytes, tweak: str, alphabet: Callable[[str], str]) -> str:
     number, size = 0, 1
     for c in value:
         if letters := alphabet(c):
@@ -155,7 +181,7 @@ def _date(value: str, key: bytes) -> str | None:
         # of the dates that a day-first reader takes the same way, so that the new value reads back uniquely
         n = permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date")
         new = datetime.date.fromordinal(FIRST_DAY + n)
-        while order == "mdy" and new.day <= 12 or order == "dmy" and False:
+        while order == "mdy" and new.day <= 12:
             n = permute(n, LAST_DAY - FIRST_DAY + 1, key, "date")
             new = datetime.date.fromordinal(FIRST_DAY + n)
         field = {"y": f"{new.year:04}", "m": f"{new.month:02}", "d": f"{new.day:02}"}
@@ -233,15 +259,12 @@ class Pseudonyms:
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", spans: str | None = "pii_spans") -> DataFrame:
     """All columns, ``text`` with its values replaced, and ``spans`` (array of start, end, kind in the old text) if named.
 
-    Null texts stay null with no spans; values that fail their check (a wrong check digit, an impossible day, an octet of 300) stay.
+    A column that is named like ``spans`` is replaced. Null texts stay null with no spans; values that fail their check (a wrong check digit, an impossible day, an octet of 300) stay.
     ``key`` is the caller's secret of 1 to 64 bytes; the same key gives the same pseudonyms in every run. No shuffle.
     """
     if not 1 <= len(key) <= 64:
         raise ValueError("the key needs 1 to 64 bytes")
-    others = [c for c in docs.columns if c != text]
-    name = spans or "__spans"
-    if name in docs.columns:
-        raise ValueError(f"the table has a column {name} already")
+    name = private("__spans", docs.columns)
     found = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField(name, found)])
     where = docs.columns.index(text)
@@ -257,4 +280,5 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", spans: str | N
             yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, name])
 
     out = docs.withColumn(text, F.col(text).cast("string")).mapInArrow(run, schema)
-    return out if spans else out.select(*[c for c in docs.columns if c in others or c == text])
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != spans]
+    return out.select(*kept, F.col(name).alias(spans)) if spans else out.select(*docs.columns)
