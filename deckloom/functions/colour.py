@@ -40,7 +40,7 @@ def is_saturated(r: Column, g: Column, b: Column) -> Column:
     return (saturation(r, g, b) > C.SATURATION_MIN) & (F.greatest(r, g, b) / 255 > C.VALUE_MIN)
 
 
-def _bucket_of(degree: int) -> str:
+def bucket_of_degree(degree: int) -> str:
     for name, low, high, _mana in C.HUE_BUCKETS:
         if low <= degree < high or (low > high and (degree >= low or degree < high)):
             return name
@@ -49,7 +49,7 @@ def _bucket_of(degree: int) -> str:
 
 def hue_bucket(degrees: Column) -> Column:
     """Bucket of a hue. The limits are whole degrees, so one look-up by the whole degree is enough."""
-    by_degree = F.array(*[F.lit(_bucket_of(d)) for d in range(360)])
+    by_degree = F.array(*[F.lit(bucket_of_degree(d)) for d in range(360)])
     return F.coalesce(F.get(by_degree, F.floor(degrees).cast("int")), F.lit("red"))
 
 

@@ -1,5 +1,6 @@
 """Layout, colour, structure and margin rules on both sides of their limits, on small drawn images."""
 
+import colorsys
 import struct
 import time
 import tracemalloc
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from deckloom import constants as C
 from deckloom.functions import boxes as B
 from deckloom.functions import colour as K
 from deckloom.functions import images as I
@@ -387,3 +389,43 @@ def test_sheets_reach_every_branch_of_the_trim(spark, sf):
     rows = margins.measure_margins(V.sheets(spark, sf), "image", ["image_id"]).collect()
     assert {r.corner for r in rows} == {0, 8, 9}
     assert any(min(r[c] for c in margins.BLACKS) >= 2 for r in rows) and any(r.matted >= 0.55 for r in rows)
+
+
+def plain_bucket(r, g, b):
+    """The bucket of one colour by the standard library, or None."""
+    hue, saturation, value = colorsys.rgb_to_hsv(r / 255, g / 255, b / 255)
+    if saturation <= 0.3 or value <= 0.25:
+        return None
+    degrees = hue * 360
+    for name, low, high, _ in C.HUE_BUCKETS:
+        if low <= degrees < high or (low > high and (degrees >= low or degrees < high)):
+            return name
+
+
+def test_every_hue_is_counted_as_by_the_standard_library(spark):
+    rng = np.random.default_rng(3)
+    some = np.concatenate([rng.integers(0, 256, (4000, 3)), [[0, 0, 0], [255, 255, 255], [255, 0, 0], [0, 255, 255], [77, 54, 54]]])
+    names = [plain_bucket(*map(int, p)) for p in some]
+    want = [len(some), sum(n is not None for n in names), *(names.count(b) for b in colours.BUCKETS)]
+    assert colours.counts_of(*some.T) == want
+    arrays = spark.createDataFrame([(1, *some.T.tolist()), (2, None, None, None), (3, [], [], [])], "image_id int, r array<int>, g array<int>, b array<int>")
+    got = [list(r)[1:] for r in colours.profile(arrays).orderBy("image_id").collect()]
+    assert got == [want, [None] * 10, [0] * 10]
+    files = stored(spark, some[None], None)
+    assert [list(r)[1:] for r in colours.profile_stored(files, "image", ["image_id"]).orderBy("image_id").collect()] == [want, [None] * 10]
+    shown = colours.profile(arrays).select("image_id", colours.saturated_share().alias("s"), colours.identity_problem(F.array(F.lit("G"))).alias("p"))
+    assert [r.s is None for r in shown.orderBy("image_id").collect()] == [False, True, True]
+    plan = colours.profile(arrays)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan
+
+
+def test_the_table_of_colours_is_the_same_count():
+    rng = np.random.default_rng(4)
+    pixels = rng.integers(0, 256, (colours.LOOKED_UP + 5, 3), dtype=np.uint8)
+    looked_up = colours.counts_of(*pixels.T)
+    parts = [colours.counts_of(*part.T) for part in np.array_split(pixels, 3)]
+    assert looked_up == [sum(c) for c in zip(*parts)]
+    picture = rng.integers(0, 256, (2400 * 1792, 3), dtype=np.uint8)
+    began = time.perf_counter()
+    colours.counts_of(*picture.T)
+    assert time.perf_counter() - began < 1
