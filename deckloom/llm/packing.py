@@ -1,11 +1,9 @@
-"""Harmonic packing: token pieces of exactly 1/k of the capacity, k of them to a sequence.
-
-Harmonic packing deals lengths into the classes (C/(k+1), C/k] and fills each bin of class k with k
-items, whatever the others do. Since documents may be cut, they are cut so that every piece sits at the
-upper end of its class: whole capacities first, then the powers of two that add up to the rest. A bin of
-class k then holds exactly C tokens. Workers fill bins on their own; what a worker has left of a class
-at its end goes to bins of a power-of-two count, which need no padding either. So there is no shuffle,
-and no padding however many workers there are.
+"""Harmonic packing: lengths in the classes (C/(k+1), C/k], and k documents of class k to a sequence.
+
+Every worker fills the sequences of each class on its own, whatever the others do, so there is no shuffle. The k
+documents of a full sequence leave less than C/(k+1) tokens free; the documents that come next fill them, and
+the last of these is cut there. So a sequence costs one cut at most, and all of them are full. What a worker holds at
+its end is laid out one after another and cut at the capacity; the last stretch goes to sequences of powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -27,16 +25,21 @@ from deckloom.llm.common import slices
 CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
-#: Words whose ids a worker remembers in a task, at most, and between tasks, when its memory belongs to others.
-REMEMBERED, IDLE = 800_000, 200_000
+#: Pieces whose ids a worker remembers in a task, at most, and between tasks, when its memory belongs to others.
+REMEMBERED, IDLE = 600_000, 300_000
 
 #: Characters on which the tokenizer's word pattern and Python's agree: ASCII without the separators 1C-1F,
 #: and the letters of Latin-1 and Latin Extended-A. Other texts go through the tokenizer whole.
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ſ]*")
 #: White space before a space: there the space would not begin a word.
 _RUN = re.compile(r"\s ")
-#: Fixed value: the word pattern of byte-level BPE, for those characters.
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: With these, or with a line break at an end, breaks of a text are not taken apart.
+_ODD_BREAKS = ("\n\n", " \n", "\n ", "\t", "\r")
+#: Stands for a line break before a piece; no plain text has it.
+_BREAK = "\x01"
+#: Runs of letters, and marks that stay together behind them; an apostrophe may begin an ending.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ſ]+")
+_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ſ]+)([!-&(-/:-@\[-`{-~]+)")
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -45,10 +48,14 @@ SCHEMA = T.StructType([
 ])
 
 
+def _plain_breaks(text: str) -> bool:
+    return "\n" in text and text[0] != "\n" != text[-1] and not any(b in text for b in _ODD_BREAKS)
+
+
 class Ids:
     """Little-endian 32-bit ids of texts, as the tokenizer gives them.
 
-    Texts are taken apart at spaces, where the tokenizer's words always begin, and what stands between
+    Texts are taken apart at spaces and line breaks, where the tokenizer's words always begin, and what stands between
     repeats, so its ids are remembered. Texts for which that does not hold go through the tokenizer whole.
     """
 
@@ -58,45 +65,57 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [str(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}  # what stands after a space
         self.heads: dict[str, bytes] = {}  # what a text begins with
+        self.marks: dict[str, bytes] = {}
+        self.line = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, pieces: set[str], before: str) -> None:
-        """Ids of new pieces, each after ``before``. Their words are encoded in one text, in which a space and more stay one word."""
-        parts = {p: [before + p] if p.isalpha() else [before + p[:-1], p[-1]] if p[:-1].isalpha() and p[-1] in ".," else _WORDS.findall(before + p) for p in pieces}
-        new = set().union(*parts.values()).difference(self.words)
-        joined = [w for w in new if w[0] == " " and len(w) > 1 and not w[1].isspace()]
-        for at in range(0, len(joined), 20_000):
-            some = joined[at : at + 20_000]
-            e = self.tokenizer.encode("".join(some), add_special_tokens=False)
+    def _joined(self, words: list[str], between: str, step: int) -> list[bytes]:
+        """Ids of runs of letters behind ``between``: one token group each (every ``step``-th), so many are encoded as one text."""
+        out = []
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            e = self.tokenizer.encode(between + between.join(some), add_special_tokens=False)
             ids, owner = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
-            edges = (4 * np.searchsorted(owner, np.arange(len(some) + 1))).tolist()
-            self.words.update(zip(some, map(ids.__getitem__, map(slice, edges, edges[1:]))))
-        for w in new.difference(self.words):
-            self.words[w] = self.whole(w)
-        kept = self.pieces if before else self.heads
-        for p, ws in parts.items():
-            kept[p] = self.words[ws[0]] if len(ws) == 1 else b"".join(map(self.words.__getitem__, ws))
+            first = np.arange(len(some)) * step + step - 1
+            begin, end = (4 * np.searchsorted(owner, first + k) for k in (0, 1))
+            out += map(ids.__getitem__, map(slice, begin.tolist(), end.tolist()))
+        return out
+
+    def _learn(self, new: set[str], known: dict[str, bytes], before: str) -> None:
+        """Ids of new pieces after ``before``, a space or nothing. A run of letters and the marks after it are token groups of their own."""
+        letters = set(filter(_LETTERS.fullmatch, new))
+        others = new.difference(letters)
+        marked = {m[0]: m.groups() for m in map(_MARKED.fullmatch, others) if m}
+        words = list(letters.union(w for w, _ in marked.values()).difference(known))
+        known.update(zip(words, self._joined(words, " ", 1) if before else self._joined(words, "\n", 2)))
+        for mark in {mark for _, mark in marked.values()}.difference(self.marks):
+            self.marks[mark] = self.whole(mark)
+        known.update((c, known[w] + self.marks[mark]) for c, (w, mark) in marked.items())
+        for c in others.difference(marked):
+            known[c] = self.whole(before + c)
 
     def forget(self, most: int, stay: int) -> None:
-        """Of more than ``most`` words the first ``stay`` ones are kept, which are the frequent ones."""
-        for name in ("words", "pieces", "heads"):
+        """Of more than ``most`` pieces the first ``stay`` ones are kept, which are the frequent ones."""
+        for name in ("pieces", "heads", "marks"):
             if len(had := getattr(self, name)) > most:
                 setattr(self, name, dict(itertools.islice(had.items(), stay)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        self.forget(REMEMBERED, REMEMBERED // 3)
+        self.forget(REMEMBERED, IDLE)
         plain = [bool(t and _PLAIN.fullmatch(t) and not _RUN.search(t) and not any(s in t for s in self.special)) for t in texts]
-        taken = [t.split(" ") for t, ok in zip(texts, plain) if ok]
+        taken = [(t.replace("\n", " " + _BREAK) if _plain_breaks(t) else t).split(" ") for t, ok in zip(texts, plain) if ok]
         firsts = [ps.pop(0) for ps in taken]
         if new := set().union(*taken).difference(self.pieces):
-            self._learn(new, " ")
+            begun = [p for p in new if p[:1] == _BREAK]
+            self._learn(new.difference(begun), self.pieces, " ")
+            self._learn({p[1:] for p in begun}.difference(self.heads), self.heads, "")
+            self.pieces.update((p, self.line + self.heads[p[1:]]) for p in begun)
         if new := set(firsts).difference(self.heads):
-            self._learn(new, "")
+            self._learn(new, self.heads, "")
         known = self.pieces.__getitem__
         done = (self.heads[f] + b"".join(map(known, ps)) for f, ps in zip(firsts, taken))
         return [next(done) if ok else self.whole(t) for t, ok in zip(texts, plain)]
@@ -112,63 +131,96 @@ def ids_of(path: str) -> Ids:
     return _READY[path]
 
 
-def cuts(length: int, capacity: int = CAPACITY) -> list[int]:
-    """Piece lengths: whole capacities, then the set bits of the rest, largest first."""
-    rest = length % capacity
-    return [capacity] * (length // capacity) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-
-
 class Bins:
-    """Open bins of one worker: one list of pieces per class. A full one leaves with the next sequence number."""
+    """One worker's sequences: an open one per class, and one whose documents are together and that is being filled up.
 
-    def __init__(self, first: int, capacity: int):
-        self.open: dict[int, list[tuple]] = {}
-        self.next, self.capacity = first, capacity
-
-    def _leave(self, size: int, pieces: list[tuple]) -> Iterator[tuple]:
-        number, self.next = self.next, self.next + 1
-        for k, piece in enumerate(pieces):
-            yield (*piece, number, k * size)
+    Pieces are (document, start, length, ...); ``cut(piece, n)`` gives its first n tokens and the rest.
+    """
 
-    def add(self, size: int, piece: tuple) -> Iterator[tuple]:
-        pieces = self.open.setdefault(size, [])
-        pieces.append(piece)
-        if len(pieces) * size == self.capacity:
-            del self.open[size]
-            yield from self._leave(size, pieces)
+    def __init__(self, first: int, capacity: int, cut: Callable[[tuple, int], tuple[tuple, tuple]]):
+        self.open: dict[int, list[tuple]] = {}
+        self.filling: list[tuple] = []
+        self.free = 0
+        self.next, self.capacity, self.cut = first, capacity, cut
+
+    def _leave(self, pieces: list[tuple]) -> Iterator[tuple]:
+        number, self.next, at = self.next, self.next + 1, 0
+        for piece in pieces:
+            yield (*piece, number, at)
+            at += piece[2]
+
+    def _fill(self, piece: tuple) -> tuple | None:
+        """Puts the piece, or as much of it as fits, in the sequence that is being filled; what is left of it."""
+        left = None
+        if piece[2] > self.free:
+            piece, left = self.cut(piece, self.free)
+        self.filling.append(piece)
+        self.free -= piece[2]
+        return left
+
+    def add(self, piece: tuple) -> Iterator[tuple]:
+        while piece:
+            if self.free:
+                piece = self._fill(piece)
+                if not self.free:
+                    yield from self._leave(self.filling)
+                    self.filling = []
+            elif piece[2] >= self.capacity:
+                self.free = self.capacity
+            else:
+                k = self.capacity // piece[2]
+                pieces = self.open.setdefault(k, [])
+                pieces.append(piece)
+                piece = None
+                if len(pieces) == k:
+                    del self.open[k]
+                    self.free = self.capacity - sum(p[2] for p in pieces)
+                    self.filling = pieces
+                    if not self.free:
+                        yield from self._leave(pieces)
+                        self.filling = []
 
     def close(self) -> Iterator[tuple]:
-        """What is left goes to bins of power-of-two length."""
-        for size, pieces in sorted(self.open.items()):
-            while pieces:
-                n = 1 << len(pieces).bit_length() - 1
-                yield from self._leave(size, pieces[:n])
-                pieces = pieces[n:]
-        self.open = {}
+        """What is left, one after another; the last stretch in sequences of powers of two."""
+        rest = self.filling + [p for _, pieces in sorted(self.open.items()) for p in pieces]
+        self.open, self.filling, total = {}, [], sum(p[2] for p in rest)
+        rest.reverse()
+        while total:
+            self.free = min(self.capacity, 1 << total.bit_length() - 1)
+            total -= self.free
+            while self.free:
+                if left := self._fill(rest.pop()):
+                    rest.append(left)
+            yield from self._leave(self.filling)
+            self.filling = []
 
 
 def _packer(path: str, capacity: int, id_column: str, text_column: str, keep_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(path)
         end = np.array([END_ID], "<u4").tobytes()
-        bins = Bins(TaskContext.get().partitionId() << 40, capacity)
+
+        def cut(piece: tuple, n: int) -> tuple[tuple, tuple]:
+            doc, start, length, tokens, ids_here = piece
+            rest = ids_here[4 * n :]
+            if length - n < capacity:  # may wait for its class: without the rest of a long document
+                rest = memoryview(bytes(rest))
+            return (doc, start, n, tokens, ids_here[: 4 * n]), (doc, start + n, length - n, tokens, rest)
+
+        bins = Bins(TaskContext.get().partitionId() << 40, capacity, cut)
         schema = pa.schema([(f.name, pa.binary() if f.name == "ids" else pa.int64()) for f in SCHEMA if keep_ids or f.name != "ids"])
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [[]] * 8
-            order = [0, 1, 2, 3, 4, 6, 7] + [5] * keep_ids
-            return pa.RecordBatch.from_arrays([pa.array(columns[i], f.type) for i, f in zip(order, schema)], schema=schema)
+            doc, start, length, tokens, held, number, offset = list(zip(*rows)) or [[]] * 7
+            columns = [doc, start, length, list(map(zlib.crc32, held)), tokens, number, offset] + [list(map(bytes, held))] * keep_ids
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
         for part in slices(batches, text_column):
             rows: list[tuple] = []
             texts = [t or "" for t in part.column(text_column).to_pylist()]
             for doc, mine in zip(part.column(id_column).to_pylist(), ids(texts)):
                 mine += end
-                n, at = len(mine) // 4, 0
-                for size in cuts(n, capacity):
-                    piece = mine[4 * at : 4 * (at + size)]
-                    rows += bins.add(size, (doc, at, size, zlib.crc32(piece), n, piece if keep_ids else None))
-                    at += size
+                rows += bins.add((doc, 0, len(mine) // 4, len(mine) // 4, memoryview(mine)))
             if rows:
                 yield out(rows)
         if rows := list(bins.close()):
@@ -181,8 +233,8 @@ def _packer(path: str, capacity: int, id_column: str, text_column: str, keep_ids
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = True) -> DataFrame:
     """One row per piece: document, place in it, sequence, place in that, and (``keep_ids``) the ids themselves.
 
-    ``capacity`` is a power of two. A document is its ids and the end id; null and empty texts are the end id
-    alone. A null document id stays null; repeated rows are packed as often as they stand. Sequence numbers
+    ``capacity`` is a power of two. Documents stay whole but for one cut a sequence and those longer than the capacity.
+    A document is its ids and the end id; null and empty texts are the end id alone. A null document id stays null; repeated rows are packed as often as they stand. Sequence numbers
     hold the number of the task's partition, so they are unique without a count over all. Every sequence has
     either ``capacity`` tokens or a smaller power of two. A lost task is packed again from the same rows.
     """
