@@ -13,13 +13,15 @@ from deckloom import constants as C
 
 # Every character at which a text is cut into lines; \r\n counts once.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+ODD_BREAK = r"[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 ODD_WHITE = WHITE.replace(r"\s", r"\t\n\f\r")  # all but the blank
 
 
 def lines(text: Column) -> Column:
-    return F.split(text, LINE_BREAK)
+    """Most texts break at plain line feeds only, which need no pattern."""
+    return F.when(text.rlike(ODD_BREAK), F.split(text, LINE_BREAK)).otherwise(F.split(text, "\n"))
 
 
 SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"

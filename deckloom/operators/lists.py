@@ -9,15 +9,16 @@ from deckloom import constants as C
 from deckloom.functions import text as T
 from deckloom.operators import scale
 
-# quantity, then the shortest name that lets an optional "(SET) …" tail match
-QUANTITY = r"^(\d+)\s*[xX]?\s+."
-ENTRY = r"^(?:(\d+)\s*[xX]?\s+)?(.+?)(?:\s+\([^)]+\).*)?$"
+#: A count before a name: digits, perhaps an x, white space, and something after it.
+COUNT = r"^([0-9]+)\s*(?:[xX]\s+|\s)(?=.)"
+#: From white space before the first filled pair of round brackets to the end: set, number, finish.
+PRINTING = r"\s+\([^)]+\).*$"
 
 
 def is_entry(line: Column) -> Column:
     """A trimmed line that is neither blank, a comment, nor a section header."""
     comment = F.startswith(line, F.lit("#")) | F.startswith(line, F.lit("//"))
-    header = F.regexp_replace(F.lower(line), ":+$", "").isin(*C.SECTION_HEADERS)
+    header = F.lower(F.rtrim(line, F.lit(":"))).isin(*C.SECTION_HEADERS)
     return (line != "") & ~comment & ~header
 
 
@@ -31,12 +32,14 @@ def explode_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 def parse_entries(df: DataFrame, line: str = "line") -> DataFrame:
     """Adds `quantity` (1 when not given) and `name`; drops the line."""
-    quantity = F.regexp_extract(line, QUANTITY, 1)
-    return df.select(
-        *[c for c in df.columns if c != line],
-        F.when(quantity == "", F.lit(1).cast("bigint")).otherwise(quantity.try_cast("bigint")).alias("quantity"),
-        T.strip(F.regexp_extract(line, ENTRY, 2)).alias("name"),
-    )
+    text = F.col(line)
+    counted = F.substring(text, 1, 1).between("0", "9")
+    head = F.when(counted, F.regexp_extract(text, COUNT, 0)).otherwise(F.lit(""))
+    kept = [c for c in df.columns if c != line]
+    cut = scale.once(df, _head=head).select(*kept, "_head", F.ltrim(F.substr(text, F.length("_head") + 1)).alias("_rest"))
+    quantity = F.when(F.col("_head") == "", F.lit(1).cast("bigint")).otherwise(F.regexp_extract("_head", "[0-9]+", 0).try_cast("bigint"))
+    name = F.when(F.col("_rest").contains("("), F.regexp_replace("_rest", PRINTING, "")).otherwise(F.col("_rest"))
+    return cut.select(*kept, quantity.alias("quantity"), T.strip(name).alias("name"))
 
 
 def entries(df: DataFrame, line: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """List text, names and faces: the documented shapes and their answers."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from deckloom.operators import catalogue, lists
@@ -154,3 +156,34 @@ def test_lookup_needs_no_size_setting(spark):
             assert got == {1: "a", 2: "b", 3: None, 4: None}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+
+
+def plain_entry(line):
+    """Quantity and name of one trimmed line, sign by sign."""
+    digits = len(line) - len(line.lstrip("0123456789"))
+    white = " \t\x0b\x0c"
+    quantity, rest = 1, line
+    if digits:
+        after = line[digits:].lstrip(white)
+        gap = len(line) - digits - len(after)
+        if after[:1] in ("x", "X") and after[1:2] and after[1] in white and after[1:].strip(white):
+            quantity, rest = int(line[:digits]), after[1:].lstrip(white)
+        elif gap and after:
+            quantity, rest = int(line[:digits]), after
+    for at in range(1, len(rest)):
+        if rest[at] in white and rest[at - 1] not in white:
+            bracket = rest[at:].lstrip(white)
+            if bracket[:1] == "(" and bracket.find(")") > 1:
+                return quantity, rest[:at].strip()
+    return quantity, rest.strip()
+
+
+def test_entries_sign_by_sign(spark):
+    rng = random.Random(12)
+    parts = ["3", "12", "x", "X", " ", "  ", "\t", "Bolt", "xenon", "(", ")", "()", "(M10)", " (A) 12 *F*", "//", "é", "99999999999999999999"]
+    lines = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 7))).strip() for _ in range(3000)]
+    lines = [x for x in dict.fromkeys(lines) if x]
+    got = {r.line: (r.quantity, r.name) for r in lists.parse_entries(spark.createDataFrame([(x, x) for x in lines], "raw string, line string").withColumnRenamed("raw", "kept"), "line").withColumnRenamed("kept", "line").collect()}
+    for line in lines:
+        quantity, name = plain_entry(line)
+        assert got[line] == (quantity if quantity < 2**63 else None, name), line
