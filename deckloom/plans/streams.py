@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -121,38 +123,37 @@ LEFT JOIN (SELECT face_id, {TITLE_CODES} AS title, {STAMPED_CODES} AS stamped,
     ("v_expected", "v_patch"),
 )
 def audit_by_mode(spark, sf):
-    """Each rule set is worked out beside its own input; only problem arrays are joined, by face."""
+    """Each rule set is worked out beside its own input, for the faces whose mode asks for it; only problem arrays meet, by face."""
+    modes = F.array(*[F.lit(m) for m in (audit.ART_ONLY, audit.COMPOSITED, audit.LETTERED, audit.NAME_ONLY)])
 
-    def face(df, **sets):
-        return df.select(F.col(df.columns[0]).alias("face_id"), *[c.alias(n) for n, c in sets.items()])
+    def kind(k):
+        return F.get(modes, (k % 4).cast("int")), k % 7 != 0, k % 3 == 0  # mode, borderless, cost stamped
+
+    def asked(df, **sets):
+        """The rule sets that share an input, for the faces that any of them is asked for."""
+        face = F.col(df.columns[0])
+        wanted = {name: audit.needed(name, *kind(face)) for name in sets}
+        kept = df.where(reduce(operator.or_, wanted.values()))
+        return kept.select(face.alias("face_id"), *[F.when(wanted[name], problems).alias(name) for name, problems in sets.items()])
 
-    boxes = face(
-        layout.panels(spark, sf),
-        layout=geometry.audit(F.col("power"), F.col("paragraphs"), F.col("overflowed")),
-        collision=geometry.collision(F.col("tokens")),
-    )
-    colour = face(corpus.colour_profile(spark, sf), colour=colours.identity_problem(corpus.identity_for()))
-    matte = face(pixels.sheet_margins(spark, sf, "black", "matted"), matte=margins.matte_problem())
-    light = face(
-        pixels.stripped(spark, sf), contrast=surfaces.contrast_problem(), cover=surfaces.obstruction_problem()
-    )
-    badge = face(
-        surfaces.components(V.grids(spark, sf), ["image_id"]), badge=surfaces.badge_problem(min_width=8, min_height=8)
-    )
     both = V.expected(spark, sf).join(V.read_back(spark, sf), "face_id")
-    patches, has_title, k = F.col("patches"), F.col("has_title"), F.col("face_id")
-    stamped = k % 3 == 0
+    patches, has_title = F.col("patches"), F.col("has_title")
     whole = proof.proofread(patches, has_title, cost_lettered=True, cost_printed=F.col("cost_printed"))
-    texts = both.select(
-        "face_id",
-        F.when(stamped, proof.proofread(patches, has_title)).otherwise(whole).alias("text"),
-        proof.proofread(patches, has_title, only=["title_plate"]).alias("title_text"),
-    )
-    joined = boxes
-    for part in (colour, matte, light, badge, texts):
-        joined = joined.join(part, "face_id", "left")
-    modes = [audit.ART_ONLY, audit.COMPOSITED, audit.LETTERED, audit.NAME_ONLY]
-    mode = F.get(F.array(*[F.lit(m) for m in modes]), (k % 4).cast("int"))
-    sets = {n: F.col(n) for n in ("layout", "collision", "colour", "matte", "contrast", "cover", "badge", "text", "title_text")}
-    problems = audit.by_mode(mode, k % 7 != 0, stamped, sets)
+    found = [
+        asked(
+            layout.panels(spark, sf), layout=geometry.audit(F.col("power"), F.col("paragraphs"), F.col("overflowed")),
+            collision=geometry.collision(F.col("tokens")),
+        ),
+        asked(corpus.colour_profile(spark, sf), colour=colours.identity_problem(corpus.identity_for())),
+        asked(pixels.sheet_margins(spark, sf, "black", "matted"), matte=margins.matte_problem()),
+        asked(pixels.stripped(spark, sf), contrast=surfaces.contrast_problem(), cover=surfaces.obstruction_problem()),
+        asked(surfaces.components(V.grids(spark, sf), ["image_id"]), badge=surfaces.badge_problem(min_width=8, min_height=8)),
+        asked(
+            both, text=F.when(F.col("face_id") % 3 == 0, proof.proofread(patches, has_title)).otherwise(whole),
+            title_text=proof.proofread(patches, has_title, only=["title_plate"]),
+        ),
+    ]
+    joined = audit.gather(V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("face_id")), "face_id", found)
+    sets = {name: F.col(name) for name in joined.columns if name != "face_id"}
+    problems = audit.by_mode(*kind(F.col("face_id")), sets)
     return joined.select("face_id", F.array_join(F.transform(problems, lambda p: p["code"]), ",").alias("codes"))

@@ -234,14 +234,16 @@ def _sheet_bytes(raw: pd.Series, image_id: pd.Series) -> pd.Series:
     side = SHEET_SIDE
     line = np.minimum(np.arange(side), side - 1 - np.arange(side))
     edge, corner = np.minimum(line[:, None], line), line[:, None] + line
+    margins, arcs = [edge < 5 * k for k in range(6)], [corner < 8 + k for k in range(6)]
     out = []
     for cells, k in zip(raw, image_id):
-        cell = np.repeat(np.repeat(np.asarray(cells, np.int32).reshape(8, 8), side // 8, 0), side // 8, 1)
-        pixels = np.stack([cell * 7 + 101, cell * 3 + 17, cell], axis=-1).astype(np.uint8)  # modulo 256
+        cell = np.asarray(cells, np.int32).reshape(8, 8)
+        colours = np.stack([cell * 7 + 101, cell * 3 + 17, cell], axis=-1).astype(np.uint8)  # modulo 256
+        pixels = colours.repeat(side // 8, axis=1).repeat(side // 8, axis=0)
         if k % 5 < 3:
-            pixels[edge < k % 6 * 5] = ((9, 6, 4), (225, 235, 240), (60, 53, 50))[k % 5]
+            pixels[margins[k % 6]] = ((9, 6, 4), (225, 235, 240), (60, 53, 50))[k % 5]
         elif k % 5 == 3:
-            pixels[corner < 8 + k % 6] = 255
+            pixels[arcs[k % 6]] = 255
         out.append(pixels.tobytes())
     return pd.Series(out)
 

@@ -429,3 +429,29 @@ def test_the_table_of_colours_is_the_same_count():
     began = time.perf_counter()
     colours.counts_of(*picture.T)
     assert time.perf_counter() - began < 1
+
+
+def test_rule_sets_are_asked_for_by_mode(spark):
+    modes = [audit.ART_ONLY, audit.COMPOSITED, audit.LETTERED, audit.NAME_ONLY]
+    rows = [(i, m, b, s) for i, (m, b, s) in enumerate((m, b, s) for m in modes for b in (True, False) for s in (True, False))]
+    df = spark.createDataFrame(rows, "face int, mode string, borderless boolean, stamped boolean")
+    names = sorted({n for listed in audit.ORDER.values() for n in listed})
+    one = F.array(F.struct(F.lit("x").alias("code"), F.lit("").alias("detail")))
+    for name in names:  # a set that is not needed adds nothing, one that is needed does
+        sets = {n: (one if n == name else F.lit(None).cast(audit.PROBLEMS)) for n in names}
+        k = F.col("mode"), F.col("borderless"), F.col("stamped")
+        got = df.select(audit.needed(name, *k).alias("n"), F.size(audit.by_mode(*k, sets)).alias("p")).collect()
+        assert all(r.n == (r.p == 1) for r in got), name
+
+
+def test_problems_meet_in_one_shuffle(spark):
+    faces = spark.createDataFrame([(1,), (2,), (3,)], "face_id long")
+    found = [
+        spark.createDataFrame([(1, [("a", "")]), (9, [("b", "")])], f"face_id long, colour {audit.PROBLEMS}"),
+        spark.createDataFrame([(1, None, [("c", "")]), (2, [], None)], f"face_id long, matte {audit.PROBLEMS}, text {audit.PROBLEMS}"),
+    ]
+    joined = audit.gather(faces, "face_id", found)
+    got = {r.face_id: [None if x is None else [p.code for p in x] for x in (r.colour, r.matte, r.text)] for r in joined.collect()}
+    assert got == {1: [["a"], None, ["c"]], 2: [None, [], None], 3: [None, None, None]}
+    plan = joined._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning") <= 1
