@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deckloom import constants as C
+from deckloom.functions import boxes as B
 from deckloom.operators import scale
 
 ABANDONED = "its worker is gone: run the job again"
@@ -84,6 +85,27 @@ def attach_plan(results: DataFrame, planned: DataFrame, keys: list[str], order:
     return scale.lookup(results, last_planned(planned, keys, order), keys)
 
 
+def measured_faces(
+    jobs: DataFrame, results: DataFrame, planned: DataFrame, order: list[str], part: str = "", since: int | None = None
+) -> DataFrame:
+    """One row per face with stored boxes: what was painted beside what its plan asked for.
+
+    Of the newest `since` jobs (all when not given) the faces whose name contains `part`. `panels` holds the
+    title box and the rules boxes as stored; strips that were painted apart owe their height together. The plan is
+    the last of the job and name by `order`; `met` is null where it asks for nothing.
+    """
+    faces = with_boxes_named(results, part, "panels")
+    if since is not None:  # at most `since` rows
+        faces = faces.join(F.broadcast(last_jobs(jobs, since).select("job_id")), "job_id", "left_semi")
+    placed = attach_plan(faces, planned, ["job_id", "name"], order)
+    title_y, height = F.col("panels.title.y0"), B.total_height(F.coalesce(F.col("panels.rules"), F.array().cast(f"array<{B.BOX}>")))
+    return placed.select(
+        "job_id", *[c for c in order if c in faces.columns], "name", "status", title_y.alias("title_y"),
+        F.coalesce(title_y <= C.BRIEF_TITLE_MAX_Y, F.lit(False)).alias("at_top"),
+        height.alias("strip_height"), F.col("planned_asked").alias("asked"), (height >= F.col("planned_asked")).alias("met"),
+    )
+
+
 def compliance(results: DataFrame) -> DataFrame:
     """How often the asked-for surfaces were painted. Needs title_y, strip_height, asked.
 

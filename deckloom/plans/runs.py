@@ -97,6 +97,46 @@ def compliance(spark, sf):
     return runs.compliance(V.results(spark, sf))
 
 
+#: Boxes as stored beside a face: none on every fifth line, a title unless it is missing, one strip or two.
+PANELS = """CASE WHEN line % 5 = 0 THEN NULL ELSE named_struct(
+  'title', CASE WHEN title_y IS NULL THEN NULL ELSE named_struct('x0', 0.1D, 'y0', cast(title_y AS double), 'x1', 0.9D, 'y1', title_y + 0.06D) END,
+  'rules', CASE WHEN part % 3 = 0 THEN NULL WHEN part % 3 = 1
+    THEN array(named_struct('x0', 0.1D, 'y0', 0.625D, 'x1', 0.9D, 'y1', 0.625D + quantity / 256D))
+    ELSE array(named_struct('x0', 0.1D, 'y0', 0.5D, 'x1', 0.9D, 'y1', 0.5D + quantity / 512D),
+               named_struct('x0', 0.1D, 'y0', 0.75D, 'x1', 0.9D, 'y1', 0.75D + quantity / 512D)) END) END"""
+MEASURED_SQL = """SELECT r.job_id, r.finished, r.line, r.part, r.supp, r.name, status, CAST(title_y AS DOUBLE) AS title_y,
+  COALESCE(title_y <= CAST(0.1 AS DOUBLE), false) AS at_top, height AS strip_height, planned_asked AS asked, height >= planned_asked AS met
+FROM (SELECT *, CASE r.part % 3 WHEN 0 THEN CAST(0 AS DOUBLE) ELSE quantity / CAST(256 AS DOUBLE) END AS height FROM v_results r
+      WHERE line % 5 <> 0 AND contains(lower(name), 'card 1')
+        AND job_id IN (SELECT job_id FROM v_jobs ORDER BY created DESC, job_id DESC LIMIT 500)) r
+LEFT JOIN (SELECT job_id, name, asked AS planned_asked FROM (SELECT *, row_number() OVER (PARTITION BY job_id, name
+    ORDER BY finished DESC, line DESC, part DESC, supp DESC) AS rn FROM v_results WHERE part % 2 = 1) WHERE rn = 1) p
+  ON r.job_id = p.job_id AND r.name = p.name"""
+
+
+def measured_faces(spark, sf):
+    results = V.results(spark, sf)
+    planned = results.where("part % 2 = 1").select("job_id", "name", *V.RESULT_ORDER, F.col("asked").alias("planned_asked"))
+    stored = results.withColumn("panels", F.expr(PANELS)).drop("asked", "strip_height", "title_y")
+    return runs.measured_faces(V.jobs(spark, sf), stored, planned, V.RESULT_ORDER, part="CARD 1", since=500)
+
+
+@query("flow_measured_faces", MEASURED_SQL, ("v_results", "v_jobs"))
+def flow_measured_faces(spark, sf):
+    return measured_faces(spark, sf)
+
+
+@query(
+    "flow_compliance",
+    f"""SELECT count(*) AS faces, count(*) FILTER (at_top) AS title_at_top, count(asked) AS asked, count(*) FILTER (met) AS met,
+  median(title_y) AS median_title_y, max(title_y) AS worst_title_y FROM ({MEASURED_SQL})""",
+    ("v_results", "v_jobs"),
+)
+def flow_compliance(spark, sf):
+    """The whole report: newest jobs, their named faces with stored boxes, the plan, the rates."""
+    return runs.compliance(measured_faces(spark, sf))
+
+
 @query(
     "a5_job_progress",
     """

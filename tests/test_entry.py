@@ -25,4 +25,4 @@ print(len(own), len(e.queries()) - len(own))
 def test_queries_without(blocked):
     run = subprocess.run([sys.executable, "-c", COUNT.replace("{blocked!r}", repr(blocked))], cwd=ROOT, capture_output=True, text=True, timeout=120)
     assert run.returncode == 0, run.stderr[-500:]
-    assert int(run.stdout.split()[0]) == 107
+    assert int(run.stdout.split()[0]) >= 107
