@@ -111,8 +111,8 @@ class Model:
         return np.log10(self.class_tokens[cls] + 0.5 * (self.class_types[cls] + 1))
 
 
-def features(h: np.ndarray, cls: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Rows of the weight table for each position: pair of last classes, word before, pair before, two skips."""
+def features(h: np.ndarray, cls: np.ndarray, ends: np.ndarray, at: slice = slice(None)) -> np.ndarray:
+    """Rows of the weight table for the positions ``at``: pair of last classes, word before, pair before, two skips."""
     n = len(h)
     start = np.zeros(n, np.int64)
     heads = np.r_[0, ends[:-1]]
@@ -128,6 +128,7 @@ def features(h: np.ndarray, cls: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if n > 2:
         pair[2:] = (cls[1:-1] * CLASSES + cls[:-2] + 7).astype(np.uint64)
     pair[np.arange(n) - start < 2] = np.uint64(3)
+    pair, back = pair[at], [x[at] for x in back]
     mixed = (pair * _MIX[0], back[0] * _MIX[1], back[0] * _MIX[2] + back[1] * _MIX[3], back[1] * _MIX[4], back[2] * _MIX[3])
     shift = np.uint64(64 - ROWS.bit_length() + 1)
     return np.stack([((m ^ (m >> np.uint64(31))) * _MIX[0]) >> shift for m in mixed], axis=1).astype(np.int64)
@@ -141,10 +142,11 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
 
 def _predict(rows: np.ndarray, group: np.ndarray, gw: np.ndarray, mw: np.ndarray, gb: np.ndarray, mb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log probabilities of the groups, and of the members of the true group."""
-    zg, zm = gb + gw[rows[:, 0]], mb[group] + mw[rows[:, 0], group]
+    members, cells = mw.reshape(-1, MEMBERS), rows * GROUPS + group[:, None]
+    zg, zm = gb + gw.take(rows[:, 0], axis=0), mb.take(group, axis=0) + members.take(cells[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        zg += gw[rows[:, k]]
-        zm += mw[rows[:, k], group]
+        zg += gw.take(rows[:, k], axis=0)
+        zm += members.take(cells[:, k], axis=0)
     return _log_softmax(zg), _log_softmax(zm)
 
 
@@ -165,25 +167,31 @@ def _step(rows: np.ndarray, cls: np.ndarray, gw: np.ndarray, mw: np.ndarray, gb:
     """One batch: gradients summed per row of the table and taken at a rate that falls with how often the row was seen."""
     group, member = np.divmod(cls, MEMBERS)
     lg, lm = _predict(rows, group, gw, mw, gb, mb)
-    dg, dm = -np.exp(lg), -np.exp(lm)
+    d = np.empty((len(cls), GROUPS + MEMBERS), np.float32)  # both gradients side by side, so they are ordered and added once
+    np.exp(lg, out=d[:, :GROUPS])
+    np.exp(lm, out=d[:, GROUPS:])
+    np.negative(d, out=d)
     i = np.arange(len(cls))
-    dg[i, group] += 1
-    dm[i, member] += 1
+    d[i, group] += 1
+    d[i, GROUPS + member] += 1
+    group = group.astype(np.int32)
     for k in range(rows.shape[1]):
-        cell = rows[:, k] * GROUPS + group
-        order = np.argsort(cell, kind="stable")
+        cell = rows[:, k].astype(np.int32) * GROUPS + group
+        order = np.argsort(cell)
         c = cell[order]
         heads = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-        sums_m = np.add.reduceat(dm[order], heads, axis=0)
-        sums_g = np.add.reduceat(dg[order], heads, axis=0)
+        sums = np.add.reduceat(d.take(order, axis=0), heads, axis=0)
         n = np.diff(np.r_[heads, len(c)])
-        r, g = np.divmod(c[heads], GROUPS)
-        np.add.at(seen, r, n)
-        mw[r, g] += RATE / np.sqrt(20 + seen[r])[:, None] * sums_m / np.sqrt(n)[:, None]
+        cells = c[heads]
+        r = cells // GROUPS
         first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        per_row = np.add.reduceat(sums_g, first, axis=0)
         count = np.add.reduceat(n, first)
-        gw[r[first]] += RATE / np.sqrt(20 + seen[r[first]])[:, None] * per_row / np.sqrt(count)[:, None]
+        seen[r[first]] += count
+        rate = RATE / np.sqrt(20 + seen[r])
+        members = mw.reshape(-1, MEMBERS)
+        members[cells] += (rate / np.sqrt(n)).astype(np.float32)[:, None] * sums[:, GROUPS:]
+        per_row = np.add.reduceat(sums[:, :GROUPS], first, axis=0)
+        gw[r[first]] += (rate[first] / np.sqrt(count)).astype(np.float32)[:, None] * per_row
 
 
 def _trained(m: Model, turn: int):
@@ -204,9 +212,9 @@ def _trained(m: Model, turn: int):
         for part in slices(batches, "text"):
             h, shape, ends = tokens(part.column("text"))
             cls = m.classes(h, shape)
-            at = np.arange(turn % STRIDE, len(h), STRIDE)
-            held.append((features(h, cls, ends)[at], cls[at]))
-            size += len(at)
+            at = slice(turn % STRIDE, None, STRIDE)
+            held.append((features(h, cls, ends, at), cls[at]))
+            size += len(held[-1][1])
             n += len(h)
             if size > 16 * BATCH:
                 walk()
