@@ -9,6 +9,7 @@ from deckloom.functions import colour as K
 from deckloom.operators import colours, structure
 from deckloom.plans import views as V
 from deckloom.plans.registry import query
+from deckloom.session import fresh
 from deckloom.sources import records
 
 # On 8×8 test grids the published limits never trip, so the queries pass their own.
@@ -140,9 +141,12 @@ def batch_against_baseline(spark, sf):
     ("v_grid",),
 )
 def corpus_report(spark, sf):
-    return records.report_rows(
-        measured(spark, sf), F.concat(F.lit("card "), F.col("image_id").cast("string")), ["ruled_rows", "batch"]
-    )
+    """Written to the shared folder beside its summary, and read back."""
+    rows = measured(spark, sf)
+    cards = records.report_rows(rows, F.concat(F.lit("card "), F.col("image_id").cast("string")), ["ruled_rows", "batch"])
+    path = fresh(spark, "report")
+    records.write_report(rows.groupBy("batch").agg(F.sum("ruled_rows").alias("ruled_rows")), cards, path)
+    return records.read_report(spark, path)[1]
 
 
 HSV_SQL = """SELECT image_id, pos, r, g, b, span, CASE WHEN span > 0 THEN span / top ELSE 0 END AS sat, top AS val,

@@ -9,6 +9,7 @@ from deckloom.operators import runs
 from deckloom.plans import views as V
 from deckloom.plans.cards import specs
 from deckloom.plans.registry import query
+from deckloom.session import fresh
 from deckloom.sources import records
 
 KEYS = "job_id, line, part, supp, seconds"
@@ -226,9 +227,13 @@ UNION ALL SELECT 'face', job_id || '/' || line || '/' || part || '/' || supp ||
     ("v_results",),
 )
 def run_records(spark, sf):
+    """Written to the shared folder, one partition per kind, and read back."""
     options = F.concat_ws(",", "options.lettered", "options.archetype", "options.exemplar_count")
     ran = records.run_record(specs(spark, sf), "spec", ["event_id"])
     faces = records.face_record(V.results(spark, sf), ["job_id", *V.RESULT_ORDER, "seconds"])
-    return ran.select(F.lit("spec").alias("kind"), F.col("event_id").cast("string").alias("id"), options.alias("record")).unionAll(
+    rows = ran.select(F.lit("spec").alias("kind"), F.col("event_id").cast("string").alias("id"), options.alias("record")).unionAll(
         faces.select(F.lit("face"), F.concat_ws("/", "job_id", "line", "part", "supp", "seconds"), "record")
     )
+    path = fresh(spark, "records")
+    records.write_records(rows, path, "kind")
+    return records.read_records(spark, path).select("kind", "id", "record")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import operator
-import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -12,8 +11,8 @@ from deckloom.operators import audit, colours, geometry, margins, proof, surface
 from deckloom.plans import corpus, layout, pixels, proofs
 from deckloom.plans import views as V
 from deckloom.plans.registry import ORACLES, query
-from deckloom.session import shared_dir
-from deckloom.sources import images
+from deckloom.session import fresh
+from deckloom.sources import images, pictures
 from deckloom.streaming import jobs as streams
 
 
@@ -23,9 +22,9 @@ def stream(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def fresh(spark, name: str) -> tuple[str, str]:
+def places(spark, name: str) -> tuple[str, str]:
     """A new output and checkpoint folder in the shared directory."""
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = fresh(spark, name)
     return f"{base}/out", f"{base}/state"
 
 
@@ -35,7 +34,7 @@ def _finish(started) -> None:
 
 @query("t1_live_progress")
 def live_progress(spark, sf):
-    out, state = fresh(spark, "progress")
+    out, state = places(spark, "progress")
     _finish(streams.start_progress(V.results_of(stream(spark, sf, "lineitem")), out, state))
     return streams.read_progress(spark, out, V.jobs(spark, sf))
 
@@ -45,7 +44,7 @@ ORACLES["t1_live_progress"] = ORACLES["a5_job_progress"]
 
 @query("t2_upsert_stream")
 def upsert_stream(spark, sf):
-    out, state = fresh(spark, "upserts")
+    out, state = places(spark, "upserts")
     rows = stream(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", "value")
     _finish(streams.start_upserts(rows, ["user_id"], ["ts", "event_id"], out, state))
     return streams.read_current(spark, out, ["user_id"], ["ts", "event_id"]).drop("ts")
@@ -56,7 +55,7 @@ ORACLES["t2_upsert_stream"] = ORACLES["s6_latest_write"]
 
 @query("t3_first_seen_memo", "SELECT DISTINCT user_id, event_type FROM events")
 def first_seen_memo(spark, sf):
-    out, state = fresh(spark, "memo")
+    out, state = places(spark, "memo")
     keys = ["user_id", "event_type"]
     _finish(streams.start_memo(stream(spark, sf, "events"), keys, out, state))
     return streams.read_memo(spark, out, keys)
@@ -69,19 +68,20 @@ def first_seen_memo(spark, sf):
     ("v_rgb",),
 )
 def decoded_images(spark, sf):
-    """Rows shaped as the image source gives them, made from the embeddings' bytes."""
-    pixels = V.triples(spark, sf).withColumn("bgr", F.flatten(F.transform(F.arrays_zip("b", "g", "r"), lambda p: F.array(p["b"], p["g"], p["r"]))))
-    digits = F.array_join(F.transform("bgr", lambda v: F.lpad(F.hex(v), 2, "0")), "")
-    stored = pixels.select(
-        "image_id",
-        F.struct("width", "height", F.lit(3).alias("nChannels"), F.unhex(digits).alias("data")).alias("image"),
+    """PNG files made from the embeddings, written to the shared folder and read back as a folder of card images."""
+    spark.dataSource.register(pictures.PictureFiles)
+    path = fresh(spark, "pictures")
+    named = V.triples(spark, sf).select(
+        F.concat(F.lit("card-"), F.col("image_id").cast("string"), F.lit(".png")).alias("name"), pictures.encode("width", "r", "g", "b").alias("data")
     )
+    named.write.format("picture_files").mode("append").option("batch", "1").save(path)
+    read = images.read_images(spark, path).withColumn("image_id", F.regexp_extract("path", r"card-(\d+)\.png$", 1).cast("bigint"))
 
     def sum_of(c):
         return F.aggregate(c, F.lit(0).cast("bigint"), lambda acc, v: acc + v).alias(c)
 
     placed = F.aggregate(F.transform("r", lambda v, i: v * (i + 1)), F.lit(0).cast("bigint"), lambda acc, v: acc + v)
-    return images.decode(stored, "image", ["image_id"]).select(
+    return read.select(
         "image_id", "width", "height", sum_of("r"), sum_of("g"), sum_of("b"), placed.alias("placed")
     )
 

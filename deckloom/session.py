@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -61,3 +62,8 @@ def shared_dir(spark: SparkSession) -> str:
     made = os.environ.get("DECKLOOM_TEST_DIR") or tempfile.mkdtemp(prefix="deckloom-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

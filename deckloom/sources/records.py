@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deckloom.sources import catalogue
@@ -27,6 +27,10 @@ def write_records(records: DataFrame, path: str, partition: str | None = None) -
     writer.parquet(path)
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def report_rows(cards: DataFrame, name: Column, metrics: list[str]) -> DataFrame:
     """One JSON text per card of a corpus report."""
     return cards.select(name.alias("name"), F.to_json(F.struct(*metrics)).alias("metrics"))
@@ -36,3 +40,8 @@ def write_report(summary: DataFrame, cards: DataFrame, path: str) -> None:
     """`summary` and `cards` side by side, as JSON lines."""
     summary.write.mode("overwrite").json(f"{path}/summary")
     cards.write.mode("overwrite").json(f"{path}/cards")
+
+
+def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """`summary` and `cards` of a written report; a card's metrics are the text that was written."""
+    return spark.read.json(f"{path}/summary"), spark.read.schema("name string, metrics string").json(f"{path}/cards")

@@ -16,7 +16,7 @@ from deckloom.functions import colour as K
 from deckloom.functions import images as I
 from deckloom.operators import audit, colours, geometry, margins, structure, surfaces
 from deckloom.plans import views as V
-from deckloom.sources import images
+from deckloom.sources import images, pictures
 
 SOUND = {"title": (0.10, 0.06, 0.90, 0.12), "type": (0.10, 0.60, 0.90, 0.66), "rules": [(0.10, 0.67, 0.90, 0.90)],
          "pt": (0.80, 0.85, 0.93, 0.95), "spare": [], "marks": [], "name": None}
@@ -455,3 +455,45 @@ def test_problems_meet_in_one_shuffle(spark):
     assert got == {1: [["a"], None, ["c"]], 2: [None, [], None], 3: [None, None, None]}
     plan = joined._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan and plan.count("hashpartitioning") <= 1
+
+
+def files_below(path):
+    return sorted(str(p.relative_to(path)) for p in path.rglob("*") if p.is_file())
+
+
+def test_picture_files_are_written_once_whatever_fails(spark, tmp_path):
+    spark.dataSource.register(pictures.PictureFiles)
+    rng = np.random.default_rng(5)
+    drawn_ = {f"card-{i}.png": rng.integers(0, 256, (3 + i, 5, 3)) for i in range(6)}
+    rows = spark.createDataFrame([(n, pictures.png_bytes(p.astype(np.uint8))) for n, p in drawn_.items()], "name string, data binary").repartition(3)
+    path = tmp_path / "shelf"
+
+    def save(df, batch, to=str(path)):
+        df.write.format("picture_files").mode("append").option("batch", batch).save(to)
+
+    @F.pandas_udf("string")
+    def torn(name):
+        if (name == "card-4.png").any():
+            raise RuntimeError("lost")
+        return name
+
+    with pytest.raises(Exception, match="lost"):
+        save(rows.withColumn("name", torn("name")), "1")
+    assert files_below(path) == []
+    for _ in range(2):  # a repeated batch replaces itself
+        save(rows, "1")
+        names = [f.split("/")[-1] for f in files_below(path)]
+        assert sorted(names) == sorted(drawn_) and all(f.startswith("batch=1/task=") for f in files_below(path))
+    save(rows.limit(1).withColumn("name", F.lit("other.png")), "2", path.as_uri())
+    assert len(files_below(path)) == 7
+    save(rows.limit(0), "2")
+    assert len(files_below(path)) == 6
+    with pytest.raises(Exception, match="append"):
+        rows.write.format("picture_files").mode("overwrite").save(str(path))
+    (path / "batch=1" / "torn.png").write_bytes(pictures.PNG + b"no more")
+    read = {r.path.rsplit("/", 1)[-1]: r for r in images.read_images(spark, str(path)).collect()}
+    assert read.pop("torn.png").error == "cannot be decoded"
+    for name, picture in drawn_.items():
+        got = read[name]
+        assert (got.width, got.height, got.error) == (5, picture.shape[0], None)
+        assert [got.r, got.g, got.b] == [picture[:, :, c].ravel().tolist() for c in range(3)]

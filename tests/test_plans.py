@@ -8,7 +8,7 @@ from deckloom.plans import QUERIES
 PYTHON = {
     "s4_decoded_images", "i1_structure_metrics", "i5_ink_components", "i6_band_energy", "g5_structure_gates", "g10_end_badge",
     "g11_audit_by_mode", "a1_corpus_summary", "a13_scoreboard", "j8_batch_against_baseline", "o1_corpus_listing",
-    "s8_corpus_report", "flow_score", "w5_edge_runs", "i2_flat_edge_share", "i3_black_inset", "i4_trim_rectangle", "g8_matte_gate",
+    "flow_score", "w5_edge_runs", "i2_flat_edge_share", "i3_black_inset", "i4_trim_rectangle", "g8_matte_gate",
     "a8_colour_profile", "a9_leading_mana", "g6_colour_identity",
 }
 STREAMS = {"t1_live_progress", "t2_upsert_stream", "t3_first_seen_memo"}

@@ -76,8 +76,26 @@ def test_actions_and_records(spark, tmp_path):
         records.write_records(spark.range(size).withColumn("pack", F.lit(batch)), path, "pack")
     assert {r.pack: r.n for r in spark.read.parquet(path).groupBy("pack").agg(F.count("*").alias("n")).collect()} == {"p": 1, "q": 3}
     summary = spark.createDataFrame([("ruled_rows", 1.0)], "metric string, mean double")
-    records.write_report(summary, summary, str(tmp_path / "report"))
-    assert spark.read.json(str(tmp_path / "report" / "summary")).count() == 1
+    cards = spark.createDataFrame([("Bear", '{"ruled_rows": 1, "q": "\\"x\\""}'), ("Bolt", None)], "name string, metrics string")
+    for _ in range(2):  # a repeated report replaces itself
+        records.write_report(summary, cards, str(tmp_path / "report"))
+        got, told = records.read_report(spark, str(tmp_path / "report"))
+        assert got.count() == 1 and sorted(map(tuple, told.collect())) == sorted(map(tuple, cards.collect()))
+
+
+def test_records_after_a_failed_try(spark, tmp_path):
+    path = str(tmp_path / "record")
+    rows = spark.range(6).selectExpr("cast(id % 2 as string) AS pack", "id")
+    records.write_records(rows, path, "pack")
+
+    @F.pandas_udf("long")
+    def torn(n):
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        records.write_records(rows.where("pack = '1'").withColumn("id", torn("id")), path, "pack")
+    records.write_records(rows.where("pack = '1' and id > 1"), path, "pack")
+    assert sorted((r.pack, r.id) for r in records.read_records(spark, path).selectExpr("cast(pack as string) pack", "id").collect()) == [("0", 0), ("0", 2), ("0", 4), ("1", 3), ("1", 5)]
 
 
 def test_orphans(spark):
