@@ -37,7 +37,7 @@ class Manifest:
 
 @dataclass(frozen=True)
 class Generations:
-    """`keys` deal runs into `buckets`. `merge` makes one row per key of several and must not depend on how often it is applied."""
+    """`keys` deal runs into `buckets`. `merge` makes one row per key of several, and may be applied to parts first and to what came of them then."""
 
     path: str
     keys: list[str]

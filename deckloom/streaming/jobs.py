@@ -1,8 +1,7 @@
 """Live progress, catalogue upserts and the first-seen memo as Structured Streaming jobs.
 
-Every sink is a folder of Parquet that a batch job can read while the stream runs. A micro-batch
-writes its own `batch` partition and overwrites it when retried, so a lost executor or a restarted
-query never doubles a row.
+Every sink is a folder of Parquet that a batch job can read while the stream runs (see `generations`). A micro-batch
+writes its own delta and overwrites it when retried, so a lost executor or a restarted query never doubles a row.
 """
 
 from __future__ import annotations
@@ -18,58 +17,43 @@ from deckloom.streaming.generations import Generations
 ONCE = {"availableNow": True}
 
 
-def _by_batch(path: str):
-    def write(rows: DataFrame, batch: int) -> None:
-        stamped = rows.withColumn("batch", F.lit(batch).cast("bigint"))
-        stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
-
-    return write
+# --- live progress ---------------------------------------------------------------------------
+COUNTS = ["finished", "ok", "unsound", "failed", "timed", "seconds"]
+TALLY = "job_id bigint, finished bigint, ok bigint, unsound bigint, failed bigint, timed bigint, seconds decimal(38,3)"
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+def _tallied(path: str, **sizes: int) -> Generations:
+    def added(rows: DataFrame) -> DataFrame:
+        sums = [F.sum(c).cast("decimal(38,3)" if c == "seconds" else "bigint").alias(c) for c in COUNTS]
+        return rows.groupBy("job_id").agg(*sums)
 
+    return Generations(path, ["job_id"], added, **sizes)
 
-# --- live progress ---------------------------------------------------------------------------
-TALLY = "job_id bigint, finished bigint, ok bigint, unsound bigint, failed bigint, timed bigint, seconds decimal(38,3), batch bigint"
 
+def start_progress(results: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, **sizes: int) -> StreamingQuery:
+    """Sums per job, one row for each job that moved in a micro-batch. Seconds are kept to three decimals.
 
-def start_progress(
-    results: DataFrame, path: str, checkpoint: str, retention: str | None = None, trigger: dict | None = None
-) -> StreamingQuery:
-    """Running sums per job, rewritten only for jobs that moved. Seconds are kept to three decimals.
+    Sums add up over deltas and runs, so the stream keeps no state, however many jobs there are, and needs no watermark:
+    a row that comes late, even to a job long finished, counts like any other and none is dropped.
 
     `trigger` holds the arguments of Spark's trigger, for example {"processingTime": "5 seconds"}; by default
-    what is there is worked off and the query ends.
-
-    State grows with the number of jobs. With `retention`, jobs are grouped with their own `created`
-    time under a watermark, and a job older than that leaves the state; it must finish within it.
+    what is there is worked off and the query ends. `sizes` are the `fan` and `buckets` of `generations`.
     """
+    kept = _tallied(path, **sizes)
     results = results.withColumn("seconds", F.col("seconds").cast("decimal(28,3)"))
-    if retention is None:
-        sums = runs.tallies(results)
-    else:
-        kept = results.withWatermark("created", retention)
-        timed = F.coalesce(F.col("seconds"), F.lit(0)) != 0
-        sums = kept.groupBy("job_id", "created").agg(
-            F.count(F.lit(1)).alias("finished"),
-            *[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "unsound", "failed")],
-            F.count_if(timed).alias("timed"),
-            F.coalesce(F.sum("seconds"), F.lit(0)).alias("seconds"),
-        ).drop("created")
-    sums = sums.withColumn("seconds", F.col("seconds").cast("decimal(38,3)"))
-    return (
-        sums.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or ONCE)).foreachBatch(_by_batch(path)).start()
-    )
+
+    def add(rows: DataFrame, batch: int) -> None:
+        kept.put(runs.tallies(rows).select("job_id", *COUNTS), batch)
+
+    return results.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).foreachBatch(add).start()
 
 
 def read_progress(spark: SparkSession, path: str, jobs: DataFrame) -> DataFrame:
-    """The newest sums per job, as the batch report shows them."""
-    rows = _read(spark, path, TALLY)
-    rest = [c for c in rows.columns if c not in ("job_id", "batch")]
-    newest = rows.groupBy("job_id").agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select("job_id", "_row.*")
-    joined = jobs.join(newest, "job_id", "left").fillna(0, rest)
+    """The sums so far per job, as the batch report shows them."""
+    kept = _tallied(path)
+    rows = kept.read(spark)
+    sums = kept.merge(rows if rows is not None else spark.createDataFrame([], TALLY))
+    joined = jobs.join(sums, "job_id", "left").fillna(0, COUNTS)
     remaining = F.greatest(F.lit(0), F.col("faces") - F.col("finished"))
     return joined.select(
         "job_id", "status", "faces", "finished", "ok", "unsound", "failed", remaining.alias("remaining"),

@@ -42,14 +42,19 @@ def test_progress(spark, tmp_path):
     assert sorted(map(tuple, streams.read_progress(spark, out, jobs).collect()), key=repr) == sorted(map(tuple, batch.collect()), key=repr)
 
 
-def test_progress_with_retention(spark, tmp_path):
+def test_late_rows_count_and_no_state_is_kept(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    for rows in ([(1, "ok", 10, DAY)], [(1, "ok", 30, DAY), (2, "ok", 1, DAY + datetime.timedelta(hours=1))]):
+    jobs = spark.createDataFrame([(i, "running", 40) for i in range(4)], "job_id long, status string, faces long")
+    assert [r.finished for r in streams.read_progress(spark, out, jobs).collect()] == [0] * 4
+    rng = random.Random(5)
+    for k in range(11):  # the last files hold the oldest rows
+        rows = [(rng.randrange(4), rng.choice(["ok", "failed", "unsound"]), rng.randrange(9), DAY - datetime.timedelta(days=40 * k)) for _ in range(6)]
         write(spark, source, rows, RESULT)
-    streams.start_progress(in_batches(spark, source, RESULT), out, state, retention="2 days").awaitTermination()
-    jobs = spark.createDataFrame([(1, "running", 4), (2, "running", 1)], "job_id long, status string, faces long")
-    got = {r.job_id: (r.finished, r.eta_seconds) for r in streams.read_progress(spark, out, jobs).collect()}
-    assert got == {1: (2, 20), 2: (1, 0)}
+    query = streams.start_progress(in_batches(spark, source, RESULT), out, state, fan=3, buckets=2)
+    query.awaitTermination()
+    assert all(not p["stateOperators"] for p in query.recentProgress)
+    batch = runs.progress(jobs, spark.read.parquet(source))
+    assert sorted(map(tuple, streams.read_progress(spark, out, jobs).collect()), key=repr) == sorted(map(tuple, batch.collect()), key=repr)
 
 
 def test_upserts_and_memo(spark, tmp_path):
