@@ -77,7 +77,7 @@ def symbol_file(token: Column) -> Column:
 
 def known_symbol_pattern() -> str:
     """One pattern for every spelling that names a symbol file (slashes are free, case is not kept)."""
-    tokens = C.SYMBOLS_MANA_IN_COSTS + C.SYMBOLS_MANA_ONLY + C.SYMBOLS_COST_ONLY + C.SYMBOLS_NEITHER
+    tokens = [token for token, _, _ in C.SYMBOLS]
     bodies = {t.strip("{}").replace("/", "") for t in tokens} | set(C.SYMBOL_FILE_ALIASES.values())
     spelled = sorted((b for b in bodies if len(b) <= 6), key=lambda b: (-len(b), b))
     return "(?i)\\{/*(?:" + "|".join("/*".join(b) for b in spelled) + ")/*\\}"

@@ -182,12 +182,19 @@ def coarse_screen(spark, sf):
     )
 
 
-def _listed(values) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
-STAGING_SQL = f"""{_listed(C.STAGING_CAMERA)}[CAST(seed % 8 AS INTEGER) + 1] AS camera,
-  {_listed(C.STAGING_MOMENT)}[CAST((seed // 8) % 7 AS INTEGER) + 1] AS moment"""
+#: Names of nations stand in for a table of phrases.
+CAMERAS_SQL = "(SELECT list(n_name ORDER BY n_nationkey) FROM nation WHERE n_nationkey < 8)"
+MOMENTS_SQL = "(SELECT list(n_name ORDER BY n_nationkey) FROM nation WHERE n_nationkey >= 8 AND n_nationkey < 15)"
+STAGING_SQL = f"""{CAMERAS_SQL}[CAST(seed % 8 AS INTEGER) + 1] AS camera,
+  {MOMENTS_SQL}[CAST((seed // 8) % 7 AS INTEGER) + 1] AS moment"""
+
+
+def phrases(spark, sf):
+    nations = V.table(spark, sf, "nation")
+    return (
+        briefs.phrase_list(nations, "n_nationkey", "n_name", C.STAGING_CAMERAS),
+        briefs.phrase_list(nations.where(F.col("n_nationkey") >= C.STAGING_CAMERAS), "n_nationkey", "n_name", C.STAGING_MOMENTS),
+    )
 
 
 @query(
@@ -200,7 +207,7 @@ def staging(spark, sf):
     names = V.table(spark, sf, "part").select(F.col("p_name").alias("name")).unionAll(
         V.table(spark, sf, "customer").select(F.col("c_name").alias("name"))
     )
-    camera, moment = briefs.staging(F.col("name"))
+    camera, moment = briefs.staging(F.col("name"), *phrases(spark, sf))
     return names.select("name", T.byte_sum(F.col("name")).alias("seed"), camera.alias("camera"), moment.alias("moment"))
 
 
@@ -277,7 +284,7 @@ def art_briefs(spark, sf):
     brief = briefs.art_brief(
         F.col("name"), F.col("type_line"), F.col("oracle_text"), F.col("flavor_text"), F.col("color_identity"),
         F.col("is_crossover"), F.col("art_crop").isNotNull(), style, F.when(k % 2 == 0, "a tight crop"),
-        F.lit("moonlit"), corrections,
+        F.lit("moonlit"), corrections, *phrases(spark, sf),
     )
     return faces(spark, sf).select("card_id", "face_position", brief.alias("brief"))
 
@@ -428,9 +435,9 @@ def shared(spark, sf):
     )
 
 
-COST_OK = ", ".join(f"'{t.strip('{}')}'" for t in C.SYMBOLS_MANA_IN_COSTS + C.SYMBOLS_COST_ONLY)
+COST_OK = ", ".join(f"'{t.strip('{}')}'" for t, _, in_costs in C.SYMBOLS if in_costs)
 KNOWN = ", ".join(
-    f"'{t.strip('{}')}'" for t in C.SYMBOLS_MANA_IN_COSTS + C.SYMBOLS_MANA_ONLY + C.SYMBOLS_COST_ONLY + C.SYMBOLS_NEITHER
+    f"'{t.strip('{}')}'" for t, _, _ in C.SYMBOLS
 )
 
 

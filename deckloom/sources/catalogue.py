@@ -48,17 +48,7 @@ def read_symbols(spark: SparkSession, path: str) -> DataFrame:
 
 def symbol_dimension(spark: SparkSession) -> DataFrame:
     """The fixed symbols: token, file stem, two flags."""
-    rows = [
-        (token, mana, cost)
-        for tokens, mana, cost in (
-            (C.SYMBOLS_MANA_IN_COSTS, True, True),
-            (C.SYMBOLS_MANA_ONLY, True, False),
-            (C.SYMBOLS_COST_ONLY, False, True),
-            (C.SYMBOLS_NEITHER, False, False),
-        )
-        for token in tokens
-    ]
-    made = spark.createDataFrame(rows, "token string, represents_mana boolean, appears_in_mana_costs boolean")
+    made = spark.createDataFrame(C.SYMBOLS, "token string, represents_mana boolean, appears_in_mana_costs boolean")
     return made.withColumn("file", T.symbol_file(F.expr("substring(token, 2, length(token) - 2)")))
 
 

@@ -37,3 +37,18 @@ def test_strips_owe_their_height_together(spark):
     assert runs.measured_faces(jobs, results, planned, ["line"]).count() == 5
     nothing = runs.compliance(runs.measured_faces(jobs, results.limit(0), planned, ["line"], since=1)).collect()
     assert [(r.faces, r.median_title_y) for r in nothing] == [(0, None)]
+
+
+def test_staging_takes_the_callers_phrases(spark):
+    from pyspark.sql import functions as F
+
+    from deckloom.operators import briefs
+
+    table = spark.createDataFrame([(9 - i, f"c{9 - i}") for i in range(9)], "place int, phrase string")
+    cameras = briefs.phrase_list(table, "place", "phrase", 8)
+    moments = F.array(*[F.lit(f"m{i}") for i in range(7)])
+    names = spark.createDataFrame([("Bear",), ("Élan",), ("",)], "name string")
+    camera, moment = briefs.staging(F.col("name"), cameras, moments)
+    for r in names.select("name", camera.alias("c"), moment.alias("m")).collect():
+        seed = sum(r.name.encode())
+        assert (r.c, r.m) == (f"c{seed % 8 + 1}", f"m{seed // 8 % 7}")
