@@ -94,6 +94,31 @@ def request_checks(spark, sf):
     )
 
 
+@query(
+    "flow_requests",
+    r"""
+SELECT request_id, accepted, CASE WHEN accepted THEN style END AS style FROM (
+  SELECT d.doc_id AS request_id, lang <> 'es' AND trim(text) <> '' AND length(text) <= 20000 AND length(source) <= 500
+      AND NOT (n_chars % 3 = 0 AND length(text) > 500) AND c.list_id IS NULL AS accepted,
+    CASE WHEN n_chars % 4 = 0 AND text <> '' THEN trim(left(text, 500), chr(32) || chr(9) || chr(10) || chr(13)) ELSE nullif(trim(source), '') END AS style
+  FROM documents d LEFT JOIN (
+    SELECT list_id FROM (
+      SELECT doc_id AS list_id, trim(unnest(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'))) AS line FROM documents)
+    WHERE line <> '' AND NOT starts_with(line, '#') AND NOT starts_with(line, '//')
+      AND rtrim(lower(line), ':') NOT IN ('deck', 'sideboard', 'commander', 'companion', 'maybeboard', 'tokens')
+    GROUP BY list_id HAVING count(*) > 20) c ON c.list_id = d.doc_id)
+""",
+)
+def taken_requests(spark, sf):
+    """Every request, whether it is taken, and the style it then runs with: a custom one in place of the chosen one."""
+    documents = V.documents(spark, sf)
+    refused = request_checks(spark, sf).select("request_id").distinct().withColumn("refused", F.lit(True))
+    custom = F.when(F.col("n_chars") % 4 == 0, F.col("text"))
+    asked = documents.select(F.col("doc_id").alias("request_id"), lists.fold_custom_style(F.col("source"), custom).alias("style"))
+    accepted = F.col("refused").isNull()
+    return asked.join(refused, "request_id", "left").select("request_id", accepted.alias("accepted"), F.when(accepted, F.col("style")).alias("style"))
+
+
 @query(
     "j1_resolve_names",
     """SELECT e.list_id, e.line, e.part, e.supp, e.quantity, e.name, a.card_id
