@@ -140,14 +140,21 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
 def _predict(rows: np.ndarray, group: np.ndarray, gw: np.ndarray, mw: np.ndarray, gb: np.ndarray, mb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities of the groups, and of the members of the true group."""
+    """Scores of the groups, and of the members of the true group, before they are made probabilities."""
     members, cells = mw.reshape(-1, MEMBERS), rows * GROUPS + group[:, None]
     zg, zm = gb + gw.take(rows[:, 0], axis=0), mb.take(group, axis=0) + members.take(cells[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
         zg += gw.take(rows[:, k], axis=0)
         zm += members.take(cells[:, k], axis=0)
-    return _log_softmax(zg), _log_softmax(zm)
+    return zg, zm
 
 
 def class_log10(m: Model, h: np.ndarray, cls: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -157,7 +164,7 @@ def class_log10(m: Model, h: np.ndarray, cls: np.ndarray, ends: np.ndarray) -> n
     for a in range(0, len(h), BATCH * 2):
         some = slice(a, a + BATCH * 2)
         group, member = np.divmod(cls[some], MEMBERS)
-        lg, lm = _predict(rows[some], group, m.group_weights, m.member_weights, m.group_bias, m.member_bias)
+        lg, lm = map(_log_softmax, _predict(rows[some], group, m.group_weights, m.member_weights, m.group_bias, m.member_bias))
         i = np.arange(len(group))
         out[some] = (lg[i, group] + lm[i, member]) / np.log(10)
     return out
@@ -166,11 +173,10 @@ def class_log10(m: Model, h: np.ndarray, cls: np.ndarray, ends: np.ndarray) -> n
 def _step(rows: np.ndarray, cls: np.ndarray, gw: np.ndarray, mw: np.ndarray, gb: np.ndarray, mb: np.ndarray, seen: np.ndarray) -> None:
     """One batch: gradients summed per row of the table and taken at a rate that falls with how often the row was seen."""
     group, member = np.divmod(cls, MEMBERS)
-    lg, lm = _predict(rows, group, gw, mw, gb, mb)
+    zg, zm = _predict(rows, group, gw, mw, gb, mb)
     d = np.empty((len(cls), GROUPS + MEMBERS), np.float32)  # both gradients side by side, so they are ordered and added once
-    np.exp(lg, out=d[:, :GROUPS])
-    np.exp(lm, out=d[:, GROUPS:])
-    np.negative(d, out=d)
+    np.negative(_softmax(zg), out=d[:, :GROUPS])
+    np.negative(_softmax(zm), out=d[:, GROUPS:])
     i = np.arange(len(cls))
     d[i, group] += 1
     d[i, GROUPS + member] += 1
@@ -307,15 +313,17 @@ def _scored(shared) -> object:
             n = ends - starts
             doc = np.repeat(np.arange(len(ends)), n)
             rare = np.flatnonzero(~frequent)
-            pair = np.stack([doc[rare].astype(np.uint64), h[rare]], axis=1)
-            pair, times = np.unique(pair, axis=0, return_counts=True) if len(pair) else (pair, np.zeros(0, np.int64))
-            rest = len(pair)
-            row = pair[:, 0].astype(np.int64)
+            row, other = doc[rare], h[rare]
+            order = np.lexsort((other, row))
+            row, other = row[order], other[order]
+            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (other[1:] != other[:-1])]) if len(row) else np.zeros(0, np.int64)
+            times = np.diff(np.r_[first, len(row)])
+            row, other, rest = row[first], other[first], len(first)
             ids, keys = part.column("doc_id"), part.column("key")
             take = pa.array(np.r_[np.arange(len(ends)), row])
             zeros = np.zeros(rest)
             # a row's own sum joins nothing: its token is made from its key
-            token = np.r_[keys.to_numpy(zero_copy_only=False), pair[:, 1].view(np.int64)]
+            token = np.r_[keys.to_numpy(zero_copy_only=False), other.view(np.int64)]
             columns = {
                 "doc_id": ids.take(take), "key": keys.take(take), "held_out": part.column("held_out").take(take), "own": pa.array(np.r_[np.ones(len(ends), bool), np.zeros(rest, bool)]),
                 "token": pa.array(token), "times": pa.array(np.r_[n, times]),
