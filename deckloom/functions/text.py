@@ -34,9 +34,11 @@ def strip(text: Column) -> Column:
 
 def normalise(text: Column) -> Column:
     """Fold look-alike punctuation, drop braces, collapse white space, lower case."""
-    folded = F.translate(F.coalesce(text, F.lit("")), C.FOLD_FROM, C.FOLD_TO)
-    plain = F.regexp_replace(F.regexp_replace(folded, r"[{}]", ""), f"{WHITE}+", " ")
-    return F.lower(F.trim(plain))
+    given = F.coalesce(text, F.lit(""))
+    folded = F.translate(given, C.FOLD_FROM + "{}", C.FOLD_TO)  # what has no counterpart goes
+    # braces and folded blanks can bring two blanks together, so it is the folded text that is looked at
+    wide = folded.contains("  ") | folded.rlike(ODD_WHITE)
+    return F.lower(F.trim(F.when(wide, F.regexp_replace(folded, f"{WHITE}+", " ")).otherwise(folded)))
 
 
 @F.pandas_udf(StringType())

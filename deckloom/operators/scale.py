@@ -35,22 +35,20 @@ def number_in_group(
     rows per key. Rows are ranked inside (keys, bucket); only the bucket counts, not the rows, are
     summed along the whole key.
     """
-    marked = df.withColumn("_bucket", bucket)
     parts = [*keys, "_bucket"]
-    local = marked.withColumn("_local", F.row_number().over(Window.partitionBy(*parts).orderBy(*order)))
-    before = (
-        marked.groupBy(*parts)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(
-            "_before",
-            F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
-        )
-        .drop("_n")
+    here = Window.partitionBy(*parts)
+    local = (
+        df.withColumn("_bucket", bucket)
+        .withColumn("_local", F.row_number().over(here.orderBy(*order)))
+        .withColumn("_n", F.count(F.lit(1)).over(here))
     )
+    # one row per bucket, from the rows that are already together
+    along = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = local.where(F.col("_local") == 1).select(*parts, F.sum("_n").over(along).alias("_before"))
     return (
         local.join(before, parts)
         .withColumn(out, F.coalesce("_before", F.lit(0)).cast("bigint") + F.col("_local"))
-        .drop("_bucket", "_local", "_before")
+        .drop("_bucket", "_local", "_n", "_before")
     )
 
 
